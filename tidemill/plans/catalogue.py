@@ -1,4 +1,4 @@
 """Imports every module that registers queries."""
 
-from tidemill.plans import loads, marts  # noqa: F401
+from tidemill.plans import cleaning, loads, marts  # noqa: F401
 from tidemill.plans.registry import ORACLES, QUERIES  # noqa: F401
