@@ -7,11 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tidemill.operators.loads import latest_per_key, split_null_keys
-from tidemill.operators.ordered import with_neighbour, with_time_bucket
-
-
-def _bucket_count(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+from tidemill.operators.ordered import HotKeys, hot_keys, with_neighbour, with_time_slice
 
 
 def build_history(
@@ -20,7 +16,7 @@ def build_history(
     ts: str,
     change_id: str,
     attributes: Sequence[str],
-    buckets: int | None = None,
+    hot_limit: int | None = None,
 ) -> DataFrame:
     """Versions of each key: key, attributes, change_id, valid_from, valid_to, is_current.
 
@@ -28,18 +24,26 @@ def build_history(
     the row before it; the version lasts until the next one opens (half-open).
     Of several rows of a key at one moment the greatest ``change_id`` counts.
     Rows without key or time are left out.
+
+    Keys with more than ``1 / hot_limit`` of the rows are worked on in time
+    slices.
     """
-    key, attributes = list(key), list(attributes)
+    key = list(key)
     usable, _ = split_null_keys(changes, [*key, ts])
-    usable = usable.select(*key, ts, change_id, *attributes)
-    rows = latest_per_key(usable, [*key, ts], [change_id])
-    rows = with_time_bucket(rows, ts, _bucket_count(changes) if buckets is None else buckets)
-    rows = with_neighbour(rows, key, [ts], attributes, "_before")
+    return _build(usable, key, ts, change_id, list(attributes), hot_keys(usable, key, ts, hot_limit))
+
+
+def _build(
+    usable: DataFrame, key: list[str], ts: str, change_id: str, attributes: list[str], hot: HotKeys | None
+) -> DataFrame:
+    rows = latest_per_key(usable.select(*key, ts, change_id, *attributes), [*key, ts], [change_id])
+    rows = with_time_slice(rows, key, ts, hot)
+    rows = with_neighbour(rows, key, [ts], attributes, "_before", sliced=hot is not None)
     opens = F.col("_before").isNull()
     for name in attributes:
         opens = opens | ~F.col(name).eqNullSafe(F.col(f"_before.{name}"))
     versions = rows.filter(opens).drop("_before")
-    versions = with_neighbour(versions, key, [ts], [ts], "_after", ahead=True)
+    versions = with_neighbour(versions, key, [ts], [ts], "_after", ahead=True, sliced=hot is not None)
     valid_to = F.col("_after").getField(ts)
     return versions.select(
         *key,
@@ -58,7 +62,7 @@ def merge_history(
     ts: str,
     change_id: str,
     attributes: Sequence[str],
-    buckets: int | None = None,
+    hot_limit: int | None = None,
 ) -> DataFrame:
     """``history`` after ``batch`` of changes.
 
@@ -74,5 +78,7 @@ def merge_history(
     reopened = history.join(named, key, "left_semi").select(
         *key, F.col("valid_from").alias(ts), change_id, *attributes
     )
-    rebuilt = build_history(reopened.unionByName(batch), key, ts, change_id, attributes, buckets)
+    everything = history.select(*key, F.col("valid_from").alias(ts)).unionByName(batch.select(*key, ts))
+    hot = hot_keys(everything, key, ts, hot_limit)
+    rebuilt = _build(reopened.unionByName(batch), key, ts, change_id, attributes, hot)
     return passed.unionByName(rebuilt)

@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 from tidemill.functions.scalars import scalar_literal
+from tidemill.session import delete_folder
 
 
 class StageRejected(ValueError):
@@ -52,11 +53,6 @@ def _snapshot_root(spark: SparkSession, table: str) -> str:
     return f"{spark.catalog.getDatabase(database).locationUri.rstrip('/')}/snapshots/{name}"
 
 
-def _delete_folder(spark: SparkSession, path: str) -> None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def table_location(spark: SparkSession, table: str) -> str:
     rows = spark.sql(f"DESCRIBE EXTENDED {table}").filter("col_name = 'Location'").select("data_type").collect()
     return rows[0][0]
@@ -104,7 +100,7 @@ def stage(df: DataFrame, table: str, expect: Expectations = Expectations()) -> t
         if not repeated.isEmpty():
             problems.append(f"repeated keys in ({', '.join(expect.unique)})")
     if problems:
-        _delete_folder(spark, path)
+        delete_folder(spark, path)
         raise StageRejected(f"{table}: " + "; ".join(problems))
     return path, found["rows"]
 
@@ -380,7 +376,7 @@ def run_steps(spark: SparkSession, steps: Sequence[Step], sources: dict[str, Dat
                 result = spark.read.parquet(path)
         except Exception as error:
             for _, path in staged:
-                _delete_folder(spark, path)
+                delete_folder(spark, path)
             log.append(StepLog(number, step.name, "error", str(error)))
             raise ScriptFailed(log) from error
         frames[step.name] = result

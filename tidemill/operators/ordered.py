@@ -1,46 +1,83 @@
 """Neighbouring rows of a key in time order, without one task per key.
 
 A plain ``lag`` over ``PARTITION BY key`` sorts all rows of a key in one task,
-however many they are.  Here the rows of a key are cut into time buckets that
-hold about the same number of rows overall, neighbours are found inside a
-bucket, and the one neighbour that lies in another bucket comes from a summary
-with a single row per (key, bucket).
+however many they are.  Keys that hold a large share of the rows are therefore
+cut into time slices; neighbours are found inside a slice, and the one that
+lies in another slice comes from a summary with a single row per (key, slice).
+All other keys are one slice each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import Row, StructType
 
+QUANTILES = 64
+SLICES_PER_QUANTILE = 256
 
-def _steps(value: Column, bounds: Sequence[int], low: int, high: int) -> Column:
-    """Number of ``bounds`` not above ``value``, as a balanced tree of comparisons."""
-    if low == high:
-        return F.lit(low)
-    middle = (low + high) // 2
-    return F.when(value < F.lit(bounds[middle]), _steps(value, bounds, low, middle)).otherwise(
-        _steps(value, bounds, middle + 1, high)
-    )
+
+@dataclass(frozen=True)
+class HotKeys:
+    """Keys with many rows and quantiles of the time of their rows."""
+
+    rows: list[Row]
+    schema: StructType
+    bounds: list[int]
+
+    def frame(self, spark) -> DataFrame:
+        return spark.createDataFrame(self.rows, self.schema)
 
 
 def micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def with_time_bucket(df: DataFrame, ts: str, buckets: int, name: str = "_bucket") -> DataFrame:
-    """Adds the number of the time bucket of a row.
+def hot_keys(df: DataFrame, key: Sequence[str], ts: str, limit: int | None = None) -> HotKeys | None:
+    """Keys with more than ``1 / limit`` of all rows; None if there is no such key.
 
-    The bounds are quantiles of the whole column (a fixed number of values on
-    the driver), so no bucket holds much more than ``rows / buckets`` rows, of
-    whichever key they are.
+    By their definition there are fewer than ``limit`` of them (by default
+    twice the number of shuffle partitions), which bounds what comes to the
+    driver and what is broadcast later.  Only the key and time columns are read.
     """
-    if buckets <= 1:
+    spark = df.sparkSession
+    limit = limit or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = df.count()
+    counted = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") * limit > total).drop("_n")
+    rows = counted.collect()
+    if not rows or total <= limit:
+        return None
+    hot = F.broadcast(spark.createDataFrame(rows, counted.schema))
+    moments = df.select(*key, micros(ts).cast("double").alias("_t")).join(hot, list(key), "left_semi")
+    shares = [i / QUANTILES for i in range(QUANTILES + 1)]
+    found = moments.approxQuantile("_t", shares, 1 / (4 * QUANTILES))
+    return HotKeys(rows, counted.schema, sorted({int(b) for b in found}))
+
+
+def _place(value: Column, bounds: Sequence[int], low: int, high: int) -> Column:
+    """Slice number of ``value``: the quantile it lies in, found by a tree of comparisons, and the
+    part of that quantile's time span."""
+    if low == high:
+        if low in (0, len(bounds)):
+            return F.lit(low * SLICES_PER_QUANTILE)
+        start, end = bounds[low - 1], bounds[low]
+        part = F.floor((value - F.lit(start)) / F.lit(float(end - start)) * SLICES_PER_QUANTILE)
+        return F.lit(low * SLICES_PER_QUANTILE) + F.least(part, F.lit(SLICES_PER_QUANTILE - 1)).cast("int")
+    middle = (low + high) // 2
+    return F.when(value < F.lit(bounds[middle]), _place(value, bounds, low, middle)).otherwise(
+        _place(value, bounds, middle + 1, high)
+    )
+
+
+def with_time_slice(df: DataFrame, key: Sequence[str], ts: str, hot: HotKeys | None, name: str = "_slice") -> DataFrame:
+    """Adds the time slice of a row: 0 for all rows of a key that is not hot."""
+    if hot is None:
         return df.withColumn(name, F.lit(0))
-    shares = [i / buckets for i in range(1, buckets)]
-    found = df.select(micros(ts).cast("double").alias("t")).approxQuantile("t", shares, 1 / (4 * buckets))
-    bounds = sorted({int(b) for b in found})
-    return df.withColumn(name, _steps(micros(ts), bounds, 0, len(bounds)))
+    marked = F.broadcast(hot.frame(df.sparkSession).withColumn("_hot", F.lit(True)))
+    place = F.when(F.col("_hot"), _place(micros(ts), hot.bounds, 0, len(hot.bounds))).otherwise(F.lit(0))
+    return df.join(marked, list(key), "left").withColumn(name, place).drop("_hot")
 
 
 def with_neighbour(
@@ -50,17 +87,20 @@ def with_neighbour(
     values: Sequence[str],
     name: str,
     ahead: bool = False,
-    bucket: str = "_bucket",
+    sliced: bool = True,
 ) -> DataFrame:
     """Adds struct ``name`` with ``values`` of the previous (or next) row of the key; null at the end.
 
-    ``order`` must be total within a key and agree with the order of the buckets.
+    ``order`` must be total within a key.  With ``sliced`` the rows carry
+    ``_slice`` numbers that rise with ``order``.
     """
     step = F.lead if ahead else F.lag
+    if not sliced:
+        return df.withColumn(name, step(F.struct(*values)).over(Window.partitionBy(*key).orderBy(*order)))
     edge = F.min_by if ahead else F.max_by
-    group = [*key, bucket]
+    group = [*key, "_slice"]
     inside = df.withColumn(name, step(F.struct(*values)).over(Window.partitionBy(*group).orderBy(*order)))
     edges = df.groupBy(*group).agg(edge(F.struct(*values), F.struct(*order)).alias("_edge"))
-    across = edges.withColumn("_edge", step("_edge").over(Window.partitionBy(*key).orderBy(bucket)))
+    across = edges.withColumn("_edge", step("_edge").over(Window.partitionBy(*key).orderBy("_slice")))
     joined = inside.join(across, group, "left")
     return joined.withColumn(name, F.coalesce(name, "_edge")).drop("_edge")

@@ -43,31 +43,29 @@ def as_map(counts: DataFrame, key: str) -> DataFrame:
     return counts.agg(F.map_from_entries(entries).alias("counts"))
 
 
-def with_artifacts(tasks: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """Tasks with their artifacts, one row per artifact; tasks without any keep one row.
+def _with_artifacts(few_tasks: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """A bounded number of tasks with their artifacts, one row per artifact.
 
     Rows instead of a nested list: a task may have any number of artifacts.
+    The tasks are broadcast, so the artifacts are filtered where they lie;
+    tasks without any are added with nulls.
     """
+    few = F.broadcast(few_tasks)
     detail = artifacts.select(
-        F.col("task_id"), F.col("id").alias("artifact_id"), "artifact_type", "attempts", "is_valid",
+        "task_id", F.col("id").alias("artifact_id"), "artifact_type", "attempts", "is_valid",
         F.col("created_at").alias("artifact_created_at"),
     )
-    return tasks.join(detail, tasks["id"] == detail["task_id"], "left").drop("task_id")
+    matched = detail.join(few, detail["task_id"] == few["id"]).drop("task_id")
+    bare = few_tasks.join(matched.select("id").distinct(), "id", "left_anti")
+    return matched.unionByName(bare, allowMissingColumns=True).select(
+        *few_tasks.columns, *[c for c in detail.columns if c != "task_id"]
+    )
 
 
 def recent_tasks(tasks: DataFrame, artifacts: DataFrame, n: int = 50) -> DataFrame:
-    """The newest ``n`` tasks and their artifacts, newest first.
-
-    Only these tasks enter the join; their number makes them fit to broadcast.
-    """
-    newest = F.broadcast(tasks.orderBy(F.desc("created_at"), F.desc("id")).limit(n))
-    detail = artifacts.select(
-        "task_id", F.col("id").alias("artifact_id"), "artifact_type", "attempts", "is_valid",
-        F.col("created_at").alias("artifact_created_at"),
-    )
-    theirs = detail.join(newest.select(F.col("id").alias("task_id")), "task_id", "left_semi")
-    joined = newest.join(theirs, newest["id"] == theirs["task_id"], "left").drop("task_id")
-    return joined.orderBy(
+    """The newest ``n`` tasks and their artifacts, newest first."""
+    newest = tasks.orderBy(F.desc("created_at"), F.desc("id")).limit(n)
+    return _with_artifacts(newest, artifacts).orderBy(
         F.desc("created_at"), F.desc("id"), F.desc("artifact_created_at"), F.desc("artifact_id")
     )
 
@@ -75,7 +73,8 @@ def recent_tasks(tasks: DataFrame, artifacts: DataFrame, n: int = 50) -> DataFra
 def task_detail(tasks: DataFrame, artifacts: DataFrame, task_id: Column | int) -> DataFrame:
     """One task with its artifacts, newest first; no rows if there is no such task."""
     wanted = F.lit(task_id) if isinstance(task_id, int) else task_id
-    return with_artifacts(tasks.filter(F.col("id") == wanted), artifacts.filter(F.col("task_id") == wanted)).orderBy(
+    one = tasks.filter(F.col("id") == wanted).limit(1)
+    return _with_artifacts(one, artifacts.filter(F.col("task_id") == wanted)).orderBy(
         F.desc("artifact_created_at"), F.desc("artifact_id")
     )
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 _fallback_roots: dict[str, str] = {}
 
@@ -62,7 +63,31 @@ def scratch_database(spark: SparkSession, name: str = "tidemill_scratch") -> str
     return name
 
 
-def checkpoint(df):
-    """Cut the lineage of ``df`` with a reliable checkpoint (survives lost executors)."""
-    scratch_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+def delete_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@dataclass(frozen=True)
+class Materialized:
+    """Rows written below the scratch folder, with their number."""
+
+    rows: DataFrame
+    count: int
+    path: str
+
+    def drop(self) -> None:
+        delete_folder(self.rows.sparkSession, self.path)
+
+
+def materialize(df: DataFrame, label: str) -> Materialized:
+    """Cut the lineage of ``df``: write it once, go on from the files.
+
+    The files outlive lost executors, carry their size for the planner, and
+    the rows are counted while they are written.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    seen = Observation(f"rows_{uuid.uuid4().hex}")
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    return Materialized(spark.read.schema(df.schema).parquet(path), seen.get["rows"], path)
