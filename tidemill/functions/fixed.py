@@ -52,6 +52,14 @@ TARGET_PATTERNS = [
     r"(?:создай|создать|create)\s+(?:таблицу|витрину)\s+([a-z_][a-z0-9_]*)",
 ]
 
+# Words of which a text must hold one for the pattern at the same place to match.
+TARGET_WORDS = [
+    ["в таблицу", "в витрину", "создать таблицу", "таблица результат"],
+    ["target", "целевая"],
+    ["etl_workspace."],
+    ["таблицу", "витрину"],
+]
+
 # -- prompts -----------------------------------------------------------------
 
 STRATEGY_HINTS = {

@@ -26,10 +26,7 @@ def secrets(files: DataFrame, id_col: str) -> DataFrame:
 
 
 def _any(code: Column, patterns: list[str]) -> Column:
-    hit = F.lit(False)
-    for pattern in patterns:
-        hit = hit | code.rlike(pattern)
-    return hit
+    return code.rlike("|".join(patterns))
 
 
 def looks_like_dag(code: Column) -> Column:
@@ -131,20 +128,20 @@ def _contract(edges: DataFrame, turn: int) -> DataFrame:
     return kept.select("dag_id", "src", "dst").unionByName(shortcuts).distinct()
 
 
-def cyclic_core(edges: DataFrame, contract_after: int = 4) -> DataFrame:
+def cyclic_core(edges: DataFrame, contract_after: int = 6) -> DataFrame:
     """What is left of the graphs once all that cannot be on a circle is gone.
 
-    Each round peels edges off at both ends and writes the rest below the
+    Each round peels edges off at both ends, twice, and writes the rest below the
     scratch folder, where the next round reads it; only the number of edges
     comes to the driver.  It ends when a peel takes nothing away.  Long chains
-    would take half as many rounds as they have edges, so from round
+    would take a quarter as many rounds as they have edges, so from round
     ``contract_after`` on every other round also shortens chains by about a
     quarter (the edges left then include shortcuts).
     """
     core = materialize(edges.select("dag_id", "src", "dst").distinct(), "edges")
     turn, settled = 0, False
     while core.count and not settled:
-        rest = _peel(core.rows)
+        rest = _peel(_peel(core.rows))
         contract = turn >= contract_after and turn % 2 == 0
         left = materialize(_contract(rest, turn) if contract else rest, "edges")
         settled = not contract and left.count == core.count

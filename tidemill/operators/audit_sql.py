@@ -19,10 +19,7 @@ def without_literals(sql: Column) -> Column:
 def has_placeholder(sql: Column, literal: bool = False) -> Column:
     """Bind placeholders in the text; ``literal`` also counts look-alikes in quoted strings and casts."""
     text = sql if literal else without_literals(sql)
-    hit = F.lit(False)
-    for pattern in fixed.PLACEHOLDERS:
-        hit = hit | text.rlike(pattern)
-    return hit
+    return text.rlike("|".join(fixed.PLACEHOLDERS))
 
 
 def placeholders(steps: DataFrame, literal: bool = False) -> DataFrame:

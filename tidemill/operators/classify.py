@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemill.functions.fixed import DEFAULT_RULE, RULES, TARGET_PATTERNS
+from tidemill.functions.fixed import DEFAULT_RULE, RULES, TARGET_PATTERNS, TARGET_WORDS
 
 
 def _contains(text: Column, keyword: str, whole_words: bool) -> Column:
@@ -17,22 +17,40 @@ def _contains(text: Column, keyword: str, whole_words: bool) -> Column:
     return text.contains(keyword)
 
 
-def rule_scores(text: Column, whole_words: bool = False) -> Column:
-    """array<struct<rule_no, pattern, strategy, description, score, keywords>>, one entry per rule.
+def _flag(rule_no: int, keyword_no: int) -> str:
+    return f"_k{rule_no}_{keyword_no}"
 
-    A score is the number of keywords found anywhere in ``text``, which must be
-    in lower case already; ``whole_words`` does not count parts of words.
+
+def _with_flags(tasks: DataFrame, kept: list[str], text_col: str, whole_words: bool) -> DataFrame:
+    """``kept`` columns, the lower-case text and one flag per keyword, in one compiled projection.
+
+    Two thirds of the keywords are Cyrillic; one look for a Cyrillic letter
+    settles them all for a text without any.
     """
+    lowered = tasks.select(*kept, F.lower(text_col).alias("_text"))
+    lowered = lowered.select("*", F.col("_text").rlike("[а-яё]").alias("_cyrillic"))
+    flags = []
+    for number, rule in enumerate(RULES, start=1):
+        for k, keyword in enumerate(rule[3]):
+            found = _contains(F.col("_text"), keyword, whole_words)
+            flags.append((found if keyword.isascii() else F.col("_cyrillic") & found).alias(_flag(number, k)))
+    return lowered.select("*", *flags)
+
+
+def _rule_scores() -> Column:
+    """array<struct<rule_no, pattern, strategy, description, score, keywords>> from the flags, one entry per rule."""
     entries = []
     for number, (pattern, strategy, description, keywords) in enumerate(RULES, start=1):
-        found = F.array_compact(F.array(*[F.when(_contains(text, k, whole_words), F.lit(k)) for k in keywords]))
+        flags = [F.col(_flag(number, k)) for k in range(len(keywords))]
+        score = sum((f.cast("int") for f in flags), F.lit(0))
+        found = F.array_compact(F.array(*[F.when(f, F.lit(k)) for f, k in zip(flags, keywords)]))
         entries.append(
             F.struct(
                 F.lit(number).alias("rule_no"),
                 F.lit(pattern).alias("pattern"),
                 F.lit(strategy).alias("strategy"),
                 F.lit(description).alias("description"),
-                F.size(found).alias("score"),
+                score.alias("score"),
                 found.alias("keywords"),
             )
         )
@@ -40,23 +58,37 @@ def rule_scores(text: Column, whole_words: bool = False) -> Column:
 
 
 def scores(tasks: DataFrame, id_col: str = "id", text_col: str = "description", whole_words: bool = False) -> DataFrame:
-    """One row per description and rule with at least one keyword."""
-    lowered = tasks.select(id_col, F.lower(text_col).alias("_text"))
-    entries = lowered.select(id_col, F.inline(rule_scores(F.col("_text"), whole_words)))
-    return entries.filter("score > 0")
+    """One row per description and rule with at least one keyword.
+
+    A score is the number of keywords found anywhere in the text, whatever its
+    case; ``whole_words`` does not count parts of words.
+    """
+    flagged = _with_flags(tasks, [id_col], text_col, whole_words)
+    return flagged.select(id_col, F.inline(_rule_scores())).filter("score > 0")
 
 
 def target_hint(text: Column) -> Column:
-    """The target table named in lower-case ``text``, or null."""
-    return F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in TARGET_PATTERNS])
+    """The target table named in lower-case ``text``, or null.
+
+    A pattern is tried only where one of the words it begins with occurs: most
+    texts hold none, and looking for a word is much cheaper than a pattern.
+    """
+    hints = []
+    for pattern, words in zip(TARGET_PATTERNS, TARGET_WORDS):
+        possible = F.lit(False)
+        for word in words:
+            possible = possible | text.contains(word)
+        hints.append(F.when(possible, F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))))
+    return F.coalesce(*hints)
 
 
 def classify(
     tasks: DataFrame, id_col: str = "id", text_col: str = "description", whole_words: bool = False
 ) -> DataFrame:
     """Adds pattern, strategy, pattern_description, keywords and target_hint to each description."""
-    lowered = tasks.select("*", F.lower(text_col).alias("_text"))
-    scored = lowered.select("*", rule_scores(F.col("_text"), whole_words).alias("_rules"))
+    scored = _with_flags(tasks, tasks.columns, text_col, whole_words).select(
+        *tasks.columns, "_text", _rule_scores().alias("_rules")
+    )
     ranked = F.transform(
         F.col("_rules"), lambda r: F.struct(r.getField("score").alias("score"), (-r.getField("rule_no")).alias("first"), r.alias("rule"))
     )

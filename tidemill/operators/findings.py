@@ -44,14 +44,16 @@ def finding(id_col: Column, check: str, stage: str | None, message: Column, item
 def flagged(df: DataFrame, id_col: str, check: str, stage: str, tests: Sequence[tuple[Column, str]]) -> DataFrame:
     """One finding per row and test that holds; ``tests`` are (condition, message) in order.
 
-    All tests of a row are evaluated in one projection.
+    The tests of a row are evaluated in one compiled projection, which shares
+    what they have in common; only their outcome is turned into rows.
     """
-    hits = [
-        F.when(condition, F.struct(F.lit(f"{n:02d}").alias("item"), F.lit(message).alias("message")))
-        for n, (condition, message) in enumerate(tests)
+    outcome = df.select(F.col(id_col).alias("id"), *[condition.alias(f"_t{n}") for n, (condition, _) in enumerate(tests)])
+    entries = [
+        F.struct(F.col(f"_t{n}").alias("hit"), F.lit(f"{n:02d}").alias("item"), F.lit(message).alias("message"))
+        for n, (_, message) in enumerate(tests)
     ]
-    found = df.select(F.col(id_col).alias("id"), F.explode(F.array_compact(F.array(*hits))).alias("hit"))
-    return found.select(*finding(F.col("id"), check, stage, F.col("hit.message"), F.col("hit.item")))
+    found = outcome.select("id", F.inline(F.array(*entries))).filter("hit")
+    return found.select(*finding(F.col("id"), check, stage, F.col("message"), F.col("item")))
 
 
 def union(*parts: DataFrame) -> DataFrame:
