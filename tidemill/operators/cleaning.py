@@ -40,7 +40,10 @@ def null_tokens(df: DataFrame) -> DataFrame:
 
 
 def drop_empty_rows(df: DataFrame) -> DataFrame:
-    return df.na.drop("all")
+    filled = F.lit(False)
+    for name in df.columns:
+        filled = filled | quoted(name).isNotNull()
+    return df.filter(filled)
 
 
 def filled_counts(df: DataFrame) -> dict[str, int]:

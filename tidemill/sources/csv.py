@@ -6,13 +6,14 @@ import csv
 import io
 from collections.abc import Sequence
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tidemill.functions.names import header_names, qualified, table_name
 from tidemill.operators.cleaning import Typing, clean, duplicate_row_warnings
-from tidemill.operators.loads import Expectations, LoadReport, stage, swap
+from tidemill.operators.loads import Expectations, LoadReport, StageRejected, stage, swap
 
 DELIMITERS = (",", ";", "\t", "|")
 UTF8, CP1251, LATIN1 = "utf-8", "windows-1251", "iso-8859-1"
@@ -23,13 +24,15 @@ def intake(spark: SparkSession, path: str) -> DataFrame:
     """(file, length, accepted, reason) for every file below ``path``.
 
     A file must be named ``*.csv`` and hold something.  Contents are not read.
+    A scan leaves out empty files, so the listing itself names them.
     """
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-        .select(F.col("path").alias("file"), "length")
-    )
-    reason = F.when(~F.lower("file").endswith(".csv"), "not a .csv file").when(F.col("length") == 0, "empty file")
-    return files.select("file", "length", reason.isNull().alias("accepted"), reason.alias("reason"))
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    listed = spark.createDataFrame([(unquote(name),) for name in found.inputFiles()], "file string")
+    plain = [F.regexp_replace(c, "^([a-z]+):///", "$1:/").alias("file") for c in ("file", "path")]
+    files = listed.select(plain[0]).join(found.select(plain[1], "length"), "file", "left")
+    length = F.coalesce("length", F.lit(0).cast("bigint"))
+    reason = F.when(~F.lower("file").endswith(".csv"), "not a .csv file").when(length == 0, "empty file")
+    return files.select("file", length.alias("length"), reason.isNull().alias("accepted"), reason.alias("reason"))
 
 
 def detect_encodings(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -79,7 +82,11 @@ def shape_of(spark: SparkSession, path: str, encoding: str, sep: str | None = No
 
 
 def _read_alike(spark: SparkSession, files: Sequence[str], shape: CsvShape, multiline: bool) -> DataFrame:
-    """Files of one encoding as text columns c0, c1, … with the line kept where it did not fit."""
+    """Files of one encoding as text columns c0, c1, … with the line kept where it did not fit.
+
+    The parser must see every column, whatever is selected later, to tell which
+    lines do not fit.
+    """
     if shape.encoding == CP1251:
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     width = len(shape.columns)
@@ -89,12 +96,13 @@ def _read_alike(spark: SparkSession, files: Sequence[str], shape: CsvShape, mult
         spark.read.schema(StructType([*cells, StructField(_BAD, StringType())]))
         .options(
             header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=_BAD, multiLine=multiline,
-            encoding=shape.encoding, enforceSchema=True, **options,
+            encoding=shape.encoding, enforceSchema=True, columnPruning=False, **options,
         )
         .csv(list(files))
     )
     wider = StructType([*cells, StructField("beyond", StringType())])
-    beyond = F.from_csv(F.col(_BAD), wider.simpleString()[len("struct<"):-1].replace(":", " "), options)
+    # Spark refuses plans that read nothing but the kept line, hence the mention of c0.
+    beyond = F.from_csv(F.coalesce(F.col(_BAD), F.col("c0")), wider.simpleString()[len("struct<"):-1].replace(":", " "), options)
     too_long = F.coalesce(F.when(F.col(_BAD).isNotNull(), beyond.getField("beyond").isNotNull()), F.lit(False))
     return parsed.select("*", F.col("_metadata.file_path").alias("_file"), too_long.alias("_too_long"))
 
@@ -121,7 +129,7 @@ def scan(
     by_encoding: dict[str, list[str]] = {}
     known = [{"encoding": encoding, "file": path}] if encoding else detect_encodings(spark, path).collect()
     for row in known:
-        by_encoding.setdefault(row["encoding"], []).append(row["file"])
+        by_encoding.setdefault(row["encoding"], []).append(unquote(row["file"]))
     if not by_encoding:
         raise ValueError(f"{path} holds no lines")
     shapes = {enc: shape_of(spark, sorted(files)[0], enc, sep) for enc, files in sorted(by_encoding.items())}
@@ -156,6 +164,8 @@ def load(
     if existed and not replace_if_exists:
         raise ValueError(f"{target} exists")
     result = clean(scan(spark, path, sep).rows, typing)
+    if not result.rows.columns:
+        raise StageRejected(f"{target}: no data is left after cleaning")
     staged, rows = stage(result.rows, target, Expectations(min_rows=1))
     warnings = result.warnings + duplicate_row_warnings(result.rows_before_dedup - rows)
     if existed:
