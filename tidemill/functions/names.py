@@ -8,7 +8,6 @@ from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
 
 IDENTIFIER = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
 
@@ -69,9 +68,14 @@ def qualified(table: str, schema: str | None = None) -> str:
     return f"{schema}.{table}"
 
 
-@F.pandas_udf(StringType())
-def _ascii_base(text: pd.Series) -> pd.Series:
-    return text.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")
+def _ascii_base(name: Column) -> Column:
+    # Defined here and not at module level, so that it travels to the executors
+    # by value: these need not have the package installed.
+    @F.pandas_udf("string")
+    def ascii_base(text: pd.Series) -> pd.Series:
+        return text.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")
+
+    return ascii_base(name)
 
 
 def snake_case_column(name: Column) -> Column:

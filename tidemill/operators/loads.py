@@ -9,7 +9,7 @@ leaves the table alone, and a plan may read the table it is about to replace.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
@@ -75,7 +75,9 @@ def purge_snapshots(spark: SparkSession, table: str) -> int:
     return len(old)
 
 
-def stage(df: DataFrame, table: str, expect: Expectations = Expectations()) -> tuple[str, int]:
+def stage(
+    df: DataFrame, table: str, expect: Expectations = Expectations(), rows_per_file: int | None = None
+) -> tuple[str, int]:
     """Write ``df`` to a new snapshot of ``table`` and check it; returns (path, rows).
 
     Row count and null counts are observed while the rows are written; only the
@@ -87,7 +89,10 @@ def stage(df: DataFrame, table: str, expect: Expectations = Expectations()) -> t
     seen = Observation(f"stage_{uuid.uuid4().hex}")
     measures = [F.count(F.lit(1)).alias("rows")]
     measures += [F.count_if(F.col(c).isNull()).alias(f"null_{i}") for i, c in enumerate(expect.not_null)]
-    df.observe(seen, *measures).write.parquet(path)
+    writer = df.observe(seen, *measures).write
+    if rows_per_file:
+        writer = writer.option("maxRecordsPerFile", rows_per_file)
+    writer.parquet(path)
     found = seen.get
     problems = []
     if found["rows"] < expect.min_rows:
@@ -151,12 +156,18 @@ def add_missing_columns(df: DataFrame, table: str) -> list[str]:
     return [f.name for f in new]
 
 
-def publish(df: DataFrame, table: str, expect: Expectations = Expectations(), evolve: bool = False) -> LoadReport:
+def publish(
+    df: DataFrame,
+    table: str,
+    expect: Expectations = Expectations(),
+    evolve: bool = False,
+    rows_per_file: int | None = None,
+) -> LoadReport:
     """Replace all rows of ``table`` (made if absent) with ``df``: stage, check, swap."""
     spark = df.sparkSession
     if spark.catalog.tableExists(table):
         df = conform(df, table, evolve)
-    path, rows = stage(df, table, expect)
+    path, rows = stage(df, table, expect, rows_per_file)
     return LoadReport(table, rows, swap(spark, table, path), path)
 
 

@@ -8,25 +8,30 @@ from pyspark.sql import Column, DataFrame, functions as F
 def overview(tasks: DataFrame, artifacts: DataFrame) -> DataFrame:
     """One row: counts per state, success rate, mean attempts and mean generation time.
 
-    One conditional aggregate per table; the two single rows are put side by
-    side.  Rates are rounded half to even.
+    Both tables go through one conditional aggregate.  Rates are rounded half
+    to even.
     """
+    nothing = F.lit(None)
+    rows = tasks.select(
+        F.lit(True).alias("is_task"), "status", "generation_time_ms", nothing.cast("bigint").alias("attempts")
+    ).unionAll(
+        artifacts.select(
+            F.lit(False), nothing.cast("string"), nothing.cast("bigint"), F.col("attempts").cast("bigint")
+        )
+    )
     state = F.col("status")
-    done = F.count_if(state == "done")
-    total = F.count(F.lit(1))
+    total, done = F.count_if("is_task"), F.count_if(state == "done")
     time = F.sum("generation_time_ms") / F.count("generation_time_ms")
-    of_tasks = tasks.agg(
+    tries = F.sum("attempts") / F.count("attempts")
+    return rows.agg(
         total.alias("total_tasks"),
         done.alias("done_tasks"),
         F.count_if(state == "error").alias("error_tasks"),
         F.count_if(state.isin("pending", "processing")).alias("pending_tasks"),
         F.when(total > 0, F.bround(done / total * 100, 1)).otherwise(F.lit(0.0)).alias("success_rate"),
+        F.when(F.count("attempts") > 0, F.bround(tries, 2)).otherwise(F.lit(0.0)).alias("avg_attempts"),
         F.when(F.count("generation_time_ms") > 0, F.nullif(F.bround(time, 1), F.lit(0.0))).alias("avg_generation_time_ms"),
-        F.lit(1).alias("_one"),
     )
-    tries = F.when(F.count("attempts") > 0, F.bround(F.sum("attempts") / F.count("attempts"), 2)).otherwise(F.lit(0.0))
-    of_artifacts = artifacts.agg(tries.alias("avg_attempts"), F.lit(1).alias("_one"))
-    return of_tasks.join(of_artifacts, "_one").drop("_one")
 
 
 def per_pattern(tasks: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from tidemill.functions.scalars import money, scalar_literal
 from tidemill.operators import history, loads, marts
 from tidemill.plans.derived import view, with_views
 from tidemill.plans.registry import query
-from tidemill.session import scratch_database
+from tidemill.session import scratch_database, scratch_path
+from tidemill.streaming import incremental
 
 CUTOFF = "2000-01-01"
 
@@ -119,6 +120,18 @@ def load_upsert_partitions(t):
     return t.spark.table(table)
 
 
+@query("load_incremental_stream", "SELECT * FROM orders")
+def load_incremental_stream(t):
+    """The files of the source as a stream, taken twice: the second run finds nothing new."""
+    table = scratch_table(t, "orders")
+    loads.publish(t.orders.filter(before(CUTOFF)), table)
+    checkpoint = scratch_path(t.spark, "stream")
+    for _ in range(2):
+        stream = t.spark.readStream.schema(t.orders.schema).option("pathGlobFilter", "orders.parquet").parquet(t.sf_dir)
+        incremental.upsert_new(stream, table, ["o_orderkey"], ["o_orderdate"], checkpoint).awaitTermination()
+    return t.spark.table(table)
+
+
 @query(
     "dedup_latest",
     """
