@@ -5,24 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemill.functions import fixed
-from tidemill.operators.findings import finding, flagged
+from tidemill.operators.findings import Test, evaluate, finding, tests
 from tidemill.session import materialize
 
-# -- texts of DAG files: (id, code) -------------------------------------------
+# -- texts of DAG files: tests on the column ``code`` ---------------------------
 
 
-def forbidden(files: DataFrame, id_col: str) -> DataFrame:
-    """One finding per forbidden call in a file."""
-    code = F.col("code")
-    return flagged(files, id_col, "forbidden", "security", [(code.contains(p), m) for p, m in fixed.FORBIDDEN])
+def forbidden_tests(code: Column) -> list[Test]:
+    return tests("forbidden", "security", [(code.contains(p), m) for p, m in fixed.FORBIDDEN])
 
 
-def secrets(files: DataFrame, id_col: str) -> DataFrame:
-    """One finding per kind of secret written into a file."""
-    code = F.col("code")
-    return flagged(
-        files, id_col, "secrets", "security", [(code.rlike("(?id)" + p), fixed.SECRET_ERROR) for p in fixed.SECRETS]
-    )
+def secret_tests(code: Column) -> list[Test]:
+    return tests("secrets", "security", [(code.rlike("(?id)" + p), fixed.SECRET_ERROR) for p in fixed.SECRETS])
 
 
 def _any(code: Column, patterns: list[str]) -> Column:
@@ -33,50 +27,82 @@ def looks_like_dag(code: Column) -> Column:
     return _any(code, fixed.DAG_MARKERS) & _any(code, fixed.TASK_MARKERS)
 
 
-def dag_markers(files: DataFrame, id_col: str) -> DataFrame:
-    """Findings for files without a DAG or without a task."""
-    code = F.col("code")
-    no_dag = flagged(files, id_col, "dag_marker", "structure", [(~_any(code, fixed.DAG_MARKERS), fixed.NO_DAG)])
-    no_task = flagged(files, id_col, "task_marker", "structure", [(~_any(code, fixed.TASK_MARKERS), fixed.NO_TASK)])
-    return no_dag.unionByName(no_task)
+def marker_tests(code: Column) -> list[Test]:
+    return tests("dag_marker", "structure", [(~_any(code, fixed.DAG_MARKERS), fixed.NO_DAG)]) + tests(
+        "task_marker", "structure", [(~_any(code, fixed.TASK_MARKERS), fixed.NO_TASK)]
+    )
 
 
-def connection_ids(files: DataFrame, id_col: str) -> DataFrame:
-    code = F.col("code")
+def connection_tests(code: Column) -> list[Test]:
     given = F.lit(False)
     for text in fixed.CONNECTION_IDS:
         given = given | code.contains(text)
-    return flagged(files, id_col, "conn_id", "logic", [(code.contains("PostgresOperator") & ~given, fixed.CONNECTION_ERROR)])
+    return tests("conn_id", "logic", [(code.contains("PostgresOperator") & ~given, fixed.CONNECTION_ERROR)])
 
 
-def deprecated_imports(files: DataFrame, id_col: str) -> DataFrame:
-    """One finding per file and deprecated module it imports from."""
-    modules = F.array_distinct(F.regexp_extract_all(F.col("code"), F.lit(r"(?md)^\s*from\s+(\S+)\s+import\b"), F.lit(1)))
-    imported = files.select(F.col(id_col).alias("id"), modules.alias("modules"))
-    tests = [
-        (F.array_contains("modules", module), f"Deprecated import '{module}'. {advice}")
-        for module, advice in fixed.DEPRECATED_IMPORTS.items()
-    ]
-    return flagged(imported, "id", "deprecated_imports", "compatibility", tests)
+def deprecated_tests(code: Column) -> list[Test]:
+    imports = {m: rf"(?md)^\s*from\s+{m.replace('.', chr(92) + '.')}\s+import\b" for m in fixed.DEPRECATED_IMPORTS}
+    return tests(
+        "deprecated_imports",
+        "compatibility",
+        [(code.rlike(imports[m]), f"Deprecated import '{m}'. {advice}") for m, advice in fixed.DEPRECATED_IMPORTS.items()],
+    )
 
 
-def schedules(dags: DataFrame, id_col: str = "dag_id") -> DataFrame:
-    """Findings on ``schedule``: a cron text has 5 or 6 fields, presets must be known, ``@once`` and none warn."""
-    schedule = F.col("schedule")
+def schedule_tests(schedule: Column) -> list[Test]:
+    """A cron text has 5 or 6 fields, presets must be known, ``@once`` and none warn."""
     fields = F.size(F.filter(F.split(schedule, r"\s+"), lambda f: f != ""))
     preset = schedule.startswith("@")
-    severity = F.when(schedule.isNotNull() & ~preset & ~fields.isin(5, 6), "error").otherwise("warning")
+    bad_cron = F.coalesce(~preset & ~fields.isin(5, 6), F.lit(False))
     message = (
         F.when(schedule.isNull(), fixed.NO_SCHEDULE)
         .when(schedule == "@once", fixed.RUNS_ONCE)
-        .when(~preset & ~fields.isin(5, 6), F.concat(F.lit("Invalid cron expression: "), schedule))
+        .when(bad_cron, F.concat(F.lit("Invalid cron expression: "), schedule))
         .when(
             preset & ~schedule.isin(*fixed.SCHEDULE_PRESETS),
             F.concat(F.lit("Unknown Airflow preset schedule: "), schedule),
         )
     )
-    rows = dags.select(F.col(id_col).alias("id"), message.alias("m"), severity.alias("s")).filter("m IS NOT NULL")
-    return rows.select(*finding(F.col("id"), "schedule", "logic", F.col("m"), severity=F.col("s")))
+    severity = F.when(bad_cron, "error").otherwise("warning")
+    return [Test("schedule", "logic", message.isNotNull(), message, severity=severity)]
+
+
+def forbidden(files: DataFrame, id_col: str) -> DataFrame:
+    """One finding per forbidden call in a file."""
+    return evaluate(files, id_col, forbidden_tests(F.col("code")))
+
+
+def secrets(files: DataFrame, id_col: str) -> DataFrame:
+    """One finding per kind of secret written into a file."""
+    return evaluate(files, id_col, secret_tests(F.col("code")))
+
+
+def dag_markers(files: DataFrame, id_col: str) -> DataFrame:
+    """Findings for files without a DAG or without a task."""
+    return evaluate(files, id_col, marker_tests(F.col("code")))
+
+
+def connection_ids(files: DataFrame, id_col: str) -> DataFrame:
+    """Findings for files that use the database operator without the standard connection."""
+    return evaluate(files, id_col, connection_tests(F.col("code")))
+
+
+def deprecated_imports(files: DataFrame, id_col: str) -> DataFrame:
+    """One finding per file and deprecated module it imports from."""
+    return evaluate(files, id_col, deprecated_tests(F.col("code")))
+
+
+def schedules(dags: DataFrame, id_col: str = "dag_id") -> DataFrame:
+    return evaluate(dags, id_col, schedule_tests(F.col("schedule")))
+
+
+def file_findings(files: DataFrame, id_col: str) -> DataFrame:
+    """All tests on ``code`` and ``schedule`` of DAG files in one scan."""
+    code = F.col("code")
+    return evaluate(
+        files, id_col, marker_tests(code), forbidden_tests(code), secret_tests(code), deprecated_tests(code),
+        connection_tests(code), schedule_tests(F.col("schedule")),
+    )
 
 
 # -- tasks and edges: dag_tasks(dag_id, task_id, …), dag_edges(dag_id, src, dst) ----

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemill.functions import fixed
-from tidemill.operators.findings import finding, flagged
+from tidemill.operators.findings import evaluate, finding, tests
 
 
 # -- scripts of statements: script_steps(script_id, step, statement) ----------
@@ -115,17 +115,27 @@ def cross_task_temp(tasks: DataFrame) -> DataFrame:
 
     One row per consumer and table, with the number of other tasks that create
     it and one of these: the producers of a table are reduced to one row before
-    the join, so it never pairs all tasks that share a name.
+    the join, so it never pairs all tasks that share a name.  What a task reads
+    and what it creates is found in one scan.
     """
-    made = temp_tables(tasks).groupBy("dag_id", "table_name").agg(
+
+    def marked(pattern: str, made: bool) -> Column:
+        names = F.array_distinct(_matches(F.col("sql_text"), pattern))
+        return F.transform(names, lambda n: F.struct(normal_identifier(n).alias("table_name"), F.lit(made).alias("made")))
+
+    named = sql_tasks(tasks).select(
+        "dag_id", "task_id", F.inline(F.concat(marked(fixed.TABLE_USE, False), marked(fixed.TEMP_TABLE, True)))
+    )
+    per_task = named.groupBy("dag_id", "task_id", "table_name").agg(
+        F.bool_or("made").alias("made"), F.bool_or(~F.col("made")).alias("used")
+    )
+    makers = per_task.filter("made").groupBy("dag_id", "table_name").agg(
         F.count(F.lit(1)).alias("makers"), F.min("task_id").alias("first_maker"), F.max("task_id").alias("last_maker")
     )
-    own = temp_tables(tasks).select("dag_id", F.col("task_id").alias("consumer"), "table_name", F.lit(1).alias("own"))
-    used = table_refs(tasks).withColumnRenamed("task_id", "consumer")
-    joined = used.join(own, ["dag_id", "consumer", "table_name"], "left").join(made, ["dag_id", "table_name"])
-    others = F.col("makers") - F.coalesce("own", F.lit(0))
+    consumers = per_task.filter("used").withColumnRenamed("task_id", "consumer")
+    others = F.col("makers") - F.col("made").cast("int")
     other = F.when(F.col("first_maker") != F.col("consumer"), F.col("first_maker")).otherwise(F.col("last_maker"))
-    return joined.filter(others > 0).select(
+    return consumers.join(makers, ["dag_id", "table_name"]).filter(others > 0).select(
         "dag_id", "consumer", "table_name", others.alias("producers"), other.alias("producer")
     )
 
@@ -189,4 +199,4 @@ def data_reads(scripts: DataFrame) -> DataFrame:
     reads = F.lit(False)
     for token in fixed.DATA_READS:
         reads = reads | code.contains(token.lower())
-    return flagged(scripts, "script_id", "data_reads", "logic", [(~reads, fixed.NO_DATA_READ)])
+    return evaluate(scripts, "script_id", tests("data_reads", "logic", [(~reads, fixed.NO_DATA_READ)]))

@@ -108,19 +108,19 @@ class ColumnFacts:
 
 def column_facts(df: DataFrame) -> tuple[int, dict[str, ColumnFacts]]:
     """(rows, facts per column) in one pass; cells are judged as they will be after trimming."""
+    trimmed = df.select("*", *[trim_to_null(quoted(c)).alias(f"_trimmed{i}") for i, c in enumerate(df.columns)])
     asked = [F.count(F.lit(1)).alias("rows")]
     for i, name in enumerate(df.columns):
-        raw = quoted(name)
-        cell = trim_to_null(raw)
+        cell = F.col(f"_trimmed{i}")
         asked += [
-            F.count(raw).alias(f"r{i}"),
+            F.count(quoted(name)).alias(f"r{i}"),
             F.count(cell).alias(f"f{i}"),
             F.count(as_integer(cell)).alias(f"i{i}"),
             F.count(as_number(cell)).alias(f"n{i}"),
             (F.count(as_timestamp(cell)) if hints_at_date(snake_case(name)) else F.lit(0)).alias(f"t{i}"),
             F.count_if(cell.rlike(r"^[+-]?0[0-9]")).alias(f"z{i}"),
         ]
-    row = df.agg(*asked).first()
+    row = trimmed.agg(*asked).first()
     facts = {
         name: ColumnFacts(*(row[f"{k}{i}"] or 0 for k in "rfintz")) for i, name in enumerate(df.columns)
     }

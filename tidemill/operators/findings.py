@@ -8,6 +8,7 @@ is what was audited, checks are numbered in the order in which they speak, and
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -41,19 +42,43 @@ def finding(id_col: Column, check: str, stage: str | None, message: Column, item
     ]
 
 
-def flagged(df: DataFrame, id_col: str, check: str, stage: str, tests: Sequence[tuple[Column, str]]) -> DataFrame:
-    """One finding per row and test that holds; ``tests`` are (condition, message) in order.
+@dataclass(frozen=True)
+class Test:
+    """What one column condition says about a row."""
 
-    The tests of a row are evaluated in one compiled projection, which shares
-    what they have in common; only their outcome is turned into rows.
+    check: str
+    stage: str | None
+    condition: Column
+    message: str | Column
+    item: str = "0"
+    severity: str | Column = "error"
+
+
+def tests(check: str, stage: str, conditions: Sequence[tuple[Column, str]]) -> list[Test]:
+    """Tests of one check; the order of ``conditions`` becomes that of the findings."""
+    return [Test(check, stage, condition, message, f"{n:02d}") for n, (condition, message) in enumerate(conditions)]
+
+
+def evaluate(df: DataFrame, id_col: str, *groups: Sequence[Test]) -> DataFrame:
+    """One finding per row and test that holds, in one scan of ``df`` for all tests.
+
+    The conditions are evaluated in one compiled projection, which shares what
+    they have in common; only their outcome is turned into rows, so texts are
+    read once and carried no further.
     """
-    outcome = df.select(F.col(id_col).alias("id"), *[condition.alias(f"_t{n}") for n, (condition, _) in enumerate(tests)])
-    entries = [
-        F.struct(F.col(f"_t{n}").alias("hit"), F.lit(f"{n:02d}").alias("item"), F.lit(message).alias("message"))
-        for n, (_, message) in enumerate(tests)
-    ]
-    found = outcome.select("id", F.inline(F.array(*entries))).filter("hit")
-    return found.select(*finding(F.col("id"), check, stage, F.col("message"), F.col("item")))
+
+    every = [test for group in groups for test in group]
+    outcome = [t.condition.alias(f"_hit{n}") for n, t in enumerate(every)]
+    outcome += [t.message.alias(f"_message{n}") for n, t in enumerate(every) if isinstance(t.message, Column)]
+    outcome += [t.severity.alias(f"_severity{n}") for n, t in enumerate(every) if isinstance(t.severity, Column)]
+    judged = df.select(F.col(id_col).alias("id"), *outcome)
+    entries = []
+    for n, t in enumerate(every):
+        message = F.col(f"_message{n}") if isinstance(t.message, Column) else F.lit(t.message)
+        severity = F.col(f"_severity{n}") if isinstance(t.severity, Column) else F.lit(t.severity)
+        fields = finding(F.col("id"), t.check, t.stage, message, F.lit(t.item), severity)[1:]
+        entries.append(F.struct(F.col(f"_hit{n}").alias("hit"), *fields))
+    return judged.select("id", F.inline(F.array(*entries))).filter("hit").select(*COLUMNS)
 
 
 def union(*parts: DataFrame) -> DataFrame:

@@ -17,6 +17,8 @@ from pyspark.sql.types import Row, StructType
 
 QUANTILES = 64
 SLICES_PER_QUANTILE = 256
+# With fewer rows a key is no burden to one task.
+HOT_ROWS_AT_LEAST = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -38,16 +40,22 @@ def micros(ts: str) -> Column:
 def hot_keys(df: DataFrame, key: Sequence[str], ts: str, limit: int | None = None) -> HotKeys | None:
     """Keys with more than ``1 / limit`` of all rows; None if there is no such key.
 
-    By their definition there are fewer than ``limit`` of them (by default
-    twice the number of shuffle partitions), which bounds what comes to the
-    driver and what is broadcast later.  Only the key and time columns are read.
+    By their definition there are fewer than ``limit`` of them, which bounds
+    what comes to the driver and what is broadcast later.  Without ``limit``
+    it is twice the number of shuffle partitions, and keys of less than
+    ``HOT_ROWS_AT_LEAST`` rows are never hot.  Only the key and time columns
+    are read.
     """
     spark = df.sparkSession
+    floor = 0 if limit else HOT_ROWS_AT_LEAST
     limit = limit or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = df.count()
-    counted = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") * limit > total).drop("_n")
+    if total <= max(limit, floor):
+        return None
+    least = max(total // limit, floor)
+    counted = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > least).drop("_n")
     rows = counted.collect()
-    if not rows or total <= limit:
+    if not rows:
         return None
     hot = F.broadcast(spark.createDataFrame(rows, counted.schema))
     moments = df.select(*key, micros(ts).cast("double").alias("_t")).join(hot, list(key), "left_semi")

@@ -393,15 +393,10 @@ def audit_summary(t):
     """All checks of a DAG: files, tasks and edges together."""
     files, tasks, edges = view(t, "dag_files"), view(t, "dag_tasks"), view(t, "dag_edges")
     found = findings.union(
-        audit_dag.dag_markers(files, "dag_id"),
-        audit_dag.forbidden(files, "dag_id"),
-        audit_dag.secrets(files, "dag_id"),
-        audit_dag.deprecated_imports(files, "dag_id"),
+        audit_dag.file_findings(files, "dag_id"),
         audit_dag.duplicate_tasks(tasks),
         audit_sql.cross_task_temp_findings(tasks),
         audit_sql.schema_findings(tasks, SCHEMA),
-        audit_dag.connection_ids(files, "dag_id"),
-        audit_dag.schedules(files),
         audit_dag.cycles(edges),
         audit_dag.no_dependencies(files, edges),
     )
