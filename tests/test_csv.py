@@ -52,6 +52,13 @@ def test_different_headers_are_refused(spark, tmp_path):
         csv.scan(spark, str(tmp_path))
 
 
+def test_different_headers_in_one_encoding_are_refused_on_reading(spark, tmp_path):
+    write(tmp_path, "a.csv", "k,v\n1,x\n")
+    write(tmp_path, "b.csv", "k,w\n2,y\n")
+    with pytest.raises(Exception, match="header"):
+        csv.scan(spark, str(tmp_path)).rows.collect()
+
+
 @pytest.mark.parametrize("sep", [",", ";", "\t", "|"])
 def test_delimiters(spark, tmp_path, sep):
     found = csv.scan(spark, write(tmp_path, "a.csv", f'"x{sep},;y"{sep}b\n1{sep}2\n'))

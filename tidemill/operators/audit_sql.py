@@ -18,8 +18,10 @@ def without_literals(sql: Column) -> Column:
 
 def has_placeholder(sql: Column, literal: bool = False) -> Column:
     """Bind placeholders in the text; ``literal`` also counts look-alikes in quoted strings and casts."""
-    text = sql if literal else without_literals(sql)
-    return text.rlike("|".join(fixed.PLACEHOLDERS))
+    pattern = "|".join(fixed.PLACEHOLDERS)
+    anywhere = sql.rlike(pattern)
+    # A placeholder outside strings is one anywhere: the second look is for few texts only.
+    return anywhere if literal else anywhere & without_literals(sql).rlike(pattern)
 
 
 def placeholders(steps: DataFrame, literal: bool = False) -> DataFrame:

@@ -36,14 +36,28 @@ def build_history(
 def _build(
     usable: DataFrame, key: list[str], ts: str, change_id: str, attributes: list[str], hot: HotKeys | None
 ) -> DataFrame:
+    columns = (key, ts, change_id, attributes)
+    if hot is None:
+        return _versions(usable, *columns, hot=None)
+    named = F.broadcast(hot.frame(usable.sparkSession))
+    cold_part = _versions(usable.join(named, key, "left_anti"), *columns, hot=None)
+    hot_part = _versions(usable.join(named, key, "left_semi"), *columns, hot=hot)
+    return cold_part.unionByName(hot_part)
+
+
+def _versions(
+    usable: DataFrame, key: list[str], ts: str, change_id: str, attributes: list[str], hot: HotKeys | None
+) -> DataFrame:
+    sliced = hot is not None
     rows = latest_per_key(usable.select(*key, ts, change_id, *attributes), [*key, ts], [change_id])
-    rows = with_time_slice(rows, key, ts, hot)
-    rows = with_neighbour(rows, key, [ts], attributes, "_before", sliced=hot is not None)
+    if sliced:
+        rows = with_time_slice(rows, ts, hot)
+    rows = with_neighbour(rows, key, [ts], attributes, "_before", sliced=sliced)
     opens = F.col("_before").isNull()
     for name in attributes:
         opens = opens | ~F.col(name).eqNullSafe(F.col(f"_before.{name}"))
     versions = rows.filter(opens).drop("_before")
-    versions = with_neighbour(versions, key, [ts], [ts], "_after", ahead=True, sliced=hot is not None)
+    versions = with_neighbour(versions, key, [ts], [ts], "_after", ahead=True, sliced=sliced)
     valid_to = F.col("_after").getField(ts)
     return versions.select(
         *key,

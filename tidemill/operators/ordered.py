@@ -3,8 +3,7 @@
 A plain ``lag`` over ``PARTITION BY key`` sorts all rows of a key in one task,
 however many they are.  Keys that hold a large share of the rows are therefore
 cut into time slices; neighbours are found inside a slice, and the one that
-lies in another slice comes from a summary with a single row per (key, slice).
-All other keys are one slice each.
+lies in another slice comes from the rows at the edges, one per (key, slice).
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from pyspark.sql.types import Row, StructType
 QUANTILES = 64
 SLICES_PER_QUANTILE = 256
 # With fewer rows a key is no burden to one task.
-HOT_ROWS_AT_LEAST = 1_000_000
+HOT_ROWS_AT_LEAST = 10_000_000
 
 
 @dataclass(frozen=True)
@@ -79,13 +78,9 @@ def _place(value: Column, bounds: Sequence[int], low: int, high: int) -> Column:
     )
 
 
-def with_time_slice(df: DataFrame, key: Sequence[str], ts: str, hot: HotKeys | None, name: str = "_slice") -> DataFrame:
-    """Adds the time slice of a row: 0 for all rows of a key that is not hot."""
-    if hot is None:
-        return df.withColumn(name, F.lit(0))
-    marked = F.broadcast(hot.frame(df.sparkSession).withColumn("_hot", F.lit(True)))
-    place = F.when(F.col("_hot"), _place(micros(ts), hot.bounds, 0, len(hot.bounds))).otherwise(F.lit(0))
-    return df.join(marked, list(key), "left").withColumn(name, place).drop("_hot")
+def with_time_slice(df: DataFrame, ts: str, hot: HotKeys, name: str = "_slice") -> DataFrame:
+    """Adds the number of the time slice of a row; ``df`` holds rows of hot keys alone."""
+    return df.withColumn(name, _place(micros(ts), hot.bounds, 0, len(hot.bounds)))
 
 
 def with_neighbour(
@@ -102,13 +97,13 @@ def with_neighbour(
     ``order`` must be total within a key.  With ``sliced`` the rows carry
     ``_slice`` numbers that rise with ``order``.
     """
-    step = F.lead if ahead else F.lag
+    step, other = (F.lead, F.lag) if ahead else (F.lag, F.lead)
     if not sliced:
         return df.withColumn(name, step(F.struct(*values)).over(Window.partitionBy(*key).orderBy(*order)))
-    edge = F.min_by if ahead else F.max_by
     group = [*key, "_slice"]
-    inside = df.withColumn(name, step(F.struct(*values)).over(Window.partitionBy(*group).orderBy(*order)))
-    edges = df.groupBy(*group).agg(edge(F.struct(*values), F.struct(*order)).alias("_edge"))
+    within = Window.partitionBy(*group).orderBy(*order)
+    inside = df.withColumns({name: step(F.struct(*values)).over(within), "_last": other(F.lit(1)).over(within).isNull()})
+    edges = inside.filter("_last").select(*group, F.struct(*values).alias("_edge"))
     across = edges.withColumn("_edge", step("_edge").over(Window.partitionBy(*key).orderBy("_slice")))
-    joined = inside.join(across, group, "left")
+    joined = inside.drop("_last").join(across, group, "left")
     return joined.withColumn(name, F.coalesce(name, "_edge")).drop("_edge")

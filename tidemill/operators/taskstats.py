@@ -52,9 +52,10 @@ def _with_artifacts(few_tasks: DataFrame, artifacts: DataFrame) -> DataFrame:
     """A bounded number of tasks with their artifacts, one row per artifact.
 
     Rows instead of a nested list: a task may have any number of artifacts.
-    The tasks are broadcast, so the artifacts are filtered where they lie;
-    tasks without any are added with nulls.
+    The tasks are fetched once and broadcast, so the artifacts are filtered
+    where they lie; tasks without any are added with nulls.
     """
+    few_tasks = few_tasks.sparkSession.createDataFrame(few_tasks.collect(), few_tasks.schema)
     few = F.broadcast(few_tasks)
     detail = artifacts.select(
         "task_id", F.col("id").alias("artifact_id"), "artifact_type", "attempts", "is_valid",

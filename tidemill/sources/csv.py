@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tidemill.functions.names import header_names, qualified, table_name
-from tidemill.operators.cleaning import Typing, clean, duplicate_row_warnings
+from tidemill.operators.cleaning import Typing, clean, duplicate_row_warnings, quoted
 from tidemill.operators.loads import Expectations, LoadReport, StageRejected, stage, swap
 
 DELIMITERS = (",", ";", "\t", "|")
@@ -65,6 +65,7 @@ class CsvShape:
     encoding: str
     sep: str
     columns: list[str]
+    plain_header: bool = True
 
 
 def first_line(spark: SparkSession, path: str, encoding: str) -> str:
@@ -78,33 +79,40 @@ def shape_of(spark: SparkSession, path: str, encoding: str, sep: str | None = No
     """Delimiter and column names from the header line."""
     header = first_line(spark, path, encoding)
     sep = sep or detect_delimiter(header)
-    return CsvShape(encoding, sep, header_names(next(csv.reader(io.StringIO(header), delimiter=sep))))
+    cells = next(csv.reader(io.StringIO(header), delimiter=sep))
+    return CsvShape(encoding, sep, header_names(cells), cells == header_names(cells))
 
 
 def _read_alike(spark: SparkSession, files: Sequence[str], shape: CsvShape, multiline: bool) -> DataFrame:
     """Files of one encoding as text columns c0, c1, … with the line kept where it did not fit.
 
     The parser must see every column, whatever is selected later, to tell which
-    lines do not fit.
+    lines do not fit.  Where the header cells are distinct names, Spark compares
+    the header of each file with them as it opens the file.
     """
     if shape.encoding == CP1251:
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     width = len(shape.columns)
     cells = [StructField(f"c{i}", StringType()) for i in range(width)]
+    comparable = shape.plain_header and len({c.lower() for c in [*shape.columns, _BAD]}) == width + 1
+    read_as = [StructField(c, StringType()) for c in shape.columns] if comparable else cells
     options = {"sep": shape.sep, "quote": '"', "escape": '"'}
     parsed = (
-        spark.read.schema(StructType([*cells, StructField(_BAD, StringType())]))
+        spark.read.schema(StructType([*read_as, StructField(_BAD, StringType())]))
         .options(
             header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=_BAD, multiLine=multiline,
-            encoding=shape.encoding, enforceSchema=True, columnPruning=False, **options,
+            encoding=shape.encoding, enforceSchema=not comparable, columnPruning=False, **options,
         )
         .csv(list(files))
     )
+    parsed = parsed.select(
+        *[quoted(f.name).alias(f"c{i}") for i, f in enumerate(read_as)], _BAD, F.col("_metadata.file_path").alias("_file")
+    )
     wider = StructType([*cells, StructField("beyond", StringType())])
     # Spark refuses plans that read nothing but the kept line, hence the mention of c0.
     beyond = F.from_csv(F.coalesce(F.col(_BAD), F.col("c0")), wider.simpleString()[len("struct<"):-1].replace(":", " "), options)
     too_long = F.coalesce(F.when(F.col(_BAD).isNotNull(), beyond.getField("beyond").isNotNull()), F.lit(False))
-    return parsed.select("*", F.col("_metadata.file_path").alias("_file"), too_long.alias("_too_long"))
+    return parsed.select("*", too_long.alias("_too_long"))
 
 
 @dataclass(frozen=True)
