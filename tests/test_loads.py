@@ -1,6 +1,9 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from tidemill.functions.schemas import ETL_TASKS
 from tidemill.operators import loads
 from tidemill.operators.loads import Expectations, ScriptFailed, StageRejected, Step
 
@@ -108,6 +111,8 @@ def test_partition_upsert_leaves_other_partitions_alone(spark, new_table):
     assert sorted((r["id"], r["p"], r["v"]) for r in spark.table(table).collect()) == [(1, "x", "a"), (2, "y", "B"), (3, "z", "c")]
     with pytest.raises(ValueError):
         loads.upsert_partitions(batch, table, ["id"], ["v"], ["p"])
+    wanted = spark.table(table).filter(loads._in_partitions(batch, ["p"]))
+    assert re.search(r"PartitionFilters: \[\(*p#", wanted._jdf.queryExecution().executedPlan().toString())
 
 
 def test_latest_per_key_trims_before_the_shuffle(spark):
@@ -176,3 +181,14 @@ def test_step_report(spark):
     )
     got = {r["script_id"]: (r["steps"], r["failed_steps"], r["first_failed_step"], r["error"]) for r in loads.step_report(log).collect()}
     assert got == {1: (3, 2, 2, "Statement #2 (INSERT): no table"), 2: (1, 0, None, None)}
+
+
+def test_service_tables_are_made_and_widened(spark, new_table):
+    table = new_table("etl_tasks")
+    old = ", ".join(ETL_TASKS.split(", ")[:8])
+    assert len(loads.ensure_table(spark, table, old)) == 8
+    loads.append(spark.createDataFrame([(1, None, None, "t", "sql", "done", ["a"], None)], old), table)
+    assert loads.ensure_table(spark, table, ETL_TASKS) == ["etl_pattern", "generation_time_ms", "dag_schedule"]
+    assert loads.ensure_table(spark, table, ETL_TASKS) == []
+    row = spark.table(table).first()
+    assert row["source_tables"] == ["a"] and row["dag_schedule"] is None

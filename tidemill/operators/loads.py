@@ -156,6 +156,15 @@ def add_missing_columns(df: DataFrame, table: str) -> list[str]:
     return [f.name for f in new]
 
 
+def ensure_table(spark: SparkSession, table: str, schema: str) -> list[str]:
+    """Make ``table`` with the columns of a DDL ``schema``, or add those it lacks; returns the added ones."""
+    empty = spark.createDataFrame([], schema)
+    if spark.catalog.tableExists(table):
+        return add_missing_columns(empty, table)
+    publish(empty, table)
+    return list(empty.columns)
+
+
 def publish(
     df: DataFrame,
     table: str,
@@ -275,13 +284,24 @@ def upsert_partitions(
     spark = batch.sparkSession
     target = spark.table(table)
     batch, _ = split_null_keys(conform(batch, table), keys)
-    touched = batch.select(*partition_by).distinct()
-    affected = target.join(touched, list(partition_by), "left_semi").select(*target.columns)
+    affected = target.filter(_in_partitions(batch, partition_by)).select(*target.columns)
     path = f"{_snapshot_root(spark, table)}/{uuid.uuid4().hex}"
     upserted(affected, batch, keys, order_by).write.partitionBy(*partition_by).parquet(path)
     swap_partitions(spark, table, path, partition_by)
 
 
+def _in_partitions(batch: DataFrame, partition_by: Sequence[str]) -> Column:
+    """True in the partitions ``batch`` falls in: literals, so that the other ones are not even listed."""
+    kinds = {f.name: f.dataType for f in batch.schema}
+    touched = F.lit(False)
+    for row in batch.select(*[F.col(c).cast("string").alias(c) for c in partition_by]).distinct().collect():
+        same = F.lit(True)
+        for c in partition_by:
+            same = same & (F.col(c) == F.lit(row[c]).cast(kinds[c]))
+        touched = touched | same
+    return touched
+
+
 def swap_partitions(spark: SparkSession, table: str, path: str, partition_by: Sequence[str]) -> None:
     """Point the partitions found below ``path`` to it; new ones are added to the table."""
     kinds = {f.name: f.dataType for f in spark.table(table).schema}
@@ -289,14 +309,10 @@ def swap_partitions(spark: SparkSession, table: str, path: str, partition_by: Se
     staged = spark.read.parquet(path).select(
         *[F.col(c).cast(kinds[c]).cast("string").alias(c) for c in partition_by], folder
     )
-    known = {tuple(r) for r in spark.table(table).select(*[F.col(c).cast("string") for c in partition_by]).distinct().collect()}
     for row in staged.distinct().collect():
-        values = [row[c] for c in partition_by]
-        spec = ", ".join(f"`{c}` = '{v}'" for c, v in zip(partition_by, values))
-        if tuple(values) in known:
-            spark.sql(f"ALTER TABLE {table} PARTITION ({spec}) SET LOCATION '{row['folder']}'")
-        else:
-            spark.sql(f"ALTER TABLE {table} ADD PARTITION ({spec}) LOCATION '{row['folder']}'")
+        spec = ", ".join(f"`{c}` = '{row[c]}'" for c in partition_by)
+        spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS PARTITION ({spec}) LOCATION '{row['folder']}'")
+        spark.sql(f"ALTER TABLE {table} PARTITION ({spec}) SET LOCATION '{row['folder']}'")
     spark.catalog.refreshTable(table)
 
 
