@@ -29,7 +29,10 @@ def test_descriptions(spark):
 
 
 def test_scores_by_hand(spark):
-    texts = [d[0] for d in DESCRIPTIONS] + ["SUMMARY of the country count", "scd2 scd type 2", "append delta merge upsert"]
+    texts = [d[0] for d in DESCRIPTIONS] + [
+        "SUMMARY of the country count", "scd2 scd type 2", "append delta merge upsert", "x история изменений y",
+        "история, изменений", "история  изменений", "a новые записи", "новые a записи", "новые записи1", "1топ2отчёт",
+    ]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, description string")
     got = {(r["id"], r["pattern"]): (r["score"], r["keywords"]) for r in classify.scores(df).collect()}
     want = {}

@@ -24,16 +24,19 @@ def _flag(rule_no: int, keyword_no: int) -> str:
 def _with_flags(tasks: DataFrame, kept: list[str], text_col: str, whole_words: bool) -> DataFrame:
     """``kept`` columns, the lower-case text and one flag per keyword, in one compiled projection.
 
-    Two thirds of the keywords are Cyrillic; one look for a Cyrillic letter
-    settles them all for a text without any.
+    Two thirds of the keywords are Cyrillic words with single blanks between
+    them.  They are looked for in a copy of the text in which whatever lies
+    between Cyrillic passages is a single bar, which leaves little to search in
+    texts of other alphabets and cannot hide or make a match.
     """
     lowered = tasks.select(*kept, F.lower(text_col).alias("_text"))
-    lowered = lowered.select("*", F.col("_text").rlike("[а-яё]").alias("_cyrillic"))
-    flags = []
-    for number, rule in enumerate(RULES, start=1):
-        for k, keyword in enumerate(rule[3]):
-            found = _contains(F.col("_text"), keyword, whole_words)
-            flags.append((found if keyword.isascii() else F.col("_cyrillic") & found).alias(_flag(number, k)))
+    passages = F.col("_text") if whole_words else F.regexp_replace("_text", "[^а-яё ][^а-яё]*", "|")
+    lowered = lowered.select("*", passages.alias("_cyrillic"))
+    flags = [
+        _contains(F.col("_text" if keyword.isascii() else "_cyrillic"), keyword, whole_words).alias(_flag(number, k))
+        for number, rule in enumerate(RULES, start=1)
+        for k, keyword in enumerate(rule[3])
+    ]
     return lowered.select("*", *flags)
 
 
