@@ -192,3 +192,21 @@ def test_service_tables_are_made_and_widened(spark, new_table):
     assert loads.ensure_table(spark, table, ETL_TASKS) == []
     row = spark.table(table).first()
     assert row["source_tables"] == ["a"] and row["dag_schedule"] is None
+
+
+def test_tables_made_elsewhere_can_be_replaced(spark, new_table):
+    plain, parted = new_table("plain"), new_table("parted")
+    df = spark.createDataFrame([(1, "x", "a b"), (2, "y", "c")], "id int, v string, p string")
+    df.write.saveAsTable(plain)
+    df.write.partitionBy("p").saveAsTable(parted)
+    new = spark.createDataFrame([(3, "z", "c"), (4, "w", "d/e")], "id int, v string, p string")
+    for table in (plain, parted):
+        assert loads.truncate_insert(new, table, Expectations(unique=["id"])).rows == 2
+        assert rows(spark, table) == [(3, "z", "c"), (4, "w", "d/e")]
+    loads.append(df, parted)
+    assert spark.table(parted).count() == 4 and spark.table(parted).filter("p = 'c'").count() == 2
+    with pytest.raises(StageRejected):
+        loads.publish(new.unionByName(new), parted, Expectations(unique=["id"]))
+    with pytest.raises(ValueError, match="partitioned"):
+        loads.purge_snapshots(spark, parted)
+    assert spark.table(parted).count() == 4

@@ -11,6 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
@@ -62,8 +63,12 @@ def purge_snapshots(spark: SparkSession, table: str) -> int:
     """Delete every snapshot of ``table`` but the one it points to; returns how many.
 
     Meant for a quiet hour: a reader that began before the last swap still uses
-    an older folder.
+    an older folder, and a load that is being staged has one as well.  The
+    partitions of a partitioned table may live in any number of snapshots, so
+    such a table is refused.
     """
+    if partition_columns(spark, table):
+        raise ValueError(f"{table} is partitioned")
     root = spark._jvm.org.apache.hadoop.fs.Path(_snapshot_root(spark, table))
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(root):
@@ -76,7 +81,11 @@ def purge_snapshots(spark: SparkSession, table: str) -> int:
 
 
 def stage(
-    df: DataFrame, table: str, expect: Expectations = Expectations(), rows_per_file: int | None = None
+    df: DataFrame,
+    table: str,
+    expect: Expectations = Expectations(),
+    rows_per_file: int | None = None,
+    partition_by: Sequence[str] = (),
 ) -> tuple[str, int]:
     """Write ``df`` to a new snapshot of ``table`` and check it; returns (path, rows).
 
@@ -92,6 +101,8 @@ def stage(
     writer = df.observe(seen, *measures).write
     if rows_per_file:
         writer = writer.option("maxRecordsPerFile", rows_per_file)
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     found = seen.get
     problems = []
@@ -110,9 +121,24 @@ def stage(
     return path, found["rows"]
 
 
+def partition_columns(spark: SparkSession, table: str) -> list[str]:
+    return [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
+
+
 def swap(spark: SparkSession, table: str, path: str) -> bool:
-    """Point ``table`` at a staged snapshot; True when it existed before."""
+    """Point ``table`` at a staged snapshot; True when it existed before.
+
+    A partitioned table is moved partition by partition, and loses the
+    partitions the snapshot does not have.
+    """
     if spark.catalog.tableExists(table):
+        parts = partition_columns(spark, table)
+        if parts:
+            kept = swap_partitions(spark, table, path, parts)
+            for spec in _listed_partitions(spark, table) - kept:
+                spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({_spec_sql(spec)})")
+            spark.catalog.refreshTable(table)
+            return True
         spark.sql(f"ALTER TABLE {table} SET LOCATION '{path}'")
         spark.catalog.refreshTable(table)
         return True
@@ -174,9 +200,11 @@ def publish(
 ) -> LoadReport:
     """Replace all rows of ``table`` (made if absent) with ``df``: stage, check, swap."""
     spark = df.sparkSession
+    parts: list[str] = []
     if spark.catalog.tableExists(table):
         df = conform(df, table, evolve)
-    path, rows = stage(df, table, expect, rows_per_file)
+        parts = partition_columns(spark, table)
+    path, rows = stage(df, table, expect, rows_per_file, parts)
     return LoadReport(table, rows, swap(spark, table, path), path)
 
 
@@ -270,7 +298,12 @@ def upsert(
 
 
 def upsert_partitions(
-    batch: DataFrame, table: str, keys: Sequence[str], order_by: Sequence[str], partition_by: Sequence[str]
+    batch: DataFrame,
+    table: str,
+    keys: Sequence[str],
+    order_by: Sequence[str],
+    partition_by: Sequence[str],
+    expect: Expectations = Expectations(),
 ) -> None:
     """Upsert that rewrites only the partitions the batch falls in.
 
@@ -285,8 +318,7 @@ def upsert_partitions(
     target = spark.table(table)
     batch, _ = split_null_keys(conform(batch, table), keys)
     affected = target.filter(_in_partitions(batch, partition_by)).select(*target.columns)
-    path = f"{_snapshot_root(spark, table)}/{uuid.uuid4().hex}"
-    upserted(affected, batch, keys, order_by).write.partitionBy(*partition_by).parquet(path)
+    path, _ = stage(upserted(affected, batch, keys, order_by), table, expect, partition_by=partition_by)
     swap_partitions(spark, table, path, partition_by)
 
 
@@ -302,18 +334,37 @@ def _in_partitions(batch: DataFrame, partition_by: Sequence[str]) -> Column:
     return touched
 
 
-def swap_partitions(spark: SparkSession, table: str, path: str, partition_by: Sequence[str]) -> None:
-    """Point the partitions found below ``path`` to it; new ones are added to the table."""
+Spec = tuple[tuple[str, str], ...]
+
+
+def _spec_sql(spec: Spec) -> str:
+    return ", ".join(f"`{column}` = '{value}'" for column, value in spec)
+
+
+def _listed_partitions(spark: SparkSession, table: str) -> set[Spec]:
+    names = [r[0] for r in spark.sql(f"SHOW PARTITIONS {table}").collect()]
+    return {tuple((c, unquote(v)) for c, _, v in (p.partition("=") for p in name.split("/"))) for name in names}
+
+
+def swap_partitions(spark: SparkSession, table: str, path: str, partition_by: Sequence[str]) -> set[Spec]:
+    """Point the partitions found below ``path`` to it, new ones are added to the table; returns them.
+
+    Only names of partitions are looked at.
+    """
     kinds = {f.name: f.dataType for f in spark.table(table).schema}
     folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("folder")
     staged = spark.read.parquet(path).select(
         *[F.col(c).cast(kinds[c]).cast("string").alias(c) for c in partition_by], folder
     )
+    moved = set()
     for row in staged.distinct().collect():
-        spec = ", ".join(f"`{c}` = '{row[c]}'" for c in partition_by)
-        spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS PARTITION ({spec}) LOCATION '{row['folder']}'")
-        spark.sql(f"ALTER TABLE {table} PARTITION ({spec}) SET LOCATION '{row['folder']}'")
+        spec = tuple((c, row[c]) for c in partition_by)
+        where, place = f"PARTITION ({_spec_sql(spec)})", unquote(row["folder"])
+        spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS {where} LOCATION '{place}'")
+        spark.sql(f"ALTER TABLE {table} {where} SET LOCATION '{place}'")
+        moved.add(spec)
     spark.catalog.refreshTable(table)
+    return moved
 
 
 # -- patterns on top ---------------------------------------------------------
@@ -396,9 +447,11 @@ def run_steps(spark: SparkSession, steps: Sequence[Step], sources: dict[str, Dat
             used = {name: df for name, df in frames.items() if "{" + name + "}" in step.sql}
             result = spark.sql(step.sql, **used)
             if step.target:
+                parts: list[str] = []
                 if spark.catalog.tableExists(step.target):
                     result = conform(result, step.target)
-                path, _ = stage(result, step.target, step.expect)
+                    parts = partition_columns(spark, step.target)
+                path, _ = stage(result, step.target, step.expect, partition_by=parts)
                 staged.append((step.target, path))
                 result = spark.read.parquet(path)
         except Exception as error:
