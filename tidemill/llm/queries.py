@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemill.llm import bpe_codec, token_counts
+from tidemill.llm import bpe_codec, exact_dedup, line_dedup, mixing, oracles, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,5 +22,26 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.code_digests(_table(spark, sf_dir, "documents"), path)
 
 
-QUERIES = {fn.__name__: fn for fn in (op1_token_counts, op5_bpe_codec)}
-ORACLES: dict[str, str] = {}
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.find_copies(_table(spark, sf_dir, "documents"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_plan(_table(spark, sf_dir, "documents"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = line_dedup.drop_repeated_lines(documents)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+QUERIES = {
+    fn.__name__: fn
+    for fn in (op1_token_counts, op5_bpe_codec, op6_exact_dedup, op7_mixing, op8_line_dedup)
+}
+ORACLES: dict[str, str] = {
+    "op6_exact_dedup": oracles.OP6,
+    "op7_mixing": oracles.OP7,
+    "op8_line_dedup": oracles.OP8,
+}
