@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
+import os
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemill.llm import bpe_codec, exact_dedup, line_dedup, mixing, oracles, token_counts
+from tidemill.llm import bpe_codec, exact_dedup, line_dedup, mixing, oracles, simhash, token_counts
+
+#: The folder that holds the library.
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers find this package where it lies, also if the driver's path was set after its start."""
+    paths = spark.sparkContext.environment
+    known = [path for path in paths.get("PYTHONPATH", "").split(os.pathsep) if path]
+    if ROOT not in known:
+        paths["PYTHONPATH"] = os.pathsep.join([*known, ROOT])
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -17,6 +31,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), path, limit=512)
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(_table(spark, sf_dir, "documents"), shingle=4, radius=4)
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return bpe_codec.code_digests(_table(spark, sf_dir, "documents"), path)
@@ -38,7 +56,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     fn.__name__: fn
-    for fn in (op1_token_counts, op5_bpe_codec, op6_exact_dedup, op7_mixing, op8_line_dedup)
+    for fn in (op1_token_counts, op3_simhash, op5_bpe_codec, op6_exact_dedup, op7_mixing, op8_line_dedup)
 }
 ORACLES: dict[str, str] = {
     "op6_exact_dedup": oracles.OP6,
