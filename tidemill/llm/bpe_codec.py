@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
@@ -146,7 +147,7 @@ class Codec:
 
 
 class Digests:
-    """Digests of ids and decoded texts of whole documents, word by word from memory.
+    """Number of tokens, ids and decoded text of whole documents, word by word from memory.
 
     For vocabularies without a decoder: tokens are joined by spaces then, so that
     a decoded document is its decoded words joined by spaces. With a decoder, ids are decoded at once.
@@ -172,9 +173,8 @@ class Digests:
         sections, special = codec.model.sections(text)
         if special or codec.model.library.decoder is not None:
             ids = codec.encode(text)
-            return len(ids), _sha(" ".join(map(str, ids))), _sha(codec.decode(ids))
-        n_tokens, ids, decoded = _joined(list(map(self.chunks.__getitem__, codec._section(text))))
-        return n_tokens, _sha(ids), _sha(decoded)
+            return len(ids), " ".join(map(str, ids)), codec.decode(ids)
+        return _joined(list(map(self.chunks.__getitem__, codec._section(text))))
 
 
 def _joined(parts: list[tuple[int, str, str]]) -> tuple[int, str, str]:
@@ -198,10 +198,17 @@ def _digests(path: str) -> Digests:
     return Digests(codec(path))
 
 
-def _digest_batch(batch, path: str) -> list:
+def _digest_batch(batch, path: str, with_ids: bool) -> list:
     digests = _digests(path)
-    found = [digests.of(text) for text in texts_of(batch)]
-    return [batch.column(0), *([row[i] for row in found] for i in range(3))]
+    counts, ids, shas, decoded = [], [], [], []
+    for text in texts_of(batch):
+        count, numbers, plain = digests.of(text)
+        counts.append(count)
+        shas.append(_sha(numbers))
+        decoded.append(_sha(plain))
+        if with_ids:
+            ids.append(np.array(numbers.split(), np.int32))
+    return [batch.column(0), counts, shas, decoded, *([ids] if with_ids else [])]
 
 
 def _encode_batch(batch, path: str) -> list:
@@ -232,12 +239,12 @@ def decode_ids(encoded: DataFrame, tokenizer: str, key: str = "doc_id", ids: str
     return map_batches(encoded.select(F.col(key), F.col(ids)), _decode_batch, schema, tokenizer)
 
 
-def code_digests(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def code_digests(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """``key``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of every whole text.
 
     The same as ``encode_texts`` and ``decode_ids`` one after the other, rows
     and special cases included, but the ids of a document, many times its
-    size as rows of numbers, never leave the task that made them.
+    size as rows of numbers, leave the task that made them only if ``with_ids`` asks for a column ``ids``.
     """
     schema = StructType(
         [
@@ -245,6 +252,7 @@ def code_digests(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
             StructField("n_tokens", LongType()),
             StructField("ids_sha256", StringType()),
             StructField("decoded_sha256", StringType()),
+            *([StructField("ids", ArrayType(IntegerType()))] if with_ids else []),
         ]
     )
-    return map_batches(docs.select(F.col(key), F.col(text)), _digest_batch, schema, tokenizer)
+    return map_batches(docs.select(F.col(key), F.col(text)), _digest_batch, schema, tokenizer, with_ids)

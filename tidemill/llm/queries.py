@@ -7,7 +7,7 @@ import os
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemill.llm import bpe_codec, exact_dedup, line_dedup, mixing, oracles, simhash, token_counts
+from tidemill.llm import bpe_codec, exact_dedup, line_dedup, mixing, oracles, simhash, token_counts, toxicity
 
 #: The folder that holds the library.
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -31,6 +31,17 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), path, limit=512)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(documents, _table(spark, sf_dir, "labels"))
+    return toxicity.with_scores(documents, model).select(
+        "doc_id",
+        (~toxicity.learnable(F.col("doc_id"))).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(_table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
@@ -56,7 +67,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     fn.__name__: fn
-    for fn in (op1_token_counts, op3_simhash, op5_bpe_codec, op6_exact_dedup, op7_mixing, op8_line_dedup)
+    for fn in (op1_token_counts, op2_toxicity, op3_simhash, op5_bpe_codec, op6_exact_dedup, op7_mixing, op8_line_dedup)
 }
 ORACLES: dict[str, str] = {
     "op6_exact_dedup": oracles.OP6,
