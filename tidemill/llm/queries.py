@@ -7,7 +7,7 @@ import os
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemill.llm import ann, bpe_codec, exact_dedup, line_dedup, mixing, oracles, simhash, token_counts, toxicity
+from tidemill.llm import ann, bpe_codec, exact_dedup, line_dedup, mixing, oracles, simhash, surrogates, token_counts, toxicity
 
 #: The folder that holds the library.
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -46,6 +46,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(_table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
 
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A key of the run would come from a secret store; the query has a fixed one, so that reruns agree."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replace_entities(documents, b"query key")
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return bpe_codec.code_digests(_table(spark, sf_dir, "documents"), path)
@@ -73,7 +79,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     fn.__name__: fn
-    for fn in (op1_token_counts, op2_toxicity, op3_simhash, op5_bpe_codec, op6_exact_dedup, op7_mixing, op8_line_dedup, op10_nearest)
+    for fn in (op1_token_counts, op2_toxicity, op3_simhash, op4_surrogates, op5_bpe_codec, op6_exact_dedup, op7_mixing, op8_line_dedup, op10_nearest)
 }
 ORACLES: dict[str, str] = {
     "op6_exact_dedup": oracles.OP6,
