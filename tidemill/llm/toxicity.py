@@ -12,8 +12,8 @@ model folds into one number per bucket, which is what tasks get.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
-from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import lru_cache
 from math import exp
@@ -72,12 +72,6 @@ class Scorer:
         return 1 / (1 + exp(-min(max(logit, -30.0), 30.0)))
 
 
-def _flat(lists: Iterable[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    lists = list(lists)
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter((x for row in lists for x in row), np.int64, int(sizes.sum())), sizes
-
-
 def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Sums of consecutive stretches, none of them empty."""
     return np.add.reduceat(values, np.cumsum(sizes) - sizes)
@@ -89,7 +83,7 @@ def _telling_buckets(of_word, word_sizes, of_text, text_sizes, target, buckets:
     All others stay at zero: what chance distributes can be learnt by heart only.
     """
     starts = np.cumsum(word_sizes) - word_sizes
-    texts = np.zeros((2, buckets))
+    texts = np.zeros((2, buckets), np.float32)
     for words, toxic in zip(np.split(of_text, np.cumsum(text_sizes)[:-1]), target, strict=True):
         sizes = word_sizes[words]
         inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -109,28 +103,38 @@ def train(
     ``odds``: toxic to clean documents where the model will be used; the sample may hold another
     share. Texts without words take no part. With one class only, the score is constant.
     """
-    counted = [(Counter(words_of(text)), label) for text, label in zip(texts, labels, strict=True)]
-    counted = [(words, label) for words, label in counted if words]
-    target = np.array([label for _, label in counted], float)
+    number: dict[str, int] = {}
+    of_text, counts, text_sizes, marks = array("i"), array("f"), [], []
+    for text, label in zip(texts, labels, strict=True):
+        words = Counter(words_of(text))
+        if words:
+            scale = SHARPNESS / sum(words.values()) ** 0.5
+            of_text.extend([number.setdefault(word, len(number)) for word in words])
+            counts.extend([n * scale for n in words.values()])
+            text_sizes.append(len(words))
+            marks.append(label)
+    target = np.array(marks, float)
     toxic = target.sum()
     if not toxic or toxic == len(target):
         return Model(np.zeros(buckets, np.float32), 30.0 if toxic else -30.0)
-    number = {word: i for i, word in enumerate(dict.fromkeys(word for words, _ in counted for word in words))}
-    of_word, word_sizes = _flat(subwords(word, buckets) for word in number)
-    of_text, text_sizes = _flat([number[word] for word in words] for words, _ in counted)
+    of_word, word_sizes = array("i"), array("i")
+    for word in number:
+        parts = subwords(word, buckets)
+        of_word.extend(parts)
+        word_sizes.append(len(parts))
+    of_text, counts, of_word, word_sizes = (np.array(part) for part in (of_text, counts, of_word, word_sizes))
+    text_sizes = np.array(text_sizes)
     used = _telling_buckets(of_word, word_sizes, of_text, text_sizes, target, buckets, least_errors)
-    counts = np.concatenate([np.fromiter(words.values(), float, len(words)) for words, _ in counted])
-    counts *= np.repeat(SHARPNESS / np.sqrt(_sums(counts, text_sizes)), text_sizes)
     share = np.where(target > 0, 0.5 / toxic, 0.5 / (len(target) - toxic))
     rng = np.random.default_rng(seed)
     embeddings = rng.normal(0, 0.05, (buckets, dimensions)).astype(np.float32)
     weights = rng.normal(0, 0.5, (2, dimensions))
     biases = np.zeros(2)
-    place = np.full(buckets, len(used))
+    place = np.full(buckets, -1, np.int32)
     place[used] = np.arange(len(used))
     at = place[of_word]
-    word_of = np.repeat(np.arange(len(number)), word_sizes)[at < len(used)]
-    at = at[at < len(used)]
+    word_of = np.repeat(np.arange(len(number), dtype=np.int32), word_sizes)[at >= 0]
+    at = at[at >= 0]
     moments = [np.zeros((len(used), dimensions)), np.zeros((2, dimensions)), np.zeros(2)]
     spreads = [np.zeros_like(moment) for moment in moments]
     own = embeddings[used].astype(float)
@@ -164,7 +168,7 @@ def learnable(key: Column) -> Column:
 
 def fit(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
-    most_of_class: int = 2000, **settings,
+    most_of_class: int = 1500, **settings,
 ) -> Model:
     """A model from at most ``most_of_class`` toxic and twice as many clean labelled documents.
 
