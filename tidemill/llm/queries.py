@@ -7,7 +7,7 @@ import os
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemill.llm import ann, bpe_codec, exact_dedup, line_dedup, mixing, oracles, simhash, surrogates, token_counts, toxicity
+from tidemill.llm import ann, bpe_codec, exact_dedup, line_dedup, mixing, oracles, simhash, suffix_dedup, surrogates, token_counts, toxicity
 
 #: The folder that holds the library.
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -71,6 +71,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stated query set, every hundredth id, against all rows."""
     embeddings = _table(spark, sf_dir, "embeddings")
@@ -79,7 +84,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     fn.__name__: fn
-    for fn in (op1_token_counts, op2_toxicity, op3_simhash, op4_surrogates, op5_bpe_codec, op6_exact_dedup, op7_mixing, op8_line_dedup, op10_nearest)
+    for fn in (op1_token_counts, op2_toxicity, op3_simhash, op4_surrogates, op5_bpe_codec, op6_exact_dedup, op7_mixing, op8_line_dedup, op9_suffix_dedup, op10_nearest)
 }
 ORACLES: dict[str, str] = {
     "op6_exact_dedup": oracles.OP6,
