@@ -10,13 +10,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 from tidemill.functions.scalars import scalar_literal
-from tidemill.session import delete_folder
+from tidemill.session import delete_folder, materialize
 
 
 class StageRejected(ValueError):
@@ -39,6 +39,8 @@ class LoadReport:
     replaced_existing: bool
     location: str
     warnings: list[str] = field(default_factory=list)
+    rejected: int = 0
+    rejects_table: str | None = None
 
 
 # -- snapshots ---------------------------------------------------------------
@@ -208,6 +210,28 @@ def publish(
     return LoadReport(table, rows, swap(spark, table, path), path)
 
 
+def set_aside(rows: DataFrame, table: str) -> tuple[int, str | None]:
+    """Keep rows that ``table`` cannot take in ``<table>_rejects``; returns their number and that table's name.
+
+    Each distinct row is kept once, so that a load that is run again adds nothing. Without
+    such rows no table is made.
+    """
+    spark = rows.sparkSession
+    kept = materialize(rows, "rejects")
+    try:
+        if not kept.count:
+            return 0, None
+        name = f"{table}_rejects"
+        known = kept.rows
+        if spark.catalog.tableExists(name):
+            add_missing_columns(known, name)
+            known = conform(known, name, evolve=True).unionByName(spark.table(name))
+        publish(known.distinct(), name)
+        return kept.count, name
+    finally:
+        kept.drop()
+
+
 # -- the four strategies -----------------------------------------------------
 
 
@@ -235,15 +259,21 @@ def create_replace(df: DataFrame, table: str, expect: Expectations = Expectation
 def newer_rows(batch: DataFrame, target: DataFrame, mark_col: str, keys: Sequence[str]) -> DataFrame:
     """Rows of ``batch`` beyond the high-water mark of ``target``.
 
-    Rows at the mark itself count as new when their keys are not in the target
-    yet.  Both sides are cut at the mark before the anti-join, so it compares
-    only the newest slice; rows beyond the mark pass through.
+    Rows at the mark itself, and rows without a mark, count as new when their keys are
+    not in the target yet with just that mark.  Both sides are cut to such rows before the
+    anti-join, so it compares only the newest slice; rows beyond the mark pass through.
     """
     mark = scalar_literal(target, F.max(mark_col))
-    if mark is None:
-        return batch
-    at_mark = target.filter(F.col(mark_col) == mark).select(*keys, mark_col)
-    return batch.filter(F.col(mark_col) >= mark).join(at_mark, [*keys, mark_col], "left_anti")
+    value = F.col(mark_col)
+    unmarked = value.isNull()
+    held = target.filter(unmarked if mark is None else unmarked | (value == mark)).select(
+        *[F.col(key).alias(f"_held_{i}") for i, key in enumerate(keys)], value.alias("_held_mark")
+    )
+    same = value.eqNullSafe(F.col("_held_mark"))
+    for i, key in enumerate(keys):
+        same = same & (F.col(key) == F.col(f"_held_{i}"))
+    new = batch if mark is None else batch.filter(unmarked | (value >= mark))
+    return new.join(held, same, "left_anti")
 
 
 def append(df: DataFrame, table: str, evolve: bool = False) -> None:
@@ -255,7 +285,7 @@ def insert_only(batch: DataFrame, table: str, mark_col: str, keys: Sequence[str]
     """Append the rows of ``batch`` that are newer than what ``table`` holds.
 
     The batch is written as it is read; the target is only scanned for its mark
-    (a column statistic) and the rows at the mark.
+    (a column statistic), the rows at the mark and those without one.
     """
     append(newer_rows(batch, batch.sparkSession.table(table), mark_col, keys), table)
 
@@ -292,9 +322,22 @@ def upserted(target: DataFrame, batch: DataFrame, keys: Sequence[str], order_by:
 def upsert(
     batch: DataFrame, table: str, keys: Sequence[str], order_by: Sequence[str], expect: Expectations = Expectations()
 ) -> LoadReport:
-    """Upsert into ``table``; running the same batch again changes nothing."""
+    """Upsert into ``table``; running the same batch again changes nothing.
+
+    Rows without a complete key are set aside in ``<table>_rejects`` and counted in the report.
+    """
     target = batch.sparkSession.table(table)
-    return publish(upserted(target, conform(batch, table), keys, order_by), table, expect)
+    batch = conform(batch, table)
+    report = publish(upserted(target, batch, keys, order_by), table, expect)
+    return _with_rejects(report, split_null_keys(batch, keys)[1], table)
+
+
+def _with_rejects(report: LoadReport, rejects: DataFrame, table: str) -> LoadReport:
+    count, name = set_aside(rejects, table)
+    if not count:
+        return report
+    warnings = [*report.warnings, f"{count} rows without a complete key are in {name}"]
+    return replace(report, rejected=count, rejects_table=name, warnings=warnings)
 
 
 def upsert_partitions(
@@ -304,9 +347,11 @@ def upsert_partitions(
     order_by: Sequence[str],
     partition_by: Sequence[str],
     expect: Expectations = Expectations(),
-) -> None:
+) -> LoadReport:
     """Upsert that rewrites only the partitions the batch falls in.
 
+    Rows without a complete key are set aside in ``<table>_rejects`` and counted in the report.
+
     The partition columns must be part of the key: a key can then not move from
     one partition to another, and the cost follows the batch instead of the
     table.  The new partitions are staged like any snapshot, then the table's
@@ -316,10 +361,11 @@ def upsert_partitions(
         raise ValueError("partition columns must be part of the key")
     spark = batch.sparkSession
     target = spark.table(table)
-    batch, _ = split_null_keys(conform(batch, table), keys)
+    batch, rejects = split_null_keys(conform(batch, table), keys)
     affected = target.filter(_in_partitions(batch, partition_by)).select(*target.columns)
-    path, _ = stage(upserted(affected, batch, keys, order_by), table, expect, partition_by=partition_by)
+    path, rows = stage(upserted(affected, batch, keys, order_by), table, expect, partition_by=partition_by)
     swap_partitions(spark, table, path, partition_by)
+    return _with_rejects(LoadReport(table, rows, True, path), rejects, table)
 
 
 def _in_partitions(batch: DataFrame, partition_by: Sequence[str]) -> Column:
@@ -334,16 +380,25 @@ def _in_partitions(batch: DataFrame, partition_by: Sequence[str]) -> Column:
     return touched
 
 
-Spec = tuple[tuple[str, str], ...]
+Spec = tuple[tuple[str, str | None], ...]
+# How Spark names the folder of a null partition.
+NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
+
+
+def _literal(text: str | None) -> str:
+    if text is None:
+        return "NULL"
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def _spec_sql(spec: Spec) -> str:
-    return ", ".join(f"`{column}` = '{value}'" for column, value in spec)
+    return ", ".join(f"`{column}` = {_literal(value)}" for column, value in spec)
 
 
 def _listed_partitions(spark: SparkSession, table: str) -> set[Spec]:
     names = [r[0] for r in spark.sql(f"SHOW PARTITIONS {table}").collect()]
-    return {tuple((c, unquote(v)) for c, _, v in (p.partition("=") for p in name.split("/"))) for name in names}
+    parts = [[p.partition("=") for p in name.split("/")] for name in names]
+    return {tuple((c, None if v in (NULL_PARTITION, "null") else unquote(v)) for c, _, v in part) for part in parts}
 
 
 def swap_partitions(spark: SparkSession, table: str, path: str, partition_by: Sequence[str]) -> set[Spec]:
@@ -360,8 +415,8 @@ def swap_partitions(spark: SparkSession, table: str, path: str, partition_by: Se
     for row in staged.distinct().collect():
         spec = tuple((c, row[c]) for c in partition_by)
         where, place = f"PARTITION ({_spec_sql(spec)})", unquote(row["folder"])
-        spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS {where} LOCATION '{place}'")
-        spark.sql(f"ALTER TABLE {table} {where} SET LOCATION '{place}'")
+        spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS {where} LOCATION {_literal(place)}")
+        spark.sql(f"ALTER TABLE {table} {where} SET LOCATION {_literal(place)}")
         moved.add(spec)
     spark.catalog.refreshTable(table)
     return moved
@@ -373,15 +428,17 @@ def swap_partitions(spark: SparkSession, table: str, path: str, partition_by: Se
 def archive_move(table: str, archive: str, condition: Column, keys: Sequence[str]) -> None:
     """Move the rows of ``table`` that meet ``condition`` to ``archive``.
 
-    Rows where the condition is null stay.  The archive is filled before the
+    Rows where the condition is null stay.  The condition is evaluated once, for both tables,
+    so one that moves with the clock loses nothing.  The archive is filled before the
     table is trimmed: after a crash between the two a repeat run completes the
     move without repeating a row.
     """
     spark = SparkSession.active()
-    source = spark.table(table)
-    old = source.filter(condition).join(spark.table(archive).select(*keys), list(keys), "left_anti")
-    append(old, archive)
-    publish(source.filter(~F.coalesce(condition, F.lit(False))), table)
+    judged = materialize(spark.table(table).withColumn("_moves", F.coalesce(condition, F.lit(False))), "archive")
+    old = judged.rows.filter("_moves").drop("_moves")
+    append(old.join(spark.table(archive).select(*keys), list(keys), "left_anti"), archive)
+    publish(judged.rows.filter(~F.col("_moves")).drop("_moves"), table)
+    judged.drop()
 
 
 def updated(df: DataFrame, column: str, value: Column, condition: Column) -> DataFrame:
@@ -433,11 +490,12 @@ class ScriptFailed(RuntimeError):
 
 
 def run_steps(spark: SparkSession, steps: Sequence[Step], sources: dict[str, DataFrame]) -> tuple[DataFrame, list[StepLog]]:
-    """Run a script all-or-nothing; returns the last result and the log.
+    """Run a script; returns the last result and the log.
 
     Steps that feed a table are staged and checked as they are reached; the
-    tables are moved only after the last step, so an error anywhere leaves all
-    of them as they were.
+    tables are moved only after the last step, so an error before leaves all
+    of them as they were.  If a move fails, tables without partitions that were moved already go back
+    to their old rows; moved partitions stay.
     """
     frames = dict(sources)
     staged: list[tuple[str, str]] = []
@@ -461,8 +519,22 @@ def run_steps(spark: SparkSession, steps: Sequence[Step], sources: dict[str, Dat
             raise ScriptFailed(log) from error
         frames[step.name] = result
         log.append(StepLog(number, step.name, "success", None))
+    moved: list[tuple[str, str | None]] = []
     for table, path in staged:
-        swap(spark, table, path)
+        try:
+            plain = not spark.catalog.tableExists(table) or not partition_columns(spark, table)
+            before = table_location(spark, table) if spark.catalog.tableExists(table) else None
+            swap(spark, table, path)
+            if plain:
+                moved.append((table, before))
+        except Exception as error:
+            for done, location in reversed(moved):
+                if location:
+                    swap(spark, done, location)
+                else:
+                    spark.sql(f"DROP TABLE IF EXISTS {done}")
+            log.append(StepLog(len(steps) + 1, f"publish {table}", "error", str(error)))
+            raise ScriptFailed(log) from error
     return frames[steps[-1].name], log
 
 

@@ -78,8 +78,8 @@ def correction_text(code: Column, error: Column, output_format: Column) -> Colum
     )
     shown = F.when((output_format == "airflow_dag") & (code == ""), F.lit("# No DAG code")).otherwise(code)
     return F.concat(
-        F.lit("The following code has an error. Fix it and return the full corrected code.\n\nOriginal code:\n"), shown,
-        F.lit("\n\nError: "), error,
+        F.lit("The following code has an error. Fix it and return the full corrected code.\n\nOriginal code:\n"), F.coalesce(shown, F.lit("")),
+        F.lit("\n\nError: "), F.coalesce(error, F.lit("")),
         F.coalesce(_lookup(output_format, CORRECTION_RULES), F.lit("")),
         F.coalesce(advice, F.lit("")),
     )

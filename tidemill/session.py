@@ -37,12 +37,14 @@ def build_session(app_name: str = "tidemill", master: str | None = None, **conf:
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary
-    folder is made and set as the checkpoint folder.
+    Only where the session names none and runs on this machine alone, as in tests, a temporary
+    folder is made; a cluster whose machines could not see it is refused.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     app = spark.sparkContext.applicationId
     if app not in _fallback_roots:
         _fallback_roots[app] = tempfile.mkdtemp(prefix="tidemill-")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import csv
 import io
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -13,7 +13,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from tidemill.functions.names import header_names, qualified, table_name
 from tidemill.operators.cleaning import Typing, clean, duplicate_row_warnings, quoted
-from tidemill.operators.loads import Expectations, LoadReport, StageRejected, stage, swap
+from tidemill.operators.loads import Expectations, LoadReport, StageRejected, create_replace, set_aside
 
 DELIMITERS = (",", ";", "\t", "|")
 UTF8, CP1251, LATIN1 = "utf-8", "windows-1251", "iso-8859-1"
@@ -36,21 +36,24 @@ def intake(spark: SparkSession, path: str) -> DataFrame:
 
 
 def detect_encodings(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """(file, encoding): UTF-8 if every line is, else CP1251, or Latin-1 if a byte has no meaning in CP1251.
+    """(file, encoding, open_quotes): UTF-8 if every line is, else CP1251, or Latin-1 if a byte has no meaning in CP1251.
+
+    ``open_quotes``: some line holds an odd number of quotes, so a quoted cell goes on in the next line.
 
     Lines are judged where they lie; each task sends on one row per file.
     """
     line = F.col("value").cast("binary")
     valid = F.is_valid_utf8("value")
     beyond_1251 = F.when(valid, F.lit(False)).otherwise(F.contains(line, F.lit(b"\x98")))
+    odd = (F.length(line) - F.length(F.replace("value", F.lit('"'), F.lit("")).cast("binary"))) % 2 == 1
     per_file = (
         spark.read.text(paths)
-        .select(F.col("_metadata.file_path").alias("file"), valid.alias("valid"), beyond_1251.alias("beyond"))
+        .select(F.col("_metadata.file_path").alias("file"), valid.alias("valid"), beyond_1251.alias("beyond"), odd.alias("odd"))
         .groupBy("file")
-        .agg(F.bool_and("valid").alias("valid"), F.bool_or("beyond").alias("beyond"))
+        .agg(F.bool_and("valid").alias("valid"), F.bool_or("beyond").alias("beyond"), F.bool_or("odd").alias("odd"))
     )
     encoding = F.when(F.col("valid"), UTF8).when(F.col("beyond"), LATIN1).otherwise(CP1251)
-    return per_file.select("file", encoding.alias("encoding"))
+    return per_file.select("file", encoding.alias("encoding"), F.col("odd").alias("open_quotes"))
 
 
 def detect_delimiter(header: str) -> str:
@@ -68,11 +71,24 @@ class CsvShape:
     plain_header: bool = True
 
 
+HEADER_LINES = 20
+
+
 def first_line(spark: SparkSession, path: str, encoding: str) -> str:
-    row = spark.read.text(path).select(F.col("value").cast("binary").alias("b")).first()
-    if row is None:
+    """The first line that is not blank, and those after it while a quoted cell is open (``HEADER_LINES`` at most)."""
+    lines = spark.read.text(path).filter(F.trim("value") != "").select(F.col("value").cast("binary").alias("b"))
+    rows = lines.take(1)
+    if not rows:
         raise ValueError(f"{path} holds no lines")
-    return bytes(row["b"]).decode("utf-8-sig" if encoding == UTF8 else encoding)
+    text = bytes(rows[0]["b"])
+    if text.count(b'"') % 2:
+        text = b""
+        for row in lines.take(HEADER_LINES):
+            text += bytes(row["b"])
+            if text.count(b'"') % 2 == 0:
+                break
+            text += b"\n"
+    return text.decode("utf-8-sig" if encoding == UTF8 else encoding)
 
 
 def shape_of(spark: SparkSession, path: str, encoding: str, sep: str | None = None) -> CsvShape:
@@ -125,28 +141,31 @@ class CsvScan:
 
 
 def scan(
-    spark: SparkSession, path: str, sep: str | None = None, multiline: bool = False, encoding: str | None = None
+    spark: SparkSession, path: str, sep: str | None = None, multiline: bool | None = None, encoding: str | None = None
 ) -> CsvScan:
     """All cells as text.  Short rows are filled with nulls, rows with cells beyond the header are rejected.
 
     The files below ``path`` share one header; each is read in its own
-    encoding (at most three reads).  Naming the ``encoding`` saves the pass that
-    finds it.  ``multiline`` allows line breaks in quoted
-    cells, at the price that a file can no longer be split among tasks.
+    encoding.  ``multiline`` allows line breaks in quoted cells, at the price that a file can no
+    longer be split among tasks; left open, files with a line that does not close its quotes are read so.  Naming
+    it and the ``encoding`` saves the pass that looks for them.
     """
-    by_encoding: dict[str, list[str]] = {}
-    known = [{"encoding": encoding, "file": path}] if encoding else detect_encodings(spark, path).collect()
-    for row in known:
-        by_encoding.setdefault(row["encoding"], []).append(unquote(row["file"]))
+    by_encoding: dict[tuple[str, bool], list[str]] = {}
+    if encoding and multiline is not None:
+        by_encoding[encoding, multiline] = [path]
+    else:
+        for row in detect_encodings(spark, path).collect():
+            way = (encoding or row["encoding"], row["open_quotes"] if multiline is None else multiline)
+            by_encoding.setdefault(way, []).append(unquote(row["file"]))
     if not by_encoding:
         raise ValueError(f"{path} holds no lines")
-    shapes = {enc: shape_of(spark, sorted(files)[0], enc, sep) for enc, files in sorted(by_encoding.items())}
+    shapes = {way: shape_of(spark, sorted(files)[0], way[0], sep) for way, files in sorted(by_encoding.items())}
     names = next(iter(shapes.values())).columns
     parts = []
-    for enc, shape in shapes.items():
+    for way, shape in shapes.items():
         if shape.columns != names:
             raise ValueError(f"{path}: files with different headers")
-        parts.append(_read_alike(spark, by_encoding[enc], shape, multiline))
+        parts.append(_read_alike(spark, by_encoding[way], shape, way[1]))
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
@@ -165,18 +184,28 @@ def load(
     replace_if_exists: bool = True,
     typing: Typing = Typing(),
     sep: str | None = None,
+    multiline: bool | None = None,
+    encoding: str | None = None,
+    most_rejects: int | None = None,
 ) -> LoadReport:
-    """CSV files to a table: scan, clean, type, stage, swap."""
+    """CSV files to a table: scan, clean, type, stage, swap.
+
+    Lines with more cells than the header are set aside in ``<table>_rejects`` and counted in the
+    report; with more than ``most_rejects`` of them nothing is loaded.
+    """
     target = qualified(table_name(table, path.rstrip("/").rsplit("/", 1)[-1]), schema)
     existed = spark.catalog.tableExists(target)
     if existed and not replace_if_exists:
         raise ValueError(f"{target} exists")
-    result = clean(scan(spark, path, sep).rows, typing)
+    scanned = scan(spark, path, sep, multiline, encoding)
+    if most_rejects is not None and (found := scanned.rejects.count()) > most_rejects:
+        raise StageRejected(f"{target}: {found} lines do not fit the header, at most {most_rejects} expected")
+    result = clean(scanned.rows, typing)
     if not result.rows.columns:
         raise StageRejected(f"{target}: no data is left after cleaning")
-    staged, rows = stage(result.rows, target, Expectations(min_rows=1))
-    warnings = result.warnings + duplicate_row_warnings(result.rows_before_dedup - rows)
-    if existed:
-        spark.sql(f"DROP TABLE {target}")
-    swap(spark, target, staged)
-    return LoadReport(target, rows, existed, staged, warnings)
+    report = create_replace(result.rows, target, Expectations(min_rows=1))
+    warnings = result.warnings + duplicate_row_warnings(result.rows_before_dedup - report.rows)
+    rejected, rejects_table = set_aside(scanned.rejects, target)
+    if rejected:
+        warnings = [*warnings, f"{rejected} lines with more cells than the header are in {rejects_table}"]
+    return replace(report, warnings=warnings, rejected=rejected, rejects_table=rejects_table)
