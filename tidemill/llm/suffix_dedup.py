@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
@@ -97,7 +98,9 @@ def _bytes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode(), np.uint8)
 
 
-_PARSE = "shared long, whole long, id {id}, text_hash long, place long"
+_PARSE = "known boolean, shared long, whole long, id {id}, text_hash long, place long"
+#: From so many entries of a batch in one group on, copies are told before the shuffle.
+CROWD = 64
 #: A place is the first window start of an entry and its number of windows less one, in so many bits.
 _RUN_BITS = 12
 
@@ -117,14 +120,43 @@ def _parse(length: int):
             if parts:
                 shared, whole, place = (np.concatenate([part[i] for part in parts]).view(np.int64) for i in range(3))
                 rows = np.concatenate(ids)
+                known = _known_copies(shared, whole, rows, place, batch.column(0), hashes)
+                shared = np.where(known, shared ^ (place * int(_MIX >> np.uint64(1))) ^ hashes[rows], shared)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shared), pa.array(whole), batch.column(0).take(pa.array(rows)), pa.array(hashes[rows]), pa.array(place)],
-                    names=["shared", "whole", "id", "text_hash", "place"],
+                    [pa.array(known), pa.array(shared), pa.array(whole), batch.column(0).take(pa.array(rows)), pa.array(hashes[rows]), pa.array(place)],
+                    names=["known", "shared", "whole", "id", "text_hash", "place"],
                 )
 
     return run
 
 
+def _known_copies(shared, whole, rows, place, ids: pa.Array, hashes) -> np.ndarray:
+    """Entries of crowded groups that have an earlier copy in the same batch: repeats, whatever else the corpus holds.
+
+    They are spread over all tasks, so that what is left of a crowded group are its entries, once per batch.
+    """
+    known = np.zeros(len(shared), bool)
+    order = np.argsort(shared, kind="stable")
+    bounds = np.flatnonzero(np.diff(shared[order], prepend=shared[order[0]] ^ 1))
+    sizes = np.diff(np.append(bounds, len(order)))
+    crowded = order[np.repeat(sizes >= CROWD, sizes)]
+    if len(crowded):
+        # Documents in corpus order, equal ones with equal numbers.
+        table = pa.table({"id": ids, "hash": hashes})
+        by = pc.sort_indices(table, sort_keys=[("id", "ascending"), ("hash", "ascending")], null_placement="at_end").to_numpy()
+        codes = ids.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        moved = np.concatenate([[False], (codes[by][1:] != codes[by][:-1]) | (hashes[by][1:] != hashes[by][:-1])])
+        document = np.empty(len(by), np.int64)
+        document[by] = np.cumsum(moved)
+        document = document[rows[crowded]]
+        inner = np.lexsort((place[crowded], document, whole[crowded], shared[crowded]))
+        entry, document = crowded[inner], document[inner]
+        new = np.concatenate([[True], (shared[entry][1:] != shared[entry][:-1]) | (whole[entry][1:] != whole[entry][:-1])])
+        first = np.repeat(np.flatnonzero(new), np.diff(np.append(np.flatnonzero(new), len(new))))
+        known[entry] = (document != document[first]) | (place[entry] != place[entry][first])
+    return known
+
+
 def _same(columns: list, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     result = np.ones(len(i), bool)
     for column in columns:
@@ -147,6 +179,10 @@ def _judge_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), kind, np.int32)), *part.columns], names=["kind", *part.schema.names])
 
     for batch in batches:
+        told = batch.filter(batch.column("known"))
+        if told.num_rows:
+            yield out(told, np.arange(told.num_rows), 0)
+        batch = batch.filter(pc.invert(batch.column("known")))
         if not batch.num_rows:
             continue
         if held is not None:
@@ -221,47 +257,61 @@ def sorted_suffixes(stretches: list[bytes], length: int) -> tuple[np.ndarray, np
 
 def _judge_windows(length: int, most: int):
     """Entries sorted by what they share, then in corpus order -> repeats (kind 0) and, for groups too large for one
-    sort, the first window of each kind in each part (kind 1) with its digest."""
+    sort, the first window of each kind in each part (kind 1) with its digest.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: int | None = None
-        rows: list[tuple] = []
-        parted = False
-
-        def judged(whole: bool) -> pa.RecordBatch:
-            row, offset, new, text = sorted_suffixes([r[3] for r in rows], length)
-            first = np.repeat(np.flatnonzero(new), np.diff(np.append(np.flatnonzero(new), len(new))))
-            start = np.array([r[2] >> _RUN_BITS for r in rows])[row] + offset
-            codes: dict = {}
-            document = np.array([codes.setdefault((r[0], r[1]), len(codes)) for r in rows])[row]
-            repeat = (document != document[first]) | (start != start[first])
-            out = [(0, rows[row[i]][0], rows[row[i]][1], int(start[i]), None) for i in np.flatnonzero(repeat)]
-            if not whole:
-                out += [(1, rows[row[i]][0], rows[row[i]][1], int(start[i]), hashlib.blake2b(bytes(text[i]).ljust(length, b"\0"), digest_size=16).digest()) for i in np.flatnonzero(new)]
-            kind, ids, hashes, starts, digests = zip(*out) if out else ((),) * 5
-            return pa.RecordBatch.from_arrays(
-                [pa.array(kind, pa.int32()), pa.array(ids, id_type), pa.array(hashes, pa.int64()), pa.array(starts, pa.int64()), pa.array(digests, pa.binary())],
-                names=["kind", "id", "text_hash", "start", "digest"],
-            )
+    Whole groups are sorted together, about ``most`` entries at a time: equal windows are in one group.
+    """
+    names = ("id", "text_hash", "place", "stretch")
+
+    def judged(rows: list[tuple], whole: bool, id_type: pa.DataType) -> pa.RecordBatch:
+        ids, hashes, places, stretches = zip(*rows)
+        row, offset, new, text = sorted_suffixes(stretches, length)
+        heads = np.flatnonzero(new)
+        first = np.repeat(heads, np.diff(np.append(heads, len(new))))
+        start = (np.array(places) >> _RUN_BITS)[row] + offset
+        codes: dict = {}
+        document = np.array([codes.setdefault(pair, len(codes)) for pair in zip(ids, hashes)])[row]
+        repeats = np.flatnonzero((document != document[first]) | (start != start[first]))
+        at = repeats if whole else np.concatenate([repeats, heads])
+        digests = [None] * len(repeats) + ([] if whole else [_digest(window, length) for window in text[heads]])
+        kinds = np.repeat(np.array([0, 1], np.int32), [len(repeats), len(at) - len(repeats)])
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(kinds),
+                pa.array(ids, id_type).take(pa.array(row[at])),
+                pa.array(np.array(hashes, np.int64)[row[at]]),
+                pa.array(start[at].astype(np.int64)),
+                pa.array(digests, pa.binary()),
+            ],
+            names=["kind", "id", "text_hash", "start", "digest"],
+        )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows, begin, parted, kind = None, [], 0, False, pa.int64()
         for batch in batches:
-            id_type = batch.column("id").type
-            for shared, *row in zip(*(batch.column(name).to_pylist() for name in ("shared", "id", "text_hash", "place", "stretch")), strict=True):
+            kind = batch.column("id").type
+            for shared, *row in zip(batch.column("shared").to_pylist(), *(batch.column(name).to_pylist() for name in names), strict=True):
                 if shared != group:
-                    if len(rows) > 1 or parted:
-                        yield judged(not parted)
-                    group, rows, parted = shared, [], False
-                elif len(rows) >= most:
-                    parted = True
-                    yield judged(False)
-                    rows = []
-                rows.append(row)
-        if rows and (len(rows) > 1 or parted):
-            yield judged(not parted)
+                    if rows and (parted or len(rows) >= most):
+                        yield judged(rows, not parted, kind)
+                        rows = []
+                    group, begin, parted = shared, len(rows), False
+                elif len(rows) - begin >= most:
+                    if begin:
+                        yield judged(rows[:begin], True, kind)
+                    yield judged(rows[begin:], False, kind)
+                    rows, begin, parted = [], 0, True
+                rows.append(tuple(row))
+        if rows:
+            yield judged(rows, not parted, kind)
 
     return run
 
 
+def _digest(window: bytes, length: int) -> bytes:
+    return hashlib.blake2b(bytes(window).ljust(length, b"\0"), digest_size=16).digest()
+
+
 def _in_corpus_order(prefix: str = "") -> list[Column]:
     return [F.col(f"{prefix}id").asc_nulls_last(), F.col(f"{prefix}text_hash")]
 
@@ -325,7 +375,7 @@ def _cut(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str = "text", most: int = 20_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str = "text", most: int = 4000) -> DataFrame:
     """One row per row of ``docs``: ``key``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` (the bytes that are left).
 
     Texts are UTF-8 bytes, null counts as empty; what is left may cut a character. Removed is every byte of a string of ``length`` bytes
