@@ -35,10 +35,32 @@ def placeholders(steps: DataFrame, literal: bool = False) -> DataFrame:
 _FIRST_WORD = r"(?s)^\s*(?:--[^\n]*\n\s*|/\*.*?\*/\s*)*([A-Za-z]+)"
 
 
+_COMMENTS_AND_STRINGS = r"(?s)--[^\n]*|/\*.*?\*/|'(?:[^']|'')*'|\"[^\"]*\""
+_PARENTHESES_AND_VERBS = r"[()]|\b(?:SELECT|INSERT|UPDATE|DELETE|MERGE)\b"
+
+
+def _after_with(statement: Column) -> Column:
+    """The verb a WITH list leads to: the first one outside parentheses, counted at any depth."""
+    bare = F.upper(F.regexp_replace(statement, _COMMENTS_AND_STRINGS, " "))
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("verb"))
+
+    def read(state: Column, token: Column) -> Column:
+        opened = F.when(token == "(", 1).when(token == ")", -1).otherwise(0)
+        verb = (state["verb"] == "") & (state["depth"] == 0) & ~token.isin("(", ")")
+        return F.struct(
+            (state["depth"] + opened).alias("depth"), F.when(verb, token).otherwise(state["verb"]).alias("verb")
+        )
+
+    tokens = F.regexp_extract_all(bare, F.lit(_PARENTHESES_AND_VERBS), F.lit(0))
+    verb = F.aggregate(tokens, start, read, lambda state: state["verb"])
+    return F.when(verb == "", "SELECT").otherwise(verb)
+
+
 def statement_kind(statement: Column) -> Column:
-    """The kind by the first word after comments; a leading WITH counts as SELECT."""
+    """The kind by the first word after comments; after a WITH list, by the verb it leads to."""
     word = F.upper(F.regexp_extract(statement, _FIRST_WORD, 1))
-    return F.when(word == "WITH", "SELECT").when(word.isin(*fixed.STATEMENT_KINDS), word).otherwise("UNKNOWN")
+    kind = F.when(word == "WITH", _after_with(statement)).otherwise(word)
+    return F.when(kind.isin(*fixed.STATEMENT_KINDS), kind).otherwise("UNKNOWN")
 
 
 def statement_kinds(steps: DataFrame) -> DataFrame:

@@ -16,8 +16,6 @@ from pyspark.sql.types import Row, StructType
 
 QUANTILES = 64
 SLICES_PER_QUANTILE = 256
-# With fewer rows a key is no burden to one task.
-HOT_ROWS_AT_LEAST = 10_000_000
 
 
 @dataclass(frozen=True)
@@ -41,17 +39,15 @@ def hot_keys(df: DataFrame, key: Sequence[str], ts: str, limit: int | None = Non
 
     By their definition there are fewer than ``limit`` of them, which bounds
     what comes to the driver and what is broadcast later.  Without ``limit``
-    it is twice the number of shuffle partitions, and keys of less than
-    ``HOT_ROWS_AT_LEAST`` rows are never hot.  Only the key and time columns
+    it is twice the number of shuffle partitions.  Only the key and time columns
     are read.
     """
     spark = df.sparkSession
-    floor = 0 if limit else HOT_ROWS_AT_LEAST
     limit = limit or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = df.count()
-    if total <= max(limit, floor):
+    if total <= limit:
         return None
-    least = max(total // limit, floor)
+    least = total // limit
     counted = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > least).drop("_n")
     rows = counted.collect()
     if not rows:
