@@ -63,7 +63,7 @@ class Model:
 class Scorer:
     def __init__(self, model: Model) -> None:
         self.model = model
-        self.words = Memory(model.word, 500_000)
+        self.words = Memory(model.word, 200_000)
 
     def score(self, text: str) -> float:
         words = words_of(text)
