@@ -62,14 +62,17 @@ _gender = {title: gender for gender, titles in TITLES.items() for title in title
 _gender_of_given = {name: gender for (gender, _), names in GIVEN.items() for name in names}
 _given_names = frozenset(_gender_of_given)
 
-_email = re.compile(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}")
+# Looked for around a mark that is found first, so that long runs of letters cost nothing.
+_local_part = re.compile(r"[\w.%+-]{1,64}$")
+_domain = re.compile(r"@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}")
 _ip = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)")
 _card = re.compile(r"(?<![\w+-])\d(?:[ -]?\d){12,18}(?![\w])")
 _ssn = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 _phone = re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,5}\)|\d{1,5})(?:[ .-]?\d{2,5}){1,4}|\(\d{2,5}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\w])")
 _iban = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 _access = re.compile(r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b")
-_labelled = re.compile(r"(?P<label>\w*)[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?P<value>[^\s\"'<>,;]{6,})")
+_label = re.compile(r"(\w+)[\"']?\s{0,3}$")
+_assigned = re.compile(r"[=:]\s{0,3}[\"']?([^\s\"'<>,;]{6,})")
 _secret_labels = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "access_key")
 _hex = re.compile(r"\b[0-9a-fA-F]{32,}\b")
 _digit = re.compile(r"\d")
@@ -98,13 +101,16 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
         found.append((start, end, kind, canonical))
 
     if "@" in text:
-        for m in _email.finditer(text):
-            add(*m.span(), "email", m[0].lower())
+        for m in _domain.finditer(text):
+            local = _local_part.search(text[max(0, m.start() - 64) : m.start()])
+            if local:
+                add(m.start() - len(local[0]), m.end(), "email", (local[0] + m[0]).lower())
     if "=" in text or ":" in text:
-        for m in _labelled.finditer(text):
-            if m["label"].lower().endswith(_secret_labels):
-                value = m["value"].rstrip(".)]}")
-                add(m.start("value"), m.start("value") + len(value), "secret", value)
+        for mark in re.finditer("[=:]", text):
+            label = _label.search(text[max(0, mark.start() - 40) : mark.start()])
+            if label and label[1].lower().endswith(_secret_labels) and (m := _assigned.match(text, mark.start())):
+                value = m[1].rstrip(".)]}")
+                add(m.start(1), m.start(1) + len(value), "secret", value)
     if _digit.search(text):
         if "AKIA" in text or "ASIA" in text:
             for m in _access.finditer(text):
