@@ -1,6 +1,7 @@
 """Surrogates: what is found, what formats keep, distinctness and coreference over a corpus."""
 
 import re
+import time
 
 from tidemill.llm import surrogates as S
 
@@ -21,6 +22,13 @@ def test_what_is_found():
         assert S.entities(clean) == []
 
 
+def test_long_runs_take_no_longer_than_others():
+    began = time.perf_counter()
+    for text in ("x" * 200_000 + " a.b@c.org", "1" * 200_000, "password=" * 20_000, "a1b2" * 50_000, "Mr. " * 50_000, "@" * 100_000):
+        S.entities(text)
+    assert time.perf_counter() - began < 20
+
+
 def test_formats_are_kept():
     new, spans = S.replaced(TEXT, KEY, {})
     old = {(kind, start): TEXT[start:end] for start, end, kind in spans}

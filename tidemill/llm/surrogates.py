@@ -106,11 +106,15 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             if local:
                 add(m.start() - len(local[0]), m.end(), "email", (local[0] + m[0]).lower())
     if "=" in text or ":" in text:
+        reached = 0
         for mark in re.finditer("[=:]", text):
+            if mark.start() < reached:
+                continue
             label = _label.search(text[max(0, mark.start() - 40) : mark.start()])
             if label and label[1].lower().endswith(_secret_labels) and (m := _assigned.match(text, mark.start())):
                 value = m[1].rstrip(".)]}")
                 add(m.start(1), m.start(1) + len(value), "secret", value)
+                reached = m.end()
     if _digit.search(text):
         if "AKIA" in text or "ASIA" in text:
             for m in _access.finditer(text):
