@@ -96,10 +96,10 @@ def with_run_state(runs: DataFrame) -> DataFrame:
 
 
 def run_log(runs: DataFrame, artifact_id: int | None = None) -> DataFrame:
-    """Runs of one artifact (or of each), newest first."""
-    if artifact_id is not None:
-        runs = runs.filter(F.col("artifact_id") == artifact_id)
-    return with_run_state(runs).orderBy("artifact_id", F.desc("started_at"), F.desc("id"))
+    """Runs of one artifact, newest first; without an artifact all runs, in no order."""
+    if artifact_id is None:
+        return with_run_state(runs)
+    return with_run_state(runs.filter(F.col("artifact_id") == artifact_id)).orderBy(F.desc("started_at"), F.desc("id"))
 
 
 def validation_message(error: Column, stage: Column, errors: Column) -> Column:

@@ -98,6 +98,19 @@ def run_log(t):
     return taskstats.run_log(view(t, "runs"))
 
 
+@query(
+    "run_log_of_artifact",
+    with_views("runs")
+    + _RUN_STATE
+    + " WHERE artifact_id = (SELECT artifact_id FROM runs ORDER BY started_at DESC, id DESC LIMIT 1)",
+)
+def run_log_of_artifact(t):
+    """Runs of the artifact that ran last."""
+    runs = view(t, "runs")
+    last = runs.orderBy(F.desc("started_at"), F.desc("id")).select("artifact_id").first()
+    return taskstats.run_log(runs, last["artifact_id"])
+
+
 @query(
     "run_state",
     with_views("runs")
