@@ -14,6 +14,13 @@ from tidemill.session import materialize, scratch_path
 BLANKS = " \t\n\x0b\x0c\r"
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that Python objects are made for few whole texts at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_batches(
     df: DataFrame,
     worker: Callable[..., list],
@@ -31,7 +38,7 @@ def map_batches(
     arrow = _arrow_types(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             columns = [
                 column if isinstance(column, pa.Array) and column.type == kind else pa.array(column, type=kind)
                 for column, kind in zip(worker(batch, *settings), arrow, strict=True)
@@ -63,4 +70,4 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return materialize(df, label).rows
 
 
-__all__ = ["BLANKS", "map_batches", "scratch_path", "stored", "texts_of", "word_count"]
+__all__ = ["BLANKS", "map_batches", "parts", "scratch_path", "stored", "texts_of", "word_count"]

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from tidemill.llm.common import BLANKS, texts_of
+from tidemill.llm.common import BLANKS, parts, texts_of
 from tidemill.session import materialize
 
 #: Bits of one slice of a filter: 1 MB.
@@ -80,9 +80,9 @@ def _hash_rows(least: int, slices: int):
             if not per_text:
                 continue
             once, counts = np.unique(np.concatenate(per_text), return_counts=True)
-            parts = slice_of(once, slices)
-            order = np.argsort(parts, kind="stable")
-            found, starts = np.unique(parts[order], return_index=True)
+            in_slice = slice_of(once, slices)
+            order = np.argsort(in_slice, kind="stable")
+            found, starts = np.unique(in_slice[order], return_index=True)
             rows = [(once[at], once[at[counts[at] > 1]]) for at in np.split(order, starts[1:]) if len(at)]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -126,16 +126,16 @@ def _suspects(least: int, filters):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {part: Filter(content) for part, content in filters.value.items()}
         slices = max(held, default=-1) + 1
-        for batch in batches:
+        for batch in parts(batches):
             rows, digests = [], []
             for row, text in enumerate(texts_of(batch)):
                 keys = list(long_keys(text, least))
                 if not keys or not slices:
                     continue
                 hashes = _hashes(keys)
-                parts, places = slice_of(hashes, slices), probes(hashes)
-                for part in np.unique(parts):
-                    at = np.flatnonzero(parts == part)
+                in_slice, places = slice_of(hashes, slices), probes(hashes)
+                for part in np.unique(in_slice):
+                    at = np.flatnonzero(in_slice == part)
                     for i in at[held[part].has(places[:, at])]:
                         rows.append(row)
                         digests.append(_digest(keys[i]))
@@ -197,7 +197,7 @@ def _without(text: str, drop: frozenset[bytes], least: int) -> tuple[str, int, i
 
 def _rebuild(least: int, place: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             drops = batch.column(batch.num_columns - 1).to_pylist()
             done = [_without(text, frozenset(drop or ()), least) for text, drop in zip(texts_of(batch, place), drops, strict=True)]
             columns = batch.columns[:-1]
