@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -14,7 +14,7 @@ from tidemill.session import materialize, scratch_path
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-def parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+def parts(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The batches in slices, so that Python objects are made for few whole texts at a time."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):

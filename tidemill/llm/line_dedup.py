@@ -11,6 +11,7 @@ filters cost shuffle, never results.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,7 +77,7 @@ def _hash_rows(least: int, slices: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            per_text = [_hashes(long_keys(text, least)) for text in texts_of(batch, 0)]
+            per_text = [_hashes(long_keys(text, least)) for part in parts([batch]) for text in texts_of(part, 0)]
             if not per_text:
                 continue
             once, counts = np.unique(np.concatenate(per_text), return_counts=True)
@@ -106,7 +107,8 @@ def _filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
     for batch in batches:
-        for part, seen, again in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+        rows = (zip(*(column.to_pylist() for column in piece.columns), strict=True) for piece in parts([batch]))
+        for part, seen, again in itertools.chain.from_iterable(rows):
             if part != current:
                 if current is not None:
                     yield done()
