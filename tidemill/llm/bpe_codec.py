@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Sequence
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from tidemill.llm.bpe_model import Memory, Vocabulary, byte_symbols, spaced_pieces, unspaced_chunks, vocabulary
-from tidemill.llm.common import map_batches, texts_of
+from tidemill.llm.common import map_batches, one_at_a_time, texts_of
 
 #: Stands for the end of a word inside the automaton; no byte symbol.
 END = "\n"
@@ -188,12 +187,12 @@ def _sha(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-@lru_cache(maxsize=4)
+@one_at_a_time
 def codec(path: str) -> Codec:
     return Codec(vocabulary(path))
 
 
-@lru_cache(maxsize=4)
+@one_at_a_time
 def _digests(path: str) -> Digests:
     return Digests(codec(path))
 

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import json
 import re
-from functools import lru_cache
 
 import regex
 from tokenizers import Tokenizer
 
+from tidemill.llm.common import one_at_a_time
+
 #: White space as the splitting patterns of the vocabularies understand it (the Unicode property).
 SPACE = "\t-\r \x85\xa0  -     　"
 #: Below this code point letters, digits and lower case are the same in every
@@ -113,7 +114,7 @@ class Vocabulary:
         return [ids[symbol] for symbol in piece[:-1]] + [ids[piece[-1] + self.suffix]]
 
 
-@lru_cache(maxsize=4)
+@one_at_a_time
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 

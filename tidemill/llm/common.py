@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+import gc
+from collections.abc import Callable, Hashable, Iterable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -13,6 +15,34 @@ from tidemill.session import materialize, scratch_path
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
 
+#: The model a Python process holds, and what that was made from.
+_held: dict[tuple[Callable, tuple[Hashable, ...]], object] = {}
+_making: list[Callable] = []
+
+
+def one_at_a_time(make: Callable) -> Callable:
+    """``make`` with a memory of one model, shared by all functions wrapped so.
+
+    Python workers outlive their stage. Asking for another model lets the last
+    one go, so that those of a pipeline's stages do not add up.
+    """
+
+    @wraps(make)
+    def held(*key: Hashable):
+        place = make, key
+        if place not in _held:
+            if not _making:
+                _held.clear()
+                gc.collect()
+            _making.append(make)
+            try:
+                _held[place] = make(*key)
+            finally:
+                _making.pop()
+        return _held[place]
+
+    return held
+
 
 def parts(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The batches in slices, so that Python objects are made for few whole texts at a time."""
@@ -70,4 +100,4 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return materialize(df, label).rows
 
 
-__all__ = ["BLANKS", "map_batches", "parts", "scratch_path", "stored", "texts_of", "word_count"]
+__all__ = ["BLANKS", "map_batches", "one_at_a_time", "parts", "scratch_path", "stored", "texts_of", "word_count"]

@@ -8,14 +8,13 @@ merge is ``symbols - merges`` tokens; no identifier of a token is ever put out.
 
 from __future__ import annotations
 
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from tidemill.llm.bpe_model import Memory, Vocabulary, blank_runs, byte_symbols, spaced_chunks, spaced_pieces, unspaced_chunks, vocabulary
-from tidemill.llm.common import map_batches, texts_of
+from tidemill.llm.common import map_batches, one_at_a_time, texts_of
 
 
 def count_merges(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> int:
@@ -89,7 +88,7 @@ class Counter:
         return len(special) + sum(map(self._section, sections))
 
 
-@lru_cache(maxsize=4)
+@one_at_a_time
 def _counter(path: str) -> Counter:
     return Counter(vocabulary(path))
 

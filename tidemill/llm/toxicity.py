@@ -15,7 +15,6 @@ from __future__ import annotations
 from array import array
 from collections import Counter
 from dataclasses import dataclass
-from functools import lru_cache
 from math import exp
 from zlib import crc32
 
@@ -24,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidemill.llm.bpe_model import Memory
-from tidemill.llm.common import map_batches, texts_of
+from tidemill.llm.common import map_batches, one_at_a_time, texts_of
 
 NGRAMS = (3, 4, 5)
 MARKS = ".,;:!?\"'()[]{}<>«»„“”‘’…*&%$#@~^_|/\\-–—+="
@@ -192,7 +191,7 @@ def fit(
     return train([row["text"] or "" for row in sample], [row["toxic"] for row in sample], odds, **settings)
 
 
-@lru_cache(maxsize=2)
+@one_at_a_time
 def _scorer(content: bytes, bias: float) -> Scorer:
     return Scorer(Model(np.frombuffer(content, np.float32), bias))
 
