@@ -154,8 +154,8 @@ class Digests:
 
     def __init__(self, codec: Codec) -> None:
         self.codec = codec
-        self.words = Memory(self._word, 300_000)
-        self.chunks = Memory(self._chunk, 300_000)
+        self.words = Memory(self._word, 150_000)
+        self.chunks = Memory(self._chunk, 150_000)
 
     def _word(self, piece: str) -> tuple[int, str, str]:
         ids = self.codec._word(piece)
