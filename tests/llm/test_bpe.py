@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 
 from tidemill.llm import bpe_codec, token_counts
 from tidemill.llm.bpe_model import Memory, vocabulary
+from tidemill.llm.common import kept
 
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
 WORD = public_tokenizers.path("word_bpe_49k.json")
@@ -86,3 +87,11 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert token_counts.count_tokens(docs, BYTE, limit=5).count() == 0
     assert bpe_codec.code_digests(docs, WORD).count() == 0
+
+
+def test_models_of_another_kind_are_let_go():
+    made = []
+    first = kept("test kind a", 2)(lambda name: made.append(name) or name)
+    second = kept("test kind b", 1)(lambda name: made.append(name) or name)
+    assert [first("x"), first("y"), first("x")] == ["x", "y", "x"] and made == ["x", "y"]
+    assert second("z") == "z" and first("x") == "x" and made == ["x", "y", "z", "x"]

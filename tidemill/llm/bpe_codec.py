@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from tidemill.llm.bpe_model import Memory, Vocabulary, byte_symbols, spaced_pieces, unspaced_chunks, vocabulary
-from tidemill.llm.common import map_batches, one_at_a_time, texts_of
+from tidemill.llm.common import kept, map_batches, texts_of
 
 #: Stands for the end of a word inside the automaton; no byte symbol.
 END = "\n"
@@ -187,12 +187,12 @@ def _sha(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-@one_at_a_time
+@kept("bpe", 4)
 def codec(path: str) -> Codec:
     return Codec(vocabulary(path))
 
 
-@one_at_a_time
+@kept("bpe", 4)
 def _digests(path: str) -> Digests:
     return Digests(codec(path))
 

@@ -12,7 +12,7 @@ import re
 import regex
 from tokenizers import Tokenizer
 
-from tidemill.llm.common import one_at_a_time
+from tidemill.llm.common import kept
 
 #: White space as the splitting patterns of the vocabularies understand it (the Unicode property).
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -114,7 +114,7 @@ class Vocabulary:
         return [ids[symbol] for symbol in piece[:-1]] + [ids[piece[-1] + self.suffix]]
 
 
-@one_at_a_time
+@kept("bpe", 4)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Callable, Hashable, Iterable, Iterator
-from functools import wraps
+from functools import lru_cache, wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -15,33 +15,35 @@ from tidemill.session import materialize, scratch_path
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
 
-#: The model a Python process holds, and what that was made from.
-_held: dict[tuple[Callable, tuple[Hashable, ...]], object] = {}
-_making: list[Callable] = []
+#: Caches of models by kind, and the kind asked for last.
+_caches: dict[str, list] = {}
+_asked: list[str] = []
 
 
-def one_at_a_time(make: Callable) -> Callable:
-    """``make`` with a memory of one model, shared by all functions wrapped so.
+def kept(kind: str, most: int) -> Callable:
+    """A cache of ``most`` models, emptied when a model of another kind is asked for.
 
-    Python workers outlive their stage. Asking for another model lets the last
-    one go, so that those of a pipeline's stages do not add up.
+    Python workers outlive their stage: without this, the models of a
+    pipeline's stages would add up in them.
     """
 
-    @wraps(make)
-    def held(*key: Hashable):
-        place = make, key
-        if place not in _held:
-            if not _making:
-                _held.clear()
+    def wrap(make: Callable) -> Callable:
+        cached = lru_cache(maxsize=most)(make)
+        _caches.setdefault(kind, []).append(cached)
+
+        @wraps(make)
+        def held(*key: Hashable):
+            if _asked != [kind]:
+                _asked[:] = [kind]
+                for other in _caches.keys() - {kind}:
+                    for cache in _caches[other]:
+                        cache.cache_clear()
                 gc.collect()
-            _making.append(make)
-            try:
-                _held[place] = make(*key)
-            finally:
-                _making.pop()
-        return _held[place]
+            return cached(*key)
 
-    return held
+        return held
+
+    return wrap
 
 
 def parts(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
@@ -100,4 +102,4 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return materialize(df, label).rows
 
 
-__all__ = ["BLANKS", "map_batches", "one_at_a_time", "parts", "scratch_path", "stored", "texts_of", "word_count"]
+__all__ = ["BLANKS", "kept", "map_batches", "parts", "scratch_path", "stored", "texts_of", "word_count"]

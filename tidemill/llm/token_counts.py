@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from tidemill.llm.bpe_model import Memory, Vocabulary, blank_runs, byte_symbols, spaced_chunks, spaced_pieces, unspaced_chunks, vocabulary
-from tidemill.llm.common import map_batches, one_at_a_time, texts_of
+from tidemill.llm.common import kept, map_batches, texts_of
 
 
 def count_merges(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> int:
@@ -88,7 +88,7 @@ class Counter:
         return len(special) + sum(map(self._section, sections))
 
 
-@one_at_a_time
+@kept("bpe", 4)
 def _counter(path: str) -> Counter:
     return Counter(vocabulary(path))
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidemill.llm.bpe_model import Memory
-from tidemill.llm.common import map_batches, one_at_a_time, texts_of
+from tidemill.llm.common import kept, map_batches, texts_of
 
 NGRAMS = (3, 4, 5)
 MARKS = ".,;:!?\"'()[]{}<>«»„“”‘’…*&%$#@~^_|/\\-–—+="
@@ -191,7 +191,7 @@ def fit(
     return train([row["text"] or "" for row in sample], [row["toxic"] for row in sample], odds, **settings)
 
 
-@one_at_a_time
+@kept("toxicity", 1)
 def _scorer(content: bytes, bias: float) -> Scorer:
     return Scorer(Model(np.frombuffer(content, np.float32), bias))
 
