@@ -3,6 +3,8 @@
 import random
 import zlib
 
+import pytest
+
 from tidemill.llm import toxicity
 
 BAD = ["grobnak", "stervik", "plonkfool", "varmlurk"]
@@ -58,3 +60,20 @@ def test_documents(spark):
     assert kept.columns == docs.columns and {402, 401} <= {r.doc_id for r in kept.collect()}
     assert toxicity.drop_toxic(docs.limit(0), marks).count() == 0
     assert toxicity.drop_toxic(docs, marks.limit(0)).count() == len(rows)
+
+
+def held_out(spark, folder):
+    """(toxic, score) of the given labelled rows that may not be learnt from."""
+    docs, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
+    model = toxicity.fit(docs.select("doc_id", "text"), labels)
+    rows = docs.select("doc_id", "text").join(labels.where(~toxicity.learnable(labels["doc_id"])).select("doc_id", "toxic"), "doc_id")
+    return model, [(r.toxic, r.score) for r in toxicity.with_scores(rows, model).collect()]
+
+
+@pytest.mark.parametrize(("sf", "recall"), [("sf0.001", 0.5), ("sf0.01", 0.7), ("sf0.1", 0.95)])
+def test_given_tables_of_any_size(spark, sf, recall):
+    model, rows = held_out(spark, f"/root/testdata/{sf}")
+    assert len({score for _, score in rows}) > 1 and (model.values != 0).sum() > 10_000  # no subword is left out
+    found = [toxic for toxic, score in rows if score >= toxicity.THRESHOLD]
+    assert sum(found) >= recall * sum(toxic for toxic, _ in rows)
+    assert sum(found) >= (0.3 if sf == "sf0.001" else 0.75) * len(found)

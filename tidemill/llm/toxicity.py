@@ -76,10 +76,12 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, np.cumsum(sizes) - sizes)
 
 
-def _telling_buckets(of_word, word_sizes, of_text, text_sizes, target, buckets: int, least: float) -> np.ndarray:
-    """Buckets whose share of toxic texts differs from that of clean ones by ``least`` standard errors or more.
+def _trust(of_word, word_sizes, of_text, text_sizes, target, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets that occur, and how far each may count, from 0 to 1: the odds that its texts lean to a class by more than chance.
 
-    All others stay at zero: what chance distributes can be learnt by heart only.
+    One in all buckets is expected to, before texts are seen; what is seen adds the logarithm of how much likelier
+    the two classes' own shares of texts are than one share for both. No bucket is left out: rare ones count little, the
+    less the more buckets there are, since what chance distributes can be learnt by heart only.
     """
     starts = np.cumsum(word_sizes) - word_sizes
     texts = np.zeros((2, buckets), np.float32)
@@ -87,20 +89,27 @@ def _telling_buckets(of_word, word_sizes, of_text, text_sizes, target, buckets:
         sizes = word_sizes[words]
         inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         texts[int(toxic), np.unique(of_word[np.repeat(starts[words], sizes) + inside])] += 1
-    sizes = np.array([len(target) - target.sum(), target.sum()])
-    both = texts.sum(axis=0) / len(target)
-    error = np.sqrt(both * (1 - both) * (1 / sizes).sum()) + 1e-12
-    return np.flatnonzero(np.abs(texts[1] / sizes[1] - texts[0] / sizes[0]) >= least * error)
+    used = np.flatnonzero(texts.any(axis=0))
+    clean, toxic = texts[:, used].astype(float)
+
+    def likelihood(n: np.ndarray, size: float) -> np.ndarray:
+        share = n / size
+        return n * np.log(np.maximum(share, 1e-12)) + (size - n) * np.log(np.maximum(1 - share, 1e-12))
+
+    all_toxic = target.sum()
+    gain = likelihood(clean, len(target) - all_toxic) + likelihood(toxic, all_toxic) - likelihood(clean + toxic, len(target))
+    return used, 1 / (1 + np.exp(np.clip(np.log(len(used)) - gain, -50, 50)))
 
 
 def train(
     texts: list[str], labels: list[int], odds: float, buckets: int = 1 << 20, dimensions: int = 8,
-    least_errors: float = 7.0, steps: int = 60, rate: float = 0.1, decay: float = 1e-4, seed: int = 11,
+    steps: int = 60, rate: float = 0.1, decay: float = 1e-4, seed: int = 11,
 ) -> Model:
     """Fit embeddings and softmax weights together by Adam on all given texts.
 
     ``odds``: toxic to clean documents where the model will be used; the sample may hold another
-    share. Texts without words take no part. With one class only, the score is constant.
+    share. Texts without words take no part. With one class only, the score is constant. Every subword is
+    trained, with the share of its number that ``_trust`` gives it.
     """
     number: dict[str, int] = {}
     of_text, counts, text_sizes, marks = array("i"), array("f"), [], []
@@ -123,7 +132,7 @@ def train(
         word_sizes.append(len(parts))
     of_text, counts, of_word, word_sizes = (np.array(part) for part in (of_text, counts, of_word, word_sizes))
     text_sizes = np.array(text_sizes)
-    used = _telling_buckets(of_word, word_sizes, of_text, text_sizes, target, buckets, least_errors)
+    used, trust = _trust(of_word, word_sizes, of_text, text_sizes, target, buckets)
     share = np.where(target > 0, 0.5 / toxic, 0.5 / (len(target) - toxic))
     rng = np.random.default_rng(seed)
     embeddings = rng.normal(0, 0.05, (buckets, dimensions)).astype(np.float32)
@@ -132,18 +141,17 @@ def train(
     place = np.full(buckets, -1, np.int32)
     place[used] = np.arange(len(used))
     at = place[of_word]
-    word_of = np.repeat(np.arange(len(number), dtype=np.int32), word_sizes)[at >= 0]
-    at = at[at >= 0]
+    word_of = np.repeat(np.arange(len(number), dtype=np.int32), word_sizes)
     moments = [np.zeros((len(used), dimensions)), np.zeros((2, dimensions)), np.zeros(2)]
     spreads = [np.zeros_like(moment) for moment in moments]
     own = embeddings[used].astype(float)
     for step in range(1, steps + 1):
         direction = weights[1] - weights[0]
-        per_word = np.bincount(word_of, (own @ direction)[at], len(number)) / word_sizes
+        per_word = np.bincount(word_of, (own @ direction * trust)[at], len(number)) / word_sizes
         logit = _sums(counts * per_word[of_text], text_sizes) + biases[1] - biases[0]
         error = share * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - target)
         to_words = np.bincount(of_text, counts * np.repeat(error, text_sizes), len(number)) / word_sizes
-        to_own = np.bincount(at, to_words[word_of], len(used))
+        to_own = np.bincount(at, to_words[word_of], len(used)) * trust
         # The softmax weights' gradient is the error times the texts' vectors, summed: the same sum over embeddings.
         to_weights = to_own @ own
         gradients = [
@@ -156,7 +164,7 @@ def train(
             spread += 0.01 * (gradient**2 - spread)
             value -= rate * (moment / (1 - 0.9**step)) / (np.sqrt(spread / (1 - 0.99**step)) + 1e-12)
     values = np.zeros(buckets, np.float32)
-    values[used] = own @ (weights[1] - weights[0])
+    values[used] = own @ (weights[1] - weights[0]) * trust
     return Model(values, float(biases[1] - biases[0]) + float(np.log(odds)) * 0.5)
 
 
