@@ -22,6 +22,11 @@ def test_what_is_found():
         assert S.entities(clean) == []
 
 
+def test_names_after_punctuation():
+    for text in ("(John Smith)", '"name": "Anna Berg"', "name=Peter Jones", "<b>Mary Lopez</b>", "—Анна Петрова", "«Иван Орлов»"):
+        assert [kind.split(":")[0] for _, _, kind, _ in S.entities(text)] == ["given", "surname"], text
+
+
 def test_long_runs_take_no_longer_than_others():
     began = time.perf_counter()
     for text in ("x" * 200_000 + " a.b@c.org", "1" * 200_000, "password=" * 20_000, "a1b2" * 50_000, "Mr. " * 50_000, "@" * 100_000):

@@ -76,6 +76,7 @@ _assigned = re.compile(r"[=:]\s{0,3}[\"']?([^\s\"'<>,;]{6,})")
 _secret_labels = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "access_key")
 _hex = re.compile(r"\b[0-9a-fA-F]{32,}\b")
 _digit = re.compile(r"\d")
+_word = re.compile(r"\w+")
 
 LATIN, CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщыэюя"
 
@@ -134,7 +135,7 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             if m["given"]:
                 add(*m.span("given"), f"given:{gender}:{script_of(m['given'])}", m["given"].lower())
             add(*m.span("last"), f"surname:{script_of(m['last'])}", m["last"].lower())
-    if not _given_names.isdisjoint(text.split()):
+    if not _given_names.isdisjoint(_word.findall(text)):  # what the pattern finds is such a run of letters
         for m in _given_first.finditer(text):
             add(*m.span("given"), f"given:{_gender_of_given[m['given']]}:{script_of(m['given'])}", m["given"].lower())
             add(*m.span("last"), f"surname:{script_of(m['last'])}", m["last"].lower())
