@@ -86,3 +86,21 @@ def test_a_corpus(spark):
     assert got[n + 3].text == got[n + 4].text == "" and got[n + 4].n_entities == 0
     assert got[n + 5].text == got[n + 6].text == got[0].text and got[None].text == got[1].text
     assert S.replace_entities(docs.limit(0), KEY).count() == 0
+
+
+def test_what_cannot_change_is_no_entity():
+    for text in ("password: ********", "token:......", "Password\n=========", "pwd = ------½"):
+        assert S.entities(text) == []
+    assert [entity for *_, entity in S.entities("password: ***a***")] == ["***a***"]
+
+
+def test_pools_that_run_out(spark):
+    # All of 192.168.x.y is real, all letters at one domain, all values of a secret with one digit, all short numbers of an area.
+    rows = [("ip", f"192.168.{a}.{b}") for a in range(1, 255) for b in range(1, 255)]
+    rows += [("email", f"{c}@q.org") for c in S.LATIN] + [("secret", f"*****{n}") for n in range(10)] + [("phone", f"44{n:02d}") for n in range(100)]
+    found = spark.createDataFrame(rows, "kind string, entity string").repartition(8)
+    again = {(r.kind, r.entity): r.attempt for r in S.drawn_again(found, KEY).collect()}
+    new = [(kind, S.surrogate(KEY, kind, entity, again.get((kind, entity), 0))) for kind, entity in rows]
+    assert len(set(new)) == len(rows) and not set(new) & set(rows)
+    assert all(value.startswith("10.") for kind, value in new if kind == "ip")
+    assert S.written_like("+44 12", "phone", "4412345") == "+44 12345"

@@ -78,6 +78,9 @@ _hex = re.compile(r"\b[0-9a-fA-F]{32,}\b")
 _digit = re.compile(r"\d")
 _word = re.compile(r"\w+")
 
+#: So many times an entity draws a surrogate as long as itself; and so many rounds there are before an error.
+SAME_LENGTH, MOST_ROUNDS = 8, 200
+
 LATIN, CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщыэюя"
 
 
@@ -114,7 +117,8 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             label = _label.search(text[max(0, mark.start() - 40) : mark.start()])
             if label and label[1].lower().endswith(_secret_labels) and (m := _assigned.match(text, mark.start())):
                 value = m[1].rstrip(".)]}")
-                add(m.start(1), m.start(1) + len(value), "secret", value)
+                if any(c.isalpha() or c.isdigit() for c in value):  # else a mask or a line, which nothing can be drawn for
+                    add(m.start(1), m.start(1) + len(value), "secret", value)
                 reached = m.end()
     if _digit.search(text):
         if "AKIA" in text or "ASIA" in text:
@@ -181,28 +185,38 @@ def _redrawn(text: str, stream: _Stream) -> str:
 
 
 def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
-    """The canonical form of the ``attempt``-th surrogate of an entity."""
+    """The canonical form of the ``attempt``-th surrogate of an entity.
+
+    Whoever draws more than ``SAME_LENGTH`` times has too small a pool: each further attempt then adds a character. Addresses,
+    which cannot grow, move to 10.x.y.z from 192.168.x.y, and after twice as many attempts to any address.
+    """
     stream = _Stream(key, kind, entity, str(attempt))
+    more = max(0, attempt - SAME_LENGTH)
     if kind == "email":
         local, domain = entity.rsplit("@", 1)
         host, top = domain.rsplit(".", 1)
         # Addresses of one domain stay together.
-        return f"{_redrawn(local, stream)}@{_redrawn(host, _Stream(key, 'domain', domain))}.{top}"
+        return f"{_redrawn(local + 'x' * more, stream)}@{_redrawn(host, _Stream(key, 'domain', domain))}.{top}"
     if kind == "ip":
         first, second, *_ = parts = entity.split(".")
         fixed = {"10": 1, "127": 1}.get(first, 2 if (first, second) in {("192", "168")} else 0)
+        if more and fixed == 2:
+            parts, fixed = ["10"], 1
+        if attempt > 2 * SAME_LENGTH:
+            fixed = 0
         drawn = [str(1 + stream.below(223 if i == 0 else 254)) for i in range(4)]
         return ".".join(parts[:fixed] + drawn[fixed:])
     if kind == "card":
-        body = entity[0] + _redrawn(entity[1:-1], stream)
+        body = entity[0] + _redrawn(entity[1:-1] + "0" * more, stream)
         valid = luhn(entity)
         ends = [d for d in "0123456789" if luhn(body + d) == valid]
         return body + ends[stream.below(len(ends))]
     if kind == "iban":
-        body = _redrawn(entity[4:], stream)
+        body = _redrawn(entity[4:] + "0" * more, stream)
         return next(iban for n in range(2, 99) if iban_valid(iban := f"{entity[:2]}{n:02d}{body}"))
     if kind == "phone":
-        return entity[:1] + _redrawn(entity[1:], stream) if entity[0] == "1" else entity[:2] + _redrawn(entity[2:], stream)
+        fixed = 1 if entity[0] == "1" else 2
+        return entity[:fixed] + _redrawn(entity[fixed:] + "0" * more, stream)
     if kind == "access_key":
         return entity[:4] + "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"[stream.below(32)] for _ in entity[4:])
     if kind.startswith("given:"):
@@ -212,7 +226,7 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
     if kind.startswith("surname:"):
         names = SURNAMES[kind.split(":")[1]]
         return "-".join(names[stream.below(len(names))].lower() for _ in range(2 + attempt))
-    return _redrawn(entity, stream)
+    return _redrawn(entity + ("0" if entity.isdigit() else "x") * more, stream)
 
 
 def written_like(mention: str, kind: str, canonical: str) -> str:
@@ -223,7 +237,7 @@ def written_like(mention: str, kind: str, canonical: str) -> str:
         return canonical.upper() if mention.isupper() else canonical
     if kind in ("card", "iban", "phone", "ssn"):
         rest = iter(canonical)
-        return "".join(next(rest) if c.isalnum() else c for c in mention)
+        return "".join([next(rest) if c.isalnum() else c for c in mention]) + "".join(rest)
     return canonical
 
 
@@ -267,11 +281,12 @@ def drawn_again(found: DataFrame, key: bytes) -> DataFrame:
     """``kind``, ``entity``, ``attempt`` of all entities whose first surrogate was not free.
 
     In each round everyone's present surrogate is compared with all others' and with all real entities; of
-    several entities with one surrogate the one of fewest attempts, then the smallest, keeps it. Rounds end when nobody loses.
+    several entities with one surrogate the one of fewest attempts, then the smallest, keeps it. Rounds end when nobody loses. Pools
+    grow with attempts, except that of all addresses: a corpus that leaves none free is an error.
     """
     people = materialize(found.select("kind", "entity").distinct(), "entities").rows
     current = materialize(people.withColumn("attempt", F.lit(0)).mapInArrow(_draw(key), _DRAWN), "surrogates")
-    while True:
+    for _ in range(MOST_ROUNDS):
         taken = current.rows.groupBy("kind", "surrogate").agg(
             F.min(F.struct("attempt", "entity")).alias("owner"), F.count(F.lit(1)).alias("n")
         )
@@ -286,6 +301,7 @@ def drawn_again(found: DataFrame, key: bytes) -> DataFrame:
         following = materialize(drawn.mapInArrow(_draw(key), _DRAWN), "surrogates")
         current.drop()
         current = following
+    raise ValueError(f"after {MOST_ROUNDS} rounds some entities have no surrogate of their own")
 
 
 def _apply(key: bytes, place: int):
