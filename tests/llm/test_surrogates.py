@@ -27,6 +27,20 @@ def test_names_after_punctuation():
         assert [kind.split(":")[0] for _, _, kind, _ in S.entities(text)] == ["given", "surname"], text
 
 
+def test_further_mentions_of_a_name():
+    text = "Berg is here. Mrs Anna Berg called. Berg said that Anna, ANNA and Berg's dog saw an iceberg, Bergen, a berg, Anna-Berg and anna@berg.org."
+    new, spans = S.replaced(text, KEY, {})
+    given, last = S._first(KEY, "given:female:latin", "anna").title(), S._first(KEY, "surname:latin", "berg").title()
+    mail = S._first(KEY, "email", "anna@berg.org")
+    assert new == (
+        f"{last} is here. Mrs {given} {last} called. {last} said that {given}, {given.upper()} and {last}'s dog saw an iceberg, Bergen, a berg, "
+        f"{given}-{last} and {mail}."
+    )
+    assert [text[start:end].lower() for start, end, _ in spans if end - start == 4] == "berg anna berg berg anna anna berg anna berg".split()
+    assert S.entities("Berg said that Anna came.") == []
+    assert {entity[3] for entity in S.entities("Mrs Berg's dog saw 'Mr Berg' when Berg left.")} == {"berg"}
+
+
 def test_long_runs_take_no_longer_than_others():
     began = time.perf_counter()
     for text in ("x" * 200_000 + " a.b@c.org", "1" * 200_000, "password=" * 20_000, "a1b2" * 50_000, "Mr. " * 50_000, "@" * 100_000):

@@ -58,6 +58,7 @@ _titled = re.compile(
 )
 _given_first = re.compile(rf"\b(?P<given>{'|'.join(sorted(sum(GIVEN.values(), []), key=len, reverse=True))}) (?P<last>{_capital})\b")
 _titles = tuple(title + mark for title in sum(TITLES.values(), []) for mark in (" ", ". "))
+_ending = re.compile(r"(?<=\w\w)(?:['’-]+s?)$")
 _gender = {title: gender for gender, titles in TITLES.items() for title in titles}
 _gender_of_given = {name: gender for (gender, _), names in GIVEN.items() for name in names}
 _given_names = frozenset(_gender_of_given)
@@ -77,6 +78,7 @@ _secret_labels = ("password", "passwd", "pwd", "secret", "token", "apikey", "api
 _hex = re.compile(r"\b[0-9a-fA-F]{32,}\b")
 _digit = re.compile(r"\d")
 _word = re.compile(r"\w+")
+_compound = re.compile(r"\w+(?:['’-]+\w+)*")
 
 #: So many times an entity draws a surrogate as long as itself; and so many rounds there are before an error.
 SAME_LENGTH, MOST_ROUNDS = 8, 200
@@ -98,12 +100,19 @@ def iban_valid(iban: str) -> bool:
 
 
 def entities(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, canonical form) of what is found, in order, without overlaps; the first kind found wins."""
+    """(start, end, kind, canonical form) of what is found, in order, without overlaps; the first kind found wins.
+
+    Names found beside a title or a listed given name are then looked for in the rest of the text, as whole words with a capital.
+    """
     found: list[tuple[int, int, str, str]] = []
 
     def add(start: int, end: int, kind: str, canonical: str) -> None:
         found.append((start, end, kind, canonical))
 
+    def add_surname(start: int, last: str) -> None:
+        last = _ending.sub("", last)  # "Mrs Berg's" names the same person
+        add(start, start + len(last), f"surname:{script_of(last)}", last.lower())
+
     if "@" in text:
         for m in _domain.finditer(text):
             local = _local_part.search(text[max(0, m.start() - 64) : m.start()])
@@ -138,17 +147,39 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             gender = _gender[m["title"]]
             if m["given"]:
                 add(*m.span("given"), f"given:{gender}:{script_of(m['given'])}", m["given"].lower())
-            add(*m.span("last"), f"surname:{script_of(m['last'])}", m["last"].lower())
+            add_surname(m.start("last"), m["last"])
     if not _given_names.isdisjoint(_word.findall(text)):  # what the pattern finds is such a run of letters
         for m in _given_first.finditer(text):
             add(*m.span("given"), f"given:{_gender_of_given[m['given']]}:{script_of(m['given'])}", m["given"].lower())
-            add(*m.span("last"), f"surname:{script_of(m['last'])}", m["last"].lower())
+            add_surname(m.start("last"), m["last"])
     kept, reached = [], 0
     for _, entity in sorted(enumerate(found), key=lambda pair: (pair[1][0], pair[0])):
         if entity[0] >= reached:
             kept.append(entity)
             reached = entity[1]
-    return kept
+    names: dict[str, str] = {}
+    for _, _, kind, canonical in kept:
+        if kind.startswith(("given:", "surname:")):
+            names.setdefault(canonical, kind)
+    return _with_further_mentions(text, kept, names) if names else kept
+
+
+def _with_further_mentions(text: str, found: list[tuple[int, int, str, str]], names: dict[str, str]) -> list[tuple[int, int, str, str]]:
+    """``found`` and the words between that are one of ``names``, alone or as a part of a compound ("Berg's", "Berg-Haus")."""
+    out, at = [], 0
+    for start, end, *about in [*found, (len(text), len(text))]:
+        for compound in _compound.finditer(text, at, start):
+            whole = compound[0].lower() in names
+            for m in [compound] if whole else _word.finditer(text, *compound.span()):
+                # A word that what is found cuts off is not whole.
+                cut = m.start() == at > 0 and (text[at - 1].isalnum() or text[at - 1] == "_")
+                cut = cut or m.end() == start < len(text) and (text[start].isalnum() or text[start] == "_")
+                if not cut and not m[0][0].islower() and (canonical := m[0].lower()) in names:
+                    out.append((*m.span(), names[canonical], canonical))
+        if about:
+            out.append((start, end, *about))
+        at = end
+    return out
 
 
 class _Stream:
