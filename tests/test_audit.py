@@ -212,3 +212,11 @@ def test_roll_up(spark):
         3: (False, "structure", "d", 1, 0, ""),
         4: (True, None, None, 0, 0, ""),
     }
+
+
+def test_every_producer_of_a_shared_table_is_a_row(spark):
+    make, read = "CREATE TEMP TABLE t_x AS SELECT 1", "SELECT * FROM t_x"
+    rows = [(1, task, make) for task in "abc"] + [(1, "r", read), (2, "a", f"{make}; {read}"), (3, "a", f"{make}; {read}"), (3, "b", f"{make}; {read}")]
+    tasks = spark.createDataFrame([(dag, task, "PostgresOperator", sql) for dag, task, sql in rows], "dag_id long, task_id string, operator string, sql_text string")
+    got = sorted(tuple(r) for r in audit_sql.shared_temp_producers(tasks).collect())
+    assert got == [(1, "t_x", "a"), (1, "t_x", "b"), (1, "t_x", "c"), (3, "t_x", "a"), (3, "t_x", "b")]

@@ -164,6 +164,26 @@ def cross_task_temp(tasks: DataFrame) -> DataFrame:
     )
 
 
+def shared_temp_producers(tasks: DataFrame) -> DataFrame:
+    """(dag_id, table_name, producer): every task that creates a temporary table which another task of the DAG reads.
+
+    Together with ``cross_task_temp`` these rows name all producers of all consumers, without pairing them:
+    readers of a table are counted before the join.
+    """
+    used = table_refs(tasks)
+    readers = used.groupBy("dag_id", "table_name").agg(
+        F.count(F.lit(1)).alias("readers"), F.min("task_id").alias("first_reader")
+    )
+    others = (F.col("readers") > 1) | (F.col("first_reader") != F.col("producer"))
+    return (
+        temp_tables(tasks)
+        .withColumnRenamed("task_id", "producer")
+        .join(readers, ["dag_id", "table_name"])
+        .filter(others)
+        .select("dag_id", "table_name", "producer")
+    )
+
+
 def cross_task_temp_findings(tasks: DataFrame) -> DataFrame:
     message = F.concat(
         F.lit("Task '"), F.col("consumer"), F.lit("' reads temporary table(s) ['"), F.col("table_name"),

@@ -332,6 +332,19 @@ def audit_cross_task_temp(t):
     return audit_sql.cross_task_temp(view(t, "dag_tasks"))
 
 
+_PRODUCERS = f"""
+    SELECT DISTINCT m.dag_id, m.table_name, m.task_id AS producer
+    FROM ({_names(fixed.TEMP_TABLE)}) m
+    JOIN ({_names(fixed.TABLE_USE)}) r ON r.dag_id = m.dag_id AND r.table_name = m.table_name AND r.task_id <> m.task_id
+"""
+
+
+@query("audit_shared_temp_producers", with_views("dag_tasks") + _PRODUCERS)
+def audit_shared_temp_producers(t):
+    """All producers of the tables in ``audit_cross_task_temp``, which counts them and names one."""
+    return audit_sql.shared_temp_producers(view(t, "dag_tasks"))
+
+
 _REFS = f"""
     SELECT dag_id, task_id, unnest(range(len(ops))) AS position, lower(unnest(ops)) AS operation, unnest(ids) AS identifier, ctes
     FROM (SELECT dag_id, task_id, regexp_extract_all(sql_text, {sql_text(fixed.TABLE_REFERENCE)}, 1, 'i') AS ops,
