@@ -7,7 +7,7 @@ import os
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemill.llm import ann, bpe_codec, exact_dedup, line_dedup, mixing, oracles, simhash, suffix_dedup, surrogates, token_counts, toxicity
+from tidemill.llm import ann, bpe_codec, byte_bpe, exact_dedup, line_dedup, merkle, mixing, oracles, simhash, suffix_dedup, surrogates, token_counts, toxicity, whitening
 
 #: The folder that holds the library.
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -82,12 +82,30 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(embeddings, embeddings.where("vec_id % 100 = 0"), k=10)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``deviation`` is null where the exact value has no place in a long (from some ten million vectors on)."""
+    whitened = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    return whitened.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose id has a checksum that 5 divides are tampered with; a null id is not."""
+    fifth = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5 == 0
+    return merkle.manifest(_table(spark, sf_dir, "documents"), tampered=fifth)
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.code_digests(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 QUERIES = {
     fn.__name__: fn
-    for fn in (op1_token_counts, op2_toxicity, op3_simhash, op4_surrogates, op5_bpe_codec, op6_exact_dedup, op7_mixing, op8_line_dedup, op9_suffix_dedup, op10_nearest)
+    for fn in (op1_token_counts, op2_toxicity, op3_simhash, op4_surrogates, op5_bpe_codec, op6_exact_dedup, op7_mixing, op8_line_dedup, op9_suffix_dedup, op10_nearest, op11_whitening, op12_manifest, op13_byte_bpe)
 }
 ORACLES: dict[str, str] = {
     "op6_exact_dedup": oracles.OP6,
     "op7_mixing": oracles.OP7,
     "op8_line_dedup": oracles.OP8,
+    "op12_manifest": oracles.OP12,
 }
