@@ -349,8 +349,5 @@ def code_digests(
     ranks = Ranks(rank_file)
     ids = F.col("ids")
     return _encoded(docs, ranks, pattern, key, text, most_words).select(
-        F.col("key").alias(key),
-        F.size(ids).cast("long").alias("n_tokens"),
-        F.sha2(ranks.little_endian(ids), 256).alias("ids_sha256"),
-        F.sha2(ranks.bytes_of(ids), 256).alias("decoded_sha256"),
-    )
+        "key", F.size(ids).cast("long"), F.sha2(ranks.little_endian(ids), 256), F.sha2(ranks.bytes_of(ids), 256)
+    ).toDF(key, "n_tokens", "ids_sha256", "decoded_sha256")
