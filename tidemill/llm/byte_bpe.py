@@ -16,7 +16,6 @@ import base64
 import json
 from functools import lru_cache
 
-import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 NO_RANK = 2**31 - 1
@@ -24,9 +23,6 @@ NO_RANK = 2**31 - 1
 BITS = 17
 LEFT = 1 << BITS
 NONE = LEFT - 1
-#: Known words are dealt to buckets of about so many, each searched from its start.
-PER_BUCKET = 4
-MASK = (1 << 63) - 1
 #: Up to this many bytes a word is merged pair by pair, beyond it all pairs of one rank at once.
 SHORT = 64
 #: Words known beforehand have at most so many bytes.
@@ -110,17 +106,17 @@ def _tables(path: str) -> tuple[str, str, str, str, str, int, tuple[tuple[str, i
     grouped: dict[int, list[int]] = {}
     for pair in pairs:
         grouped.setdefault(pair % groups, []).append(pair)
-    entries: list[int | None] = [None] * (2 * size)
+    entries = [-1] * (2 * size)
     shifts = [0] * groups
     for group in sorted(grouped, key=lambda g: (-len(grouped[g]), g)):
         places = {pair % size for pair in grouped[group]}
         if len(places) < len(grouped[group]):
             raise ValueError("two pairs of a group have one remainder")
-        while any(entries[place + shifts[group]] is not None for place in places):
+        while any(entries[place + shifts[group]] >= 0 for place in places):
             shifts[group] += 1
         for pair in grouped[group]:
             entries[pair % size + shifts[group]] = pair * LEFT + pairs[pair]
-    while entries[-1] is None:
+    while entries[-1] < 0:
         entries.pop()
     tokens: list[bytes] = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
@@ -171,7 +167,8 @@ class Merger:
         """The token two neighbours make, ``NONE`` if they make none."""
         pair = _packed(left, right)
         entry = F.get(self.entries, (F.get(self.shifts, (pair % self.groups).cast("int")) + pair % self.size).cast("int"))
-        return F.coalesce(F.least(F.pmod(entry - F.shiftleft(pair, BITS), F.lit(1 << 52)), F.lit(NONE)), F.lit(NONE))
+        # least() passes over nulls: beside the end of a word there is none
+        return F.least((entry - F.shiftleft(pair, BITS)).bitwiseAND(F.lit((1 << 52) - 1)), F.lit(NONE))
 
     def _with_ranks(self, pieces: Column) -> Column:
         beside = F.zip_with(pieces, F.slice(pieces, 2, F.size(pieces)), lambda a, b: _packed(self.made(a, b), a))
@@ -181,9 +178,17 @@ class Merger:
         """Merge the first pair with the lowest rank: only what is beside it changes."""
 
         def merged(at: Column) -> Column:
-            before, after = _piece(F.get(word, at - 2)), _piece(F.get(word, at + 1))
-            new = F.array(_packed(self.made(before, least), before), _packed(self.made(least, after), least))
-            return F.concat(F.slice(word, 1, at - 2), new, F.slice(word, at + 2, F.size(word)))
+            def entry(old: Column, i: Column) -> Column:
+                # one transformed array is several times cheaper than slices joined
+                after = _piece(F.get(word, at + 1))
+                return (
+                    F.when(i == at, None)
+                    .when(i == at - 1, _packed(self.made(least, after), least))
+                    .when(i == at - 2, _packed(self.made(_piece(old), least), _piece(old)))
+                    .otherwise(old)
+                )
+
+            return F.filter(F.transform(word, entry), lambda new: new.isNotNull())
 
         return _let(F.array_position(F.transform(word, _rank), least).cast("int"), merged)
 
@@ -202,10 +207,15 @@ class Merger:
             ),
             lambda piece: piece.isNotNull(),
         )
-        return _let(
-            _let(_let(marked, replaced), self._with_ranks),
-            lambda new: F.when(_rank(F.array_min(new)) < least, self._merge_first(word, least)).otherwise(new),
+        # a merged pair stands beside its old neighbour on the right before that is merged in turn
+        meets = lambda marks: F.exists(
+            F.transform(word, lambda _, i: F.when(F.get(marks, i) == "1", self.made(least, _piece(F.get(word, i + 2))))),
+            lambda made: made < least,
         )
+        checked = lambda marks, new: F.when(
+            (_rank(F.array_min(new)) < least) | F.coalesce(meets(marks), F.lit(False)), self._merge_first(word, least)
+        ).otherwise(new)
+        return _let(marked, lambda marks: _let(_let(replaced(marks), self._with_ranks), lambda new: checked(marks, new)))
 
     def _fold(self, start: Column, merge) -> Column:
         step = lambda word, _: _let(
@@ -215,7 +225,7 @@ class Merger:
 
     def encode_word(self, word: Column) -> Column:
         """Ids of a word, merged from its bytes, separated by commas."""
-        letters = F.regexp_extract_all(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), F.lit("(?s)."), F.lit(0))
+        letters = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
         single = F.transform(letters, lambda letter: F.get(self.bytes, F.ascii(letter)))
         merged = lambda start: F.when(F.size(start) <= SHORT, self._fold(start, self._merge_first)).otherwise(
             self._fold(start, self._merge_all)
@@ -269,19 +279,21 @@ class Ranks:
 class KnownWords:
     """Encodings of frequent words as a literal: buckets of words and ids, each bucket one string."""
 
-    def __init__(self, ids: dict[str, str], buckets: int) -> None:
-        dealt = [UNKNOWN] * buckets
-        for word, numbers in ids.items():
-            place = (xxhash.xxh64_intdigest(word.encode(), seed=42) & MASK) % buckets
-            dealt[place] += f"{BEFORE}{word}{AFTER}{numbers}"
-        self.buckets = buckets
+    #: Low bits of a word's hash that name its bucket.
+    MASK = (1 << 16) - 1
+
+    def __init__(self, rows: list) -> None:
+        """``rows``: hash, word, ids separated by commas."""
+        dealt = [UNKNOWN] * (self.MASK + 1)
+        for hashed, word, ids in rows:
+            dealt[hashed & self.MASK] += f"{BEFORE}{word}{AFTER}{ids}"
         self._literal = _literal(json.dumps(dealt), "array<string>")
 
     def of(self, words: Column) -> Column:
         """For each word its ids separated by commas, ``UNKNOWN`` if it is not among them."""
 
         def ids(word: Column, held: Column) -> Column:
-            bucket = F.get(held, (F.xxhash64(word).bitwiseAND(F.lit(MASK)) % self.buckets).cast("int"))
+            bucket = F.get(held, F.hash(word).bitwiseAND(F.lit(self.MASK)))
             after = F.call_function("substring_index", bucket, F.concat(F.lit(BEFORE), word, F.lit(AFTER)), F.lit(-1))
             return F.substring_index(after, BEFORE, 1)
 
@@ -292,9 +304,8 @@ def known_words(docs: DataFrame, text: str, ranks: Ranks, pattern: str, most_wor
     """The words in most documents, counted over all of them, with their ids.
 
     Ties go to the smaller word. At most ``most_words`` reach the driver, of ``LONGEST_KNOWN`` bytes at most.
-    Tokens that merging would not make of their own bytes are among them: a word that is a token is that token.
+    Tokens that merging would not make of their own bytes come last and count: a word that is a token is that token.
     """
-    buckets = max(1, most_words // PER_BUCKET)
     counted = (
         docs.select(F.explode(F.array_distinct(words_of(F.col(text), pattern))).alias("word"))
         .groupBy("word")
@@ -303,9 +314,12 @@ def known_words(docs: DataFrame, text: str, ranks: Ranks, pattern: str, most_wor
         .orderBy(F.desc("n"), "word")
         .limit(most_words)
     )
-    ids = ranks.merging(lambda merger: merger.encode_word(F.col("word"))).alias("ids")
-    folded = counted.repartition(spread, "word").select("word", ids)
-    return KnownWords(dict(map(tuple, folded.collect())) | {token: str(rank) for token, rank in ranks.odd}, buckets)
+    ids = ranks.merging(lambda merger: merger.encode_word(F.col("word")))
+    rows = counted.repartition(spread, "word").select(F.hash("word"), "word", ids).collect()
+    if ranks.odd:
+        odd = docs.sparkSession.createDataFrame(ranks.odd, "word string, id int")
+        rows += odd.select(F.hash("word"), "word", F.col("id").cast("string")).collect()
+    return KnownWords(rows)
 
 
 def _encoded(docs: DataFrame, ranks: Ranks, pattern: str, key: str, text: str, most_words: int) -> DataFrame:
