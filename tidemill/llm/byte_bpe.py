@@ -102,11 +102,11 @@ def _tables(path: str) -> tuple[str, str, str, str, str, int, tuple[tuple[str, i
             left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
             if left is not None and right is not None:
                 pairs[left * LEFT + right] = made
-    groups, size = len(pairs) // 4 * 2 + 1, 2 * len(pairs) + 3
+    groups, size = len(pairs) // 4 * 2 + 1, len(pairs) * 5 // 4 + 3
     grouped: dict[int, list[int]] = {}
     for pair in pairs:
         grouped.setdefault(pair % groups, []).append(pair)
-    entries = [-1] * (2 * size)
+    entries = [-1] * (3 * size)
     shifts = [0] * groups
     for group in sorted(grouped, key=lambda g: (-len(grouped[g]), g)):
         places = {pair % size for pair in grouped[group]}
@@ -314,8 +314,8 @@ def known_words(docs: DataFrame, text: str, ranks: Ranks, pattern: str, most_wor
         .orderBy(F.desc("n"), "word")
         .limit(most_words)
     )
-    ids = ranks.merging(lambda merger: merger.encode_word(F.col("word")))
-    rows = counted.repartition(spread, "word").select(F.hash("word"), "word", ids).collect()
+    ids = ranks.merging(lambda merger: merger.encode_word(F.col("word"))).alias("ids")
+    rows = counted.repartition(spread, "word").select(F.hash("word").alias("hashed"), "word", ids).collect()
     if ranks.odd:
         odd = docs.sparkSession.createDataFrame(ranks.odd, "word string, id int")
         rows += odd.select(F.hash("word"), "word", F.col("id").cast("string")).collect()
@@ -363,5 +363,9 @@ def code_digests(
     ranks = Ranks(rank_file)
     ids = F.col("ids")
     return _encoded(docs, ranks, pattern, key, text, most_words).select(
-        "key", F.size(ids).cast("long"), F.sha2(ranks.little_endian(ids), 256), F.sha2(ranks.bytes_of(ids), 256)
-    ).toDF(key, "n_tokens", "ids_sha256", "decoded_sha256")
+        "key",
+        F.size(ids).cast("long").alias("n_tokens"),
+        # a name of their own: an unnamed column is called by its expression, literals included
+        F.sha2(ranks.little_endian(ids), 256).alias("ids_sha256"),
+        F.sha2(ranks.bytes_of(ids), 256).alias("decoded_sha256"),
+    ).withColumnRenamed("key", key)
