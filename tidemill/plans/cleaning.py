@@ -95,6 +95,19 @@ def csv_scan(t):
     return csv.scan(t.spark, export(t)).rows
 
 
+@query(
+    "csv_quoted_breaks",
+    "SELECT CAST(doc_id AS VARCHAR) AS doc_id, nullif(source, '') AS source, nullif(lang, '') AS lang, nullif(text, '') AS text FROM documents",
+)
+def csv_quoted_breaks(t):
+    """Documents as CSV, line breaks inside their cells, read back by as many tasks as the files have splits."""
+    path = scratch_path(t.spark, "documents.csv")
+    t.documents.select("doc_id", "source", "lang", "text").write.options(
+        header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(path)
+    return csv.scan(t.spark, path, multiline=True, encoding=csv.UTF8).rows
+
+
 @query("csv_null_tokens", with_views("messy_export") + f"SELECT {_each(_tokens)} FROM messy_export")
 def csv_null_tokens(t):
     return cleaning.null_tokens(view(t, "messy_export"))

@@ -14,6 +14,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from tidemill.functions.names import header_names, qualified, table_name
 from tidemill.operators.cleaning import Typing, clean, duplicate_row_warnings, quoted
 from tidemill.operators.loads import Expectations, LoadReport, StageRejected, create_replace, set_aside
+from tidemill.session import materialize
+from tidemill.sources.records import records
 
 DELIMITERS = (",", ";", "\t", "|")
 UTF8, CP1251, LATIN1 = "utf-8", "windows-1251", "iso-8859-1"
@@ -88,6 +90,8 @@ def first_line(spark: SparkSession, path: str, encoding: str) -> str:
             if text.count(b'"') % 2 == 0:
                 break
             text += b"\n"
+        else:
+            raise ValueError(f"{path}: the header has a quoted cell that {HEADER_LINES} lines do not close")
     return text.decode("utf-8-sig" if encoding == UTF8 else encoding)
 
 
@@ -99,15 +103,20 @@ def shape_of(spark: SparkSession, path: str, encoding: str, sep: str | None = No
     return CsvShape(encoding, sep, header_names(cells), cells == header_names(cells))
 
 
-def _read_alike(spark: SparkSession, files: Sequence[str], shape: CsvShape, multiline: bool) -> DataFrame:
-    """Files of one encoding as text columns c0, c1, … with the line kept where it did not fit.
+def _allow(spark: SparkSession, *encodings: str) -> None:
+    """Spark refuses to decode CP1251 unless this is set."""
+    if CP1251 in encodings:
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+
+
+def _read_alike(spark: SparkSession, files: Sequence[str], shape: CsvShape) -> DataFrame:
+    """Files of one encoding, without line breaks in cells, as text columns c0, c1, … with the line kept where it did not fit.
 
     The parser must see every column, whatever is selected later, to tell which
     lines do not fit.  Where the header cells are distinct names, Spark compares
     the header of each file with them as it opens the file.
     """
-    if shape.encoding == CP1251:
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    _allow(spark, shape.encoding)
     width = len(shape.columns)
     cells = [StructField(f"c{i}", StringType()) for i in range(width)]
     comparable = shape.plain_header and len({c.lower() for c in [*shape.columns, _BAD]}) == width + 1
@@ -116,7 +125,7 @@ def _read_alike(spark: SparkSession, files: Sequence[str], shape: CsvShape, mult
     parsed = (
         spark.read.schema(StructType([*read_as, StructField(_BAD, StringType())]))
         .options(
-            header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=_BAD, multiLine=multiline,
+            header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=_BAD,
             encoding=shape.encoding, enforceSchema=not comparable, columnPruning=False, **options,
         )
         .csv(list(files))
@@ -140,40 +149,63 @@ class CsvScan:
     shape: CsvShape
 
 
+def _read_records(spark: SparkSession, path: str, encodings: DataFrame, shape: CsvShape) -> DataFrame:
+    """Files of any encoding with line breaks in cells, in the form of ``_read_alike``; every header is compared."""
+    found = records(spark, path, shape.sep, encodings).rows
+    headers = found.where("header").select("text").distinct().take(HEADER_LINES + 1)
+    if any(cells_of(row["text"], shape.sep) != shape.columns for row in headers):
+        raise ValueError(f"{path}: files with different headers")
+    fields = ", ".join(f"c{i} string" for i in range(len(shape.columns))) + ", beyond string"
+    cells = F.from_csv("text", fields, {"sep": shape.sep, "quote": '"', "escape": '"', "maxCharsPerColumn": "-1"})
+    parsed = found.where("NOT header").select("file", "text", cells.alias("cells"))
+    return parsed.select(
+        *(F.col(f"cells.c{i}").alias(f"c{i}") for i in range(len(shape.columns))),
+        F.col("text").alias(_BAD), F.col("file").alias("_file"), F.col("cells.beyond").isNotNull().alias("_too_long"),
+    )
+
+
+def cells_of(header: str, sep: str) -> list[str]:
+    """Column names of a header record."""
+    return header_names(next(csv.reader(io.StringIO(header.lstrip("\ufeff"), newline=""), delimiter=sep)))
+
+
 def scan(
     spark: SparkSession, path: str, sep: str | None = None, multiline: bool | None = None, encoding: str | None = None
 ) -> CsvScan:
     """All cells as text.  Short rows are filled with nulls, rows with cells beyond the header are rejected.
 
     The files below ``path`` share one header; each is read in its own
-    encoding.  ``multiline`` allows line breaks in quoted cells, at the price that a file can no
-    longer be split among tasks; left open, files with a line that does not close its quotes are read so.  Naming
-    it and the ``encoding`` saves the pass that looks for them.
+    encoding.  ``multiline`` allows line breaks in quoted cells; left open, they are looked for.  Files without
+    such breaks and of one encoding go to Spark's reader as they are. All others are put together from
+    their lines by as many tasks as they have splits; what is told of a file is a row of a table and joined.
+    Naming ``multiline`` and the ``encoding`` saves the pass that looks for them.
     """
-    by_encoding: dict[tuple[str, bool], list[str]] = {}
+    listed = spark.read.text(path).select(F.col("_metadata.file_path").alias("file")).distinct
     if encoding and multiline is not None:
-        by_encoding[encoding, multiline] = [path]
+        files = listed().select("file", F.lit(encoding).alias("encoding"), F.lit(multiline).alias("open_quotes")) if multiline else None
+        ways = [(encoding, multiline)]
     else:
-        for row in detect_encodings(spark, path).collect():
-            way = (encoding or row["encoding"], row["open_quotes"] if multiline is None else multiline)
-            by_encoding.setdefault(way, []).append(unquote(row["file"]))
-    if not by_encoding:
+        files = materialize(detect_encodings(spark, path), "encodings").rows
+        if encoding:
+            files = files.withColumn("encoding", F.lit(encoding))
+        if multiline is not None:
+            files = files.withColumn("open_quotes", F.lit(multiline))
+        ways = sorted((row["encoding"], row["open_quotes"]) for row in files.select("encoding", "open_quotes").distinct().collect())
+    if not ways:
         raise ValueError(f"{path} holds no lines")
-    shapes = {way: shape_of(spark, sorted(files)[0], way[0], sep) for way, files in sorted(by_encoding.items())}
-    names = next(iter(shapes.values())).columns
-    parts = []
-    for way, shape in shapes.items():
-        if shape.columns != names:
-            raise ValueError(f"{path}: files with different headers")
-        parts.append(_read_alike(spark, by_encoding[way], shape, way[1]))
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    rows = whole.filter(~F.col("_too_long")).select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+    if ways == [(ways[0][0], False)]:
+        shape = shape_of(spark, path, ways[0][0], sep)
+        whole = _read_alike(spark, [path], shape)
+    else:
+        _allow(spark, *(way[0] for way in ways))
+        first = files.orderBy("file").first()
+        shape = shape_of(spark, unquote(first["file"]), first["encoding"], sep)
+        whole = _read_records(spark, path, files, shape)
+    rows = whole.filter(~F.col("_too_long")).select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(shape.columns)])
     rejects = whole.filter("_too_long").select(
         F.col("_file").alias("file"), F.col("c0").alias("first_cell"), F.col(_BAD).alias("line")
     )
-    return CsvScan(rows, rejects, next(iter(shapes.values())))
+    return CsvScan(rows, rejects, shape)
 
 
 def load(
