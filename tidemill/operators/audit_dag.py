@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemill.functions import fixed
+from tidemill.operators.components import strong_components
 from tidemill.operators.findings import Test, evaluate, finding, tests
-from tidemill.session import materialize
 
 # -- texts of DAG files: tests on the column ``code`` ---------------------------
 
@@ -123,60 +123,21 @@ def no_dependencies(dags: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def _peel(edges: DataFrame) -> DataFrame:
-    """Edges whose start is reached by some edge and whose end is left by some edge."""
-    reached = edges.select("dag_id", F.col("dst").alias("src")).distinct()
-    left = edges.select("dag_id", F.col("src").alias("dst")).distinct()
-    return edges.join(reached, ["dag_id", "src"], "left_semi").join(left, ["dag_id", "dst"], "left_semi").select(*edges.columns)
+def cyclic_core(edges: DataFrame) -> DataFrame:
+    """The edges that lie on a circle: those inside a strongly connected component, each once."""
+    named = edges.select("dag_id", "src", "dst").dropna().distinct()
+    inside = strong_components(named).rows.select(F.col("graph").alias("dag_id"), "node", "component")
+    for end in ("src", "dst"):
+        named = named.join(inside.withColumnsRenamed({"node": end, "component": f"{end}_component"}), ["dag_id", end])
+    return named.where("src_component = dst_component").select("dag_id", "src", "dst")
 
 
-def _contract(edges: DataFrame, turn: int) -> DataFrame:
-    """Shortcuts past nodes with one edge in and one out.
-
-    A coin per node and turn picks nodes of which no two are neighbours, about
-    a quarter of a chain; ``u → v → w`` becomes ``u → w``.  A circle shrinks to
-    an edge from a node to itself and stays one.
-    """
-
-    def coin(node: str) -> Column:
-        return F.pmod(F.xxhash64("dag_id", node, F.lit(turn)), F.lit(2))
-
-    ins = edges.groupBy("dag_id", F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n_in"), F.min("src").alias("u"))
-    outs = edges.groupBy("dag_id", F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n_out"), F.min("dst").alias("w"))
-    picked = (
-        ins.filter("n_in = 1").join(outs.filter("n_out = 1"), ["dag_id", "node"])
-        .filter((F.col("u") != F.col("node")) & (coin("node") == 1) & (coin("u") == 0))
-    )
-    kept = edges.join(picked.select("dag_id", F.col("node").alias("src")), ["dag_id", "src"], "left_anti").join(
-        picked.select("dag_id", F.col("node").alias("dst")), ["dag_id", "dst"], "left_anti"
-    )
-    shortcuts = picked.select("dag_id", F.col("u").alias("src"), F.col("w").alias("dst"))
-    return kept.select("dag_id", "src", "dst").unionByName(shortcuts).distinct()
-
-
-def cyclic_core(edges: DataFrame, contract_after: int = 6) -> DataFrame:
-    """What is left of the graphs once all that cannot be on a circle is gone.
-
-    Each round peels edges off at both ends, twice, and writes the rest below the
-    scratch folder, where the next round reads it; only the number of edges
-    comes to the driver.  It ends when a peel takes nothing away.  Long chains
-    would take a quarter as many rounds as they have edges, so from round
-    ``contract_after`` on every other round also shortens chains by about a
-    quarter (the edges left then include shortcuts).
-    """
-    core = materialize(edges.select("dag_id", "src", "dst").distinct(), "edges")
-    turn, settled = 0, False
-    while core.count and not settled:
-        rest = _peel(_peel(core.rows))
-        contract = turn >= contract_after and turn % 2 == 0
-        left = materialize(_contract(rest, turn) if contract else rest, "edges")
-        settled = not contract and left.count == core.count
-        core.drop()
-        core, turn = left, turn + 1
-    return core.rows
+def cycle_components(edges: DataFrame) -> DataFrame:
+    """(dag_id, task_id, component): tasks that wait for themselves, with the smallest task they share a circle with."""
+    return strong_components(edges).rows.select(F.col("graph").alias("dag_id"), F.col("node").alias("task_id"), "component")
 
 
 def cycles(edges: DataFrame) -> DataFrame:
     """One finding per DAG whose tasks wait for each other in a circle."""
-    found = cyclic_core(edges).select("dag_id").distinct()
+    found = strong_components(edges, members=False).rows.select(F.col("graph").alias("dag_id")).distinct()
     return found.select(*finding(F.col("dag_id"), "cycles", "logic", F.lit(fixed.CYCLE_ERROR)))

@@ -39,32 +39,46 @@ _COMMENTS_AND_STRINGS = r"(?s)--[^\n]*|/\*.*?\*/|'(?:[^']|'')*'|\"[^\"]*\""
 _PARENTHESES_AND_VERBS = r"[()]|\b(?:SELECT|INSERT|UPDATE|DELETE|MERGE)\b"
 
 
-def _after_with(statement: Column) -> Column:
-    """The verb a WITH list leads to: the first one outside parentheses, counted at any depth."""
+def _tokens(statement: Column) -> Column:
+    """Parentheses and verbs of a statement, comments and strings left out."""
     bare = F.upper(F.regexp_replace(statement, _COMMENTS_AND_STRINGS, " "))
-    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("verb"))
+    return F.regexp_extract_all(bare, F.lit(_PARENTHESES_AND_VERBS), F.lit(0))
+
+
+def _led_to(tokens: Column) -> Column:
+    """The verb a WITH list leads to: the first one outside parentheses, counted at any depth; null without a list."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit(None).cast("string").alias("verb"))
 
     def read(state: Column, token: Column) -> Column:
         opened = F.when(token == "(", 1).when(token == ")", -1).otherwise(0)
-        verb = (state["verb"] == "") & (state["depth"] == 0) & ~token.isin("(", ")")
-        return F.struct(
-            (state["depth"] + opened).alias("depth"), F.when(verb, token).otherwise(state["verb"]).alias("verb")
-        )
+        verb = (state["depth"] == 0) & ~token.isin("(", ")")
+        return F.struct((state["depth"] + opened).alias("depth"), F.coalesce(state["verb"], F.when(verb, token)).alias("verb"))
 
-    tokens = F.regexp_extract_all(bare, F.lit(_PARENTHESES_AND_VERBS), F.lit(0))
-    verb = F.aggregate(tokens, start, read, lambda state: state["verb"])
-    return F.when(verb == "", "SELECT").otherwise(verb)
+    return F.aggregate(tokens, start, read, lambda state: F.coalesce(state["verb"], F.lit("SELECT")))
 
 
 def statement_kind(statement: Column) -> Column:
-    """The kind by the first word after comments; after a WITH list, by the verb it leads to."""
+    """The kind of one statement as an expression; ``statement_kinds`` is the faster form for tables."""
     word = F.upper(F.regexp_extract(statement, _FIRST_WORD, 1))
-    kind = F.when(word == "WITH", _after_with(statement)).otherwise(word)
+    kind = F.coalesce(_led_to(F.when(word == "WITH", _tokens(statement))), word)
     return F.when(kind.isin(*fixed.STATEMENT_KINDS), kind).otherwise("UNKNOWN")
 
 
 def statement_kinds(steps: DataFrame) -> DataFrame:
-    return steps.select("script_id", "step", statement_kind(F.col("statement")).alias("kind"))
+    """The kind by the first word after comments; after a WITH list, by the verb it leads to.
+
+    Word, verb and kind are columns of their own, one after the other: conditions share no
+    expressions, so a verb named twice would be looked for twice.
+    """
+    statement = F.col("statement")
+    worded = steps.select("script_id", "step", "statement", F.regexp_extract(statement, _FIRST_WORD, 1).alias("first"))
+    worded = worded.select("script_id", "step", "statement", F.upper("first").alias("word"))
+    tokens = F.when(F.col("word") == "WITH", _tokens(statement))
+    verbs = worded.select("script_id", "step", "word", tokens.alias("tokens"))
+    verbs = verbs.select("script_id", "step", "word", _led_to(F.col("tokens")).alias("verb"))
+    kinds = verbs.select("script_id", "step", F.coalesce("verb", "word").alias("kind"))
+    known = F.when(F.col("kind").isin(*fixed.STATEMENT_KINDS), F.col("kind")).otherwise("UNKNOWN")
+    return kinds.select("script_id", "step", known.alias("kind"))
 
 
 def materializing(scripts: DataFrame, steps: DataFrame) -> DataFrame:

@@ -290,6 +290,21 @@ def audit_cycles(t):
     return audit_dag.cycles(view(t, "dag_edges"))
 
 
+@query(
+    "audit_cycle_components",
+    with_views("dag_edges").replace("WITH ", "WITH RECURSIVE ", 1)
+    + """
+    , reach AS (
+        SELECT dag_id, src, dst FROM dag_edges UNION SELECT r.dag_id, r.src, e.dst FROM reach r JOIN dag_edges e ON r.dag_id = e.dag_id AND r.dst = e.src)
+    SELECT a.dag_id, a.src AS task_id, min(a.dst) AS component
+    FROM reach a JOIN reach b ON a.dag_id = b.dag_id AND a.src = b.dst AND a.dst = b.src GROUP BY a.dag_id, a.src
+    """,
+)
+def audit_cycle_components(t):
+    """Tasks on a circle, and the smallest task of the component they form."""
+    return audit_dag.cycle_components(view(t, "dag_edges"))
+
+
 _SQL_TASKS = "(SELECT * FROM dag_tasks WHERE operator = 'PostgresOperator' AND task_id <> '' AND sql_text <> '')"
 
 
