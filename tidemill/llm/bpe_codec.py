@@ -24,6 +24,8 @@ from tidemill.llm.common import kept, map_batches, texts_of
 #: Stands for the end of a word inside the automaton; no byte symbol.
 END = "\n"
 _NO_RANK = 1 << 60
+_LEFT = 1 << 20
+_MOST_PAIRS = 400_000
 
 
 class Codec:
@@ -36,7 +38,8 @@ class Codec:
         }
         #: token id -> (rank of the merge that makes it, left id, right id)
         self.made = {made: (rank, left, right) for (left, right), (rank, made) in model.merges.items()}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        #: left id times ``_LEFT`` plus right id -> whether the two are compatible; one number takes a third of the room of two
+        self._pairs: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
         for token, number in model.ids.items():
             if self._stands(number):
@@ -80,11 +83,12 @@ class Codec:
                 limit, right = right_rank * 2 + 1, right_made[1]
 
     def compatible(self, left: int, right: int) -> bool:
-        known = self._pairs.get((left, right))
+        pair = left * _LEFT + right
+        known = self._pairs.get(pair)
         if known is None:
-            if len(self._pairs) >= 1_000_000:
+            if len(self._pairs) >= _MOST_PAIRS:
                 self._pairs.clear()
-            known = self._pairs[left, right] = self._apart(left, right)
+            known = self._pairs[pair] = self._apart(left, right)
         return known
 
     def _word(self, piece: str) -> tuple[int, ...]:
@@ -99,10 +103,9 @@ class Codec:
                 continue
             start = end - reach - 1
             if start >= 0:
-                pair = (last[start], number)
-                fits = pairs.get(pair)
+                fits = pairs.get(last[start] * _LEFT + number)
                 if fits is None:
-                    fits = compatible(*pair)
+                    fits = compatible(last[start], number)
                 if not fits:
                     continue
             last[end], before[end] = number, start

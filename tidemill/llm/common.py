@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Hashable, Iterable, Iterator
 from functools import lru_cache, wraps
@@ -20,6 +21,16 @@ _caches: dict[str, list] = {}
 _asked: list[str] = []
 
 
+def give_back() -> None:
+    """Return free memory to the system: Python workers outlive their tasks, and what they once held would stay theirs."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not a C library that can
+        pass
+
+
 def kept(kind: str, most: int) -> Callable:
     """A cache of ``most`` models, emptied when a model of another kind is asked for.
 
@@ -38,7 +49,7 @@ def kept(kind: str, most: int) -> Callable:
                 for other in _caches.keys() - {kind}:
                     for cache in _caches[other]:
                         cache.cache_clear()
-                gc.collect()
+                give_back()
             return cached(*key)
 
         return held
@@ -76,6 +87,7 @@ def map_batches(
                 for column, kind in zip(worker(batch, *settings), arrow, strict=True)
             ]
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -102,4 +114,4 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return materialize(df, label).rows
 
 
-__all__ = ["BLANKS", "kept", "map_batches", "parts", "scratch_path", "stored", "texts_of", "word_count"]
+__all__ = ["BLANKS", "give_back", "kept", "map_batches", "parts", "scratch_path", "stored", "texts_of", "word_count"]

@@ -203,11 +203,14 @@ def keep_one_of_each(
     docs: DataFrame, shingle: int, radius: int, key: str = "doc_id", text: str = "text", crowd: int = 4096
 ) -> DataFrame:
     """Rows of ``docs``, all columns: of each component the row with the smallest key, and exactly one of rows that share it."""
-    packed = docs.select(F.struct(*docs.columns).alias("doc"), F.col(text).alias("text"))
-    rows = with_fingerprints(packed, "text", shingle).drop("text")
+    # the text goes to Python once, beside the other columns
+    others = [name for name in docs.columns if name != text]
+    packed = docs.select(F.struct(*others).alias("doc"), F.col(text).alias("text"))
+    rows = with_fingerprints(packed, "text", shingle)
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "simhash_docs")
     roots = _rooted(rows, radius, crowd)
     keyed = rows.select("fingerprint", F.struct(F.col(f"doc.{key}").isNull(), F.col(f"doc.{key}"), "row").alias("place"))
     best = keyed.groupBy("fingerprint").agg(F.min("place").alias("place")).join(roots, "fingerprint")
     winners = best.groupBy("root").agg(F.min("place").alias("place")).select(F.col("place.row"))
-    return rows.join(winners, "row", "left_semi").select("doc.*")
+    kept = rows.join(winners, "row", "left_semi")
+    return kept.select(*(F.col("text").alias(name) if name == text else F.col(f"doc.`{name}`") for name in docs.columns))
