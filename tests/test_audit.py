@@ -218,3 +218,12 @@ def test_every_producer_of_a_shared_table_is_a_row(spark):
     tasks = spark.createDataFrame([(dag, task, "PostgresOperator", sql) for dag, task, sql in rows], "dag_id long, task_id string, operator string, sql_text string")
     got = sorted(tuple(r) for r in audit_sql.shared_temp_producers(tasks).collect())
     assert got == [(1, "t_x", "a"), (1, "t_x", "b"), (1, "t_x", "c"), (3, "t_x", "a"), (3, "t_x", "b")]
+
+
+def test_every_warning_is_told(spark):
+    said = [(1, "schedule", "b"), (1, "schedule", "a"), (1, "schedule", "a"), (1, "no_deps", "0"), (2, "conn_id", "late")]
+    rows = [(i, findings.CHECKS[check], check, "0", "logic", "warning", message) for i, check, message in said]
+    found = spark.createDataFrame(rows, "id long, check_no int, check_name string, item string, stage string, severity string, message string")
+    subjects = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    told = {r["id"]: (r["valid"], r["warning_count"], r["warnings"]) for r in findings.roll_up(subjects, found).collect()}
+    assert told == {1: (True, 4, "a b 0"), 2: (True, 1, "late"), 3: (True, 0, "")}

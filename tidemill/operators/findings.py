@@ -93,19 +93,19 @@ def roll_up(subjects: DataFrame, found: DataFrame) -> DataFrame:
 
     The first error counts; where the DAG or task marker is missing, the other
     errors are not looked at.  All measures are partial aggregates: a subject
-    with very many findings still sends one row per task through the shuffle,
-    and ``warnings`` holds one message per check.
+    with very many findings still sends one row per task through the shuffle.
+    ``warnings`` holds the warnings of all checks, in their order, each text once however often it is said.
     """
     is_error = F.col("severity") == "error"
     structural = F.col("stage") == "structure"
     first = F.min(F.when(is_error, F.struct("check_no", "item", "message", "stage")))
-    warned = {name: F.min(F.when(~is_error & (F.col("check_name") == name), F.col("message"))) for name in ("schedule", "no_deps")}
+    warned = F.array_sort(F.collect_set(F.when(~is_error, F.struct("check_no", "message"))))
     per_id = found.groupBy("id").agg(
         first.alias("first"),
         F.count_if(is_error).alias("errors"),
         F.count_if(is_error & structural).alias("structural"),
         F.count_if(~is_error).alias("warning_count"),
-        F.concat_ws(" ", *warned.values()).alias("warnings"),
+        F.array_join(F.transform(warned, lambda warning: warning["message"]), " ").alias("warnings"),
     )
     unsound = F.col("structural") > 0
     zero = F.lit(0).cast("bigint")

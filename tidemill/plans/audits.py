@@ -406,15 +406,15 @@ _ALL = " UNION ALL ".join(
     , ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY check_no, item, message) AS rn FROM found WHERE severity = 'error')
     , counted AS (
         SELECT id, count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'warning') AS warns,
-               count(*) FILTER (WHERE stage = 'structure') AS structural,
-               concat_ws(' ', min(message) FILTER (WHERE severity = 'warning' AND check_name = 'schedule'),
-                         min(message) FILTER (WHERE severity = 'warning' AND check_name = 'no_deps')) AS warnings
+               count(*) FILTER (WHERE stage = 'structure') AS structural
         FROM found GROUP BY id)
+    , said AS (SELECT id, string_agg(message, ' ' ORDER BY check_no, message) AS warnings
+        FROM (SELECT DISTINCT id, check_no, message FROM found WHERE severity = 'warning') GROUP BY id)
     SELECT dag_id AS id, r.id IS NULL AS valid, r.stage, r.message AS error,
            coalesce(CASE WHEN structural > 0 THEN structural ELSE errors END, 0) AS error_count,
            CASE WHEN structural > 0 THEN 0 ELSE coalesce(warns, 0) END AS warning_count,
            CASE WHEN structural > 0 THEN '' ELSE coalesce(warnings, '') END AS warnings
-    FROM dag_files d LEFT JOIN counted c ON c.id = d.dag_id LEFT JOIN ranked r ON r.id = d.dag_id AND r.rn = 1
+    FROM dag_files d LEFT JOIN counted c ON c.id = d.dag_id LEFT JOIN said w ON w.id = d.dag_id LEFT JOIN ranked r ON r.id = d.dag_id AND r.rn = 1
     """,
 )
 def audit_summary(t):
