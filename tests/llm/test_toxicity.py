@@ -1,5 +1,6 @@
 """Held-out accuracy on small invented texts, odd rows, and which rows may be learnt from."""
 
+import math
 import random
 import zlib
 
@@ -62,6 +63,43 @@ def test_documents(spark):
     assert toxicity.drop_toxic(docs, marks.limit(0)).count() == len(rows)
 
 
+def test_scores_against_a_plain_loop():
+    rows = list(made(200, 5))
+    model = toxicity.train([t for _, t, _ in rows], [y for _, _, y in rows], 1 / 3)
+    scorer = toxicity.Scorer(model)
+    for text in [rows[0][1], rows[1][1], "grobnak!", "", "  ", "\u00a0 (the) THE -- \U0001f600"]:
+        means = []
+        for word in text.lower().split():
+            marked = "<" + (word.strip(toxicity.MARKS) or word) + ">"
+            grams = {marked} | {marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked)) if i + n <= len(marked)}
+            means.append(sum(float(model.values[zlib.crc32(g.encode()) % len(model.values)]) for g in grams) / len(grams))
+        logit = model.bias + (toxicity.SHARPNESS * len(means) ** 0.5 * sum(means) / len(means) if means else 0)
+        assert scorer.score(text) == pytest.approx(1 / (1 + math.exp(-logit)), rel=1e-4)
+
+
+def test_the_sample_is_bounded_in_rows_and_bytes(spark, monkeypatch):
+    """One labelled id in very many rows and a very long text: one text an id, none beyond the bound."""
+    rows = [(i, t) for i, t, _ in made(40, 3)]
+    may = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    hot, long = may[0], may[1]
+    docs = spark.createDataFrame([row for row in rows if row[0] != long] + [(hot, f"zzz {i}") for i in range(3000)] + [(long, "y" * 5001)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in made(40, 3)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, marks, odds: seen.extend(zip(texts, marks)))
+    toxicity.fit(docs, labels, longest=5000)
+    assert len(seen) == len(may) - 1 and not any("yyy" in text for text, _ in seen)
+    seen.clear()
+    toxicity.fit(docs, labels, longest=5000, most_of_class=2)
+    assert len(seen) <= 6
+
+
+def test_null_keys_and_a_text_called_score(spark):
+    docs = spark.createDataFrame([(None, "a b"), (1, None)], "doc_id long, score string")
+    assert all(r.may is not None for r in docs.select(toxicity.learnable(docs["doc_id"]).alias("may")).collect())
+    scored = toxicity.with_scores(docs, toxicity.train(["a", "b"], [0, 1], 1.0), text="score")
+    assert scored.columns == ["doc_id", "score"] and all(0 <= r.score <= 1 for r in scored.collect())
+
+
 def held_out(spark, folder):
     """(toxic, score) of the given labelled rows that may not be learnt from."""
     docs, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))

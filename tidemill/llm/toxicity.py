@@ -169,19 +169,23 @@ def train(
 
 
 def learnable(key: Column) -> Column:
-    """Whether labels of a document may be learnt from: CRC-32 of its key as text, modulo 4, is not 2."""
-    return F.crc32(key.cast("string").cast("binary")) % 4 != 2
+    """Whether labels of a document may be learnt from: CRC-32 of its key as text, modulo 4, is not 2.
+
+    True for a null key: no rule holds it out. It has no label that could be found either.
+    """
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 != 2, F.lit(True))
 
 
 def fit(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
-    most_of_class: int = 1500, **settings,
+    most_of_class: int = 1500, longest: int = 50_000, **settings,
 ) -> Model:
     """A model from at most ``most_of_class`` toxic and twice as many clean labelled documents.
 
     Which ones is settled by a hash of their keys. Null labels and keys are ignored, of
-    several labels of a document the largest counts. Only the sample's whole texts
-    come to the driver.
+    several labels of a document the largest counts, of several rows of a document the smallest text.
+    Texts of more than ``longest`` bytes are scored, but not learnt from. Only the sample's whole texts
+    come to the driver: ``3 * most_of_class * longest`` bytes at most, whatever the tables hold.
     """
     known = (
         labels.select(F.col(key).alias("id"), F.col(label).cast("int").alias("toxic"))
@@ -192,11 +196,12 @@ def fit(
     order = F.xxhash64("id")
     chosen = [known.where(F.col("toxic") == value).orderBy(order, "id").limit(most) for value, most in ((1, most_of_class), (0, 2 * most_of_class))]
     chosen = F.broadcast(chosen[0].unionByName(chosen[1]))  # 3 * most_of_class rows at most
-    sample = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(chosen, "id").select("id", "text", "toxic").collect()
-    sample.sort(key=lambda row: (row["id"], row["text"] or ""))
+    shown = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.octet_length("text") <= longest)
+    sample = shown.join(chosen, "id").groupBy("id", "toxic").agg(F.min("text").alias("text")).collect()
+    sample.sort(key=lambda row: row["id"])
     shares = {row["toxic"]: row["n"] for row in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     odds = max(shares.get(1, 0), 1) / max(shares.get(0, 0), 1)
-    return train([row["text"] or "" for row in sample], [row["toxic"] for row in sample], odds, **settings)
+    return train([row["text"] for row in sample], [row["toxic"] for row in sample], odds, **settings)
 
 
 @kept("toxicity", 1)
@@ -213,9 +218,15 @@ def with_scores(docs: DataFrame, model: Model, text: str = "text", name: str = "
     """``docs`` and the score of every whole text, from 0 to 1, higher for toxic ones.
 
     Only the text is looked at; a null or empty one gets the model's bias as its score. Row by row,
-    without a shuffle. A column of ``docs`` named like the score gives way to it.
+    without a shuffle. A column of ``docs`` named like the score gives way to it, be it the text itself.
     """
-    docs = docs.drop(*({name} - {text}))
+    if name == text:
+        text = "_text"
+        while text in docs.columns:
+            text += "_"
+        docs = docs.withColumnRenamed(name, text)
+        return with_scores(docs, model, text, name).drop(text)
+    docs = docs.drop(name)
     shared = docs.sparkSession.sparkContext.broadcast((model.values.tobytes(), model.bias))
     schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
     return map_batches(docs, _score_batch, schema, docs.columns.index(text), shared)
