@@ -1,9 +1,11 @@
 """No row vanishes or changes unseen: rejects, null keys and marks, odd partition values, a moving clock."""
 
+import datetime
+
 from pyspark.sql import functions as F
 import pytest
 
-from tidemill.operators import loads, prompts
+from tidemill.operators import cleaning, history, loads, prompts
 from tidemill.sources import csv
 
 
@@ -108,3 +110,90 @@ def test_a_correction_without_an_error_text(spark):
     row = spark.createDataFrame([("SELECT 1", None, "sql")], "code string, error string, f string")
     text = row.select(prompts.correction_text(F.col("code"), F.col("error"), F.col("f"))).first()[0]
     assert "SELECT 1" in text
+
+
+def test_history_rows_without_key_or_time_are_kept_and_counted(spark, new_table):
+    table = new_table("history")
+    schema = "k int, ts timestamp_ntz, id int, a string"
+    moment = datetime.datetime(2024, 1, 1)
+    early = spark.createDataFrame([(1, moment, 1, "x"), (None, moment, 2, "x"), (None, moment, 2, "x"), (1, None, 3, "y")], schema)
+    for _ in range(2):
+        report = history.load_history(early, table, ["k"], "ts", "id", ["a"])
+        assert report.rows == 1 and report.rejected == 3 and "3 rows without key or time" in report.warnings[-1]
+    assert spark.table(report.rejects_table).count() == 3
+    late = spark.createDataFrame([(1, moment + datetime.timedelta(1), 4, "z"), (2, None, 5, None)], schema)
+    report = history.load_history(late, table, ["k"], "ts", "id", ["a"])
+    assert report.rows == 2 and report.rejected == 1
+    assert sorted(r.id for r in spark.table(report.rejects_table).collect()) == [2, 2, 3, 5]
+    assert sorted((r.a, r.is_current) for r in spark.table(table).collect()) == [("x", False), ("z", True)]
+
+
+def test_repeated_rejects_are_appended_as_often_as_they_come(spark, new_table):
+    table = new_table("rejects")
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "id int, v string")
+    assert loads.set_aside(rows, table)[0] == 3
+    location = loads.table_location(spark, f"{table}_rejects")
+    assert loads.set_aside(rows.orderBy(F.desc("id")), table)[0] == 3  # the same load again
+    assert loads.set_aside(rows.filter("id = 1"), table)[0] == 2  # another one, of rows known already
+    assert loads.set_aside(spark.createDataFrame([(3, 1.5)], "id int, more double"), table)[0] == 1
+    kept = spark.table(f"{table}_rejects")
+    assert sorted(r.id for r in kept.collect()) == [1, 1, 1, 1, 2, 3] and kept.columns == ["id", "v", "more"]
+    assert loads.table_location(spark, f"{table}_rejects") == location  # appended, not rewritten
+    assert loads.set_aside(rows.limit(0), new_table("none")) == (0, None)
+    gap = spark.createDataFrame([(None, "a")], "id int, v string")
+    other = spark.createDataFrame([(1, None)], "id int, v string")
+    assert loads.content_id(gap) != loads.content_id(other)
+
+
+def test_a_batch_that_reads_its_table_sees_the_old_rows(spark, new_table):
+    """Rejects are those of the batch as it was, not of one evaluated again after the swap."""
+    table = new_table("self")
+    loads.publish(spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string"), table)
+    batch = spark.table(table).select(F.when(F.col("v") == "a", F.col("id")).alias("id"), F.concat("v", F.lit("!")).alias("v"))
+    report = loads.upsert(batch, table, ["id"], ["v"])
+    assert report.rejected == 1 and [r.v for r in spark.table(report.rejects_table).collect()] == ["b!"]
+    assert sorted(r.v for r in spark.table(table).collect()) == ["a!", "b"]
+
+
+@pytest.mark.parametrize("fails", ["create", "rename"])
+def test_a_failed_replacement_leaves_the_table(spark, new_table, monkeypatch, fails):
+    table = new_table("replaced")
+    loads.create_replace(spark.range(3), table)
+    assert loads.create_replace(spark.range(4), table).replaced_existing and spark.table(table).count() == 4
+    if fails == "create":
+        monkeypatch.setattr(type(spark.catalog), "createTable", lambda *args, **kw: 1 / 0)
+    else:
+        sql = type(spark).sql
+
+        def failing(session, text, *args, **kw):
+            if "__new_" in text and "RENAME" in text:
+                raise RuntimeError("no")
+            return sql(session, text, *args, **kw)
+
+        monkeypatch.setattr(type(spark), "sql", failing)
+    with pytest.raises((ZeroDivisionError, RuntimeError)):
+        loads.create_replace(spark.range(5).selectExpr("id", "'x' AS more"), table)
+    monkeypatch.undo()
+    spark.catalog.refreshTable(table)
+    assert spark.table(table).columns == ["id"] and spark.table(table).count() == 4
+    loads.create_replace(spark.range(5).selectExpr("id", "'x' AS more"), table)
+    assert spark.table(table).columns == ["id", "more"] and spark.table(table).count() == 5
+    database, _, name = table.rpartition(".")
+    assert [t.name for t in spark.catalog.listTables(database) if t.name.startswith(name)] == [name]
+
+
+def test_the_text_null_is_not_the_null_partition(spark, new_table):
+    table = new_table("nulls")
+    spark.sql(f"CREATE TABLE {table} (v INT, p STRING) USING parquet PARTITIONED BY (p)")
+    rows = [(1, None), (2, "null"), (3, "a")]
+    for kept in (rows, rows[:1] + rows[2:], rows, rows[1:], rows[2:], rows):
+        loads.publish(spark.createDataFrame(kept, "v int, p string"), table)
+        assert sorted(tuple(r) for r in spark.table(table).collect()) == kept
+
+
+def test_cells_lost_to_a_type_are_counted(spark):
+    raw = spark.createDataFrame([("2024-01-01", "a"), ("2024-01-02", "b"), ("soon", "c"), (None, "d")], "Created_At string, v string")
+    loose = cleaning.clean(raw, cleaning.Typing(parse_rate=0.5))
+    assert loose.rows.schema["created_at"].dataType.typeName() == "timestamp_ntz"
+    assert loose.warnings == ["1 cells of created_at are no timestamps and became null"]
+    assert cleaning.clean(raw).warnings == []

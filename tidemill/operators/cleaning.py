@@ -67,6 +67,12 @@ def duplicate_row_warnings(n: int) -> list[str]:
     return [f"Удалено {n} дублирующихся строк."] if n else []
 
 
+def unread_cell_warnings(facts: dict[str, ColumnFacts], types: dict[str, str]) -> list[str]:
+    """One text per column of which filled cells become null, because they are no moments."""
+    lost = {c: facts[c].filled - facts[c].moments for c, kind in types.items() if kind == "timestamp_ntz"}
+    return [f"{n} cells of {c} are no timestamps and became null" for c, n in lost.items() if n]
+
+
 def normal_names(df: DataFrame) -> DataFrame:
     """Column names in snake case, each of them once."""
     return df.toDF(*unique_names(snake_case(c) for c in df.columns))
@@ -88,7 +94,7 @@ class Typing:
     """How columns of text are given types.
 
     ``parse_rate`` is the share of filled cells that must parse before a column
-    becomes a timestamp; the cells that do not are lost below 1.
+    becomes a timestamp; below 1 the cells that do not become null, which :func:`clean` counts in its warnings.
     """
 
     parse_rate: float = 1.0
@@ -193,9 +199,9 @@ def clean(raw: DataFrame, typing: Typing = Typing(), drop_after_trim: bool = Fal
     names = unique_names(snake_case(c) for c in kept)
     types = {name: inferred_type(name, rows, facts[c], typing) for name, c in zip(names, kept)}
     df = trim_cells(df.select(*[quoted(c).alias(name) for c, name in zip(kept, names)]))
-    return Cleaned(
-        drop_repeated_rows(typed(df, types)), rows, empty_column_warnings(len(raw.columns) - len(kept))
-    )
+    warnings = empty_column_warnings(len(raw.columns) - len(kept))
+    warnings += unread_cell_warnings({name: facts[c] for c, name in zip(kept, names)}, types)
+    return Cleaned(drop_repeated_rows(typed(df, types)), rows, warnings)
 
 
 # -- column profile ----------------------------------------------------------

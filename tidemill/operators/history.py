@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemill.operators.loads import latest_per_key, split_null_keys
+from tidemill.operators.loads import LoadReport, latest_per_key, publish, split_null_keys, with_rejects
 from tidemill.operators.ordered import HotKeys, hot_keys, with_neighbour, with_time_slice
+from tidemill.session import materialize
 
 
 def build_history(
@@ -23,7 +24,8 @@ def build_history(
     A row opens a version if any attribute differs (nulls compare equal) from
     the row before it; the version lasts until the next one opens (half-open).
     Of several rows of a key at one moment the greatest ``change_id`` counts.
-    Rows without key or time are left out.
+    Rows without key or time have no place in a history: ``history_rejects`` has them,
+    ``load_history`` keeps and counts them.
 
     Keys with more than ``1 / hot_limit`` of the rows are worked on in time
     slices.
@@ -69,6 +71,39 @@ def _versions(
     )
 
 
+def history_rejects(changes: DataFrame, key: Sequence[str], ts: str) -> DataFrame:
+    """The rows of ``changes`` that no history can hold: those without a complete key or without a time."""
+    return split_null_keys(changes, [*key, ts])[1]
+
+
+def load_history(
+    batch: DataFrame,
+    table: str,
+    key: Sequence[str],
+    ts: str,
+    change_id: str,
+    attributes: Sequence[str],
+    hot_limit: int | None = None,
+) -> LoadReport:
+    """Make the history ``table`` from ``batch``, or merge the batch into it; running it again changes nothing.
+
+    Rows without key or time are set aside in ``<table>_rejects`` and counted in the report, whose ``rows`` are the
+    versions the table then has. The batch is evaluated once.
+    """
+    spark = batch.sparkSession
+    fixed = materialize(batch, "changes")
+    columns = (key, ts, change_id, attributes, hot_limit)
+    try:
+        if spark.catalog.tableExists(table):
+            versions = merge_history(spark.table(table), fixed.rows, *columns)
+        else:
+            versions = build_history(fixed.rows, *columns)
+        report = publish(versions, table)
+        return with_rejects(report, history_rejects(fixed.rows, key, ts), table, "key or time")
+    finally:
+        fixed.drop()
+
+
 def merge_history(
     history: DataFrame,
     batch: DataFrame,
@@ -92,7 +127,6 @@ def merge_history(
     reopened = history.join(named, key, "left_semi").select(
         *key, F.col("valid_from").alias(ts), change_id, *attributes
     )
-    everything = history.select(*key, F.col("valid_from").alias(ts)).unionByName(batch.select(*key, ts))
-    hot = hot_keys(everything, key, ts, hot_limit)
-    rebuilt = _build(reopened.unionByName(batch), key, ts, change_id, attributes, hot)
+    touched = reopened.unionByName(batch)
+    rebuilt = _build(touched, key, ts, change_id, attributes, hot_keys(touched, key, ts, hot_limit))
     return passed.unionByName(rebuilt)

@@ -11,9 +11,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
+from itertools import product
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
+from pyspark.sql.types import StructType
 
 from tidemill.functions.scalars import scalar_literal
 from tidemill.session import delete_folder, materialize
@@ -56,9 +58,14 @@ def _snapshot_root(spark: SparkSession, table: str) -> str:
     return f"{spark.catalog.getDatabase(database).locationUri.rstrip('/')}/snapshots/{name}"
 
 
+def _described(spark: SparkSession, table: str, what: str) -> str | None:
+    """A property of the table itself; columns of that name come earlier in the description."""
+    rows = spark.sql(f"DESCRIBE EXTENDED {table}").filter(F.col("col_name") == what).select("data_type").collect()
+    return rows[-1][0] if rows else None
+
+
 def table_location(spark: SparkSession, table: str) -> str:
-    rows = spark.sql(f"DESCRIBE EXTENDED {table}").filter("col_name = 'Location'").select("data_type").collect()
-    return rows[0][0]
+    return _described(spark, table, "Location")
 
 
 def purge_snapshots(spark: SparkSession, table: str) -> int:
@@ -184,8 +191,8 @@ def add_missing_columns(df: DataFrame, table: str) -> list[str]:
     return [f.name for f in new]
 
 
-def ensure_table(spark: SparkSession, table: str, schema: str) -> list[str]:
-    """Make ``table`` with the columns of a DDL ``schema``, or add those it lacks; returns the added ones."""
+def ensure_table(spark: SparkSession, table: str, schema: str | StructType) -> list[str]:
+    """Make ``table`` with the columns of ``schema`` (DDL or a type), or add those it lacks; returns the added ones."""
     empty = spark.createDataFrame([], schema)
     if spark.catalog.tableExists(table):
         return add_missing_columns(empty, table)
@@ -210,23 +217,33 @@ def publish(
     return LoadReport(table, rows, swap(spark, table, path), path)
 
 
+def content_id(rows: DataFrame) -> str:
+    """What these rows are, whatever their order: their number, and the sum and exclusive or of their hashes."""
+    mark = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), {"ignoreNullFields": "false"}))
+    found = rows.agg(F.count(F.lit(1)), F.sum(mark.cast("decimal(38,0)")), F.bit_xor(mark)).first()
+    return ":".join(str(part or 0) for part in found)
+
+
 def set_aside(rows: DataFrame, table: str) -> tuple[int, str | None]:
     """Keep rows that ``table`` cannot take in ``<table>_rejects``; returns their number and that table's name.
 
-    Each distinct row is kept once, so that a load that is run again adds nothing. Without
-    such rows no table is made.
+    Every row is kept, repeated ones as often as they come, so the table holds as many rows as the loads
+    reported. Rows are appended, the table is never rewritten. ``<table>_reject_loads`` lists what was set aside by the
+    content of the load (:func:`content_id`), so that a load that is run again adds nothing; one that died between
+    the two appends adds its rows a second time, none is lost. Without such rows no table is made.
     """
     spark = rows.sparkSession
     kept = materialize(rows, "rejects")
     try:
         if not kept.count:
             return 0, None
-        name = f"{table}_rejects"
-        known = kept.rows
-        if spark.catalog.tableExists(name):
-            add_missing_columns(known, name)
-            known = conform(known, name, evolve=True).unionByName(spark.table(name))
-        publish(known.distinct(), name)
+        name, loads = f"{table}_rejects", f"{table}_reject_loads"
+        load_id = content_id(kept.rows)
+        ensure_table(spark, name, kept.rows.schema)
+        ensure_table(spark, loads, "load_id string, row_count bigint")
+        if spark.table(loads).filter(F.col("load_id") == load_id).isEmpty():
+            append(kept.rows, name, evolve=True)
+            append(spark.createDataFrame([(load_id, kept.count)], "load_id string, row_count bigint"), loads)
         return kept.count, name
     finally:
         kept.drop()
@@ -245,15 +262,37 @@ def truncate_insert(df: DataFrame, table: str, expect: Expectations = Expectatio
 def create_replace(df: DataFrame, table: str, expect: Expectations = Expectations()) -> LoadReport:
     """Make the table anew; columns may differ from before.
 
-    The rows are staged first, so that only the catalog entry is absent between
-    the drop and the create.
+    With the columns it had, a table without partitions is moved to the staged rows at once. Else its new
+    catalog entry is made under another name first, and then the two change names: what
+    can go wrong with the new one does so while the old one stands, and a failed change of names is taken back.
     """
     spark = df.sparkSession
     path, rows = stage(df, table, expect)
-    existed = spark.catalog.tableExists(table)
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
-    spark.catalog.createTable(table, path=path, source="parquet")
-    return LoadReport(table, rows, existed, path)
+    if not spark.catalog.tableExists(table):
+        spark.catalog.createTable(table, path=path, source="parquet")
+        return LoadReport(table, rows, False, path)
+    staged = spark.read.parquet(path).schema
+    same = [(f.name, f.dataType) for f in staged] == [(f.name, f.dataType) for f in spark.table(table).schema]
+    if same and _described(spark, table, "Provider") == "parquet" and not partition_columns(spark, table):
+        swap(spark, table, path)
+        return LoadReport(table, rows, True, path)
+    database, name = _split_name(spark, table)
+    mark = uuid.uuid4().hex[:12]
+    incoming, outgoing = f"{database}.{name}__new_{mark}", f"{database}.{name}__old_{mark}"
+    try:
+        spark.catalog.createTable(incoming, path=path, source="parquet")
+        spark.sql(f"ALTER TABLE {table} RENAME TO {outgoing}")
+        try:
+            spark.sql(f"ALTER TABLE {incoming} RENAME TO {database}.{name}")
+        except Exception:
+            spark.sql(f"ALTER TABLE {outgoing} RENAME TO {database}.{name}")
+            raise
+    except Exception:
+        spark.sql(f"DROP TABLE IF EXISTS {incoming}")
+        delete_folder(spark, path)
+        raise
+    spark.sql(f"DROP TABLE {outgoing}")
+    return LoadReport(table, rows, True, path)
 
 
 def newer_rows(batch: DataFrame, target: DataFrame, mark_col: str, keys: Sequence[str]) -> DataFrame:
@@ -324,19 +363,24 @@ def upsert(
 ) -> LoadReport:
     """Upsert into ``table``; running the same batch again changes nothing.
 
-    Rows without a complete key are set aside in ``<table>_rejects`` and counted in the report.
+    Rows without a complete key are set aside in ``<table>_rejects`` and counted in the report. The batch is
+    evaluated once, before the table changes: it may read the table, or a clock.
     """
     target = batch.sparkSession.table(table)
-    batch = conform(batch, table)
-    report = publish(upserted(target, batch, keys, order_by), table, expect)
-    return _with_rejects(report, split_null_keys(batch, keys)[1], table)
+    fixed = materialize(conform(batch, table), "batch")
+    try:
+        report = publish(upserted(target, fixed.rows, keys, order_by), table, expect)
+        return with_rejects(report, split_null_keys(fixed.rows, keys)[1], table)
+    finally:
+        fixed.drop()
 
 
-def _with_rejects(report: LoadReport, rejects: DataFrame, table: str) -> LoadReport:
+def with_rejects(report: LoadReport, rejects: DataFrame, table: str, lacking: str = "a complete key") -> LoadReport:
+    """``report`` after ``rejects`` were set aside."""
     count, name = set_aside(rejects, table)
     if not count:
         return report
-    warnings = [*report.warnings, f"{count} rows without a complete key are in {name}"]
+    warnings = [*report.warnings, f"{count} rows without {lacking} are in {name}"]
     return replace(report, rejected=count, rejects_table=name, warnings=warnings)
 
 
@@ -361,11 +405,15 @@ def upsert_partitions(
         raise ValueError("partition columns must be part of the key")
     spark = batch.sparkSession
     target = spark.table(table)
-    batch, rejects = split_null_keys(conform(batch, table), keys)
-    affected = target.filter(_in_partitions(batch, partition_by)).select(*target.columns)
-    path, rows = stage(upserted(affected, batch, keys, order_by), table, expect, partition_by=partition_by)
-    swap_partitions(spark, table, path, partition_by)
-    return _with_rejects(LoadReport(table, rows, True, path), rejects, table)
+    fixed = materialize(conform(batch, table), "batch")
+    try:
+        usable, rejects = split_null_keys(fixed.rows, keys)
+        affected = target.filter(_in_partitions(usable, partition_by)).select(*target.columns)
+        path, rows = stage(upserted(affected, usable, keys, order_by), table, expect, partition_by=partition_by)
+        swap_partitions(spark, table, path, partition_by)
+        return with_rejects(LoadReport(table, rows, True, path), rejects, table)
+    finally:
+        fixed.drop()
 
 
 def _in_partitions(batch: DataFrame, partition_by: Sequence[str]) -> Column:
@@ -396,9 +444,16 @@ def _spec_sql(spec: Spec) -> str:
 
 
 def _listed_partitions(spark: SparkSession, table: str) -> set[Spec]:
-    names = [r[0] for r in spark.sql(f"SHOW PARTITIONS {table}").collect()]
-    parts = [[p.partition("=") for p in name.split("/")] for name in names]
-    return {tuple((c, None if v in (NULL_PARTITION, "null") else unquote(v)) for c, _, v in part) for part in parts}
+    """The partitions of a table. A listing spells the null partition and that of the text ``null`` alike;
+
+    where one of them is listed, both are named, as dropping a partition that is absent does nothing.
+    """
+    specs: set[Spec] = set()
+    for (name,) in spark.sql(f"SHOW PARTITIONS {table}").collect():
+        cells = [(c, v) for c, _, v in (part.partition("=") for part in name.split("/"))]
+        choices = [[(c, None), (c, "null")] if v in (NULL_PARTITION, "null") else [(c, unquote(v))] for c, v in cells]
+        specs.update(product(*choices))
+    return specs
 
 
 def swap_partitions(spark: SparkSession, table: str, path: str, partition_by: Sequence[str]) -> set[Spec]:

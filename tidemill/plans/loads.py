@@ -258,6 +258,29 @@ def scd2_merge(t):
     return t.spark.table(table)
 
 
+# Changes of which some lack their key or their time, and some come twice.
+GAPPY_EVENTS = """
+SELECT event_id, CASE WHEN event_id % 50 <> 0 THEN user_id END AS user_id, CASE WHEN event_id % 77 <> 0 THEN ts END AS ts, event_type
+FROM {events}
+UNION ALL
+SELECT event_id, NULL, ts, event_type FROM {events} WHERE event_id % 100 = 0
+"""
+
+
+@query(
+    "scd2_rejects",
+    f"SELECT * FROM ({GAPPY_EVENTS.format(events='events')}) WHERE user_id IS NULL OR ts IS NULL",
+)
+def scd2_rejects(t):
+    """Changes that no history can hold, set aside by two loads, each run twice."""
+    table = scratch_table(t, "gappy_history")
+    changes = t.spark.sql(GAPPY_EVENTS, events=t.events)
+    for part in (0, 0, 1, 1):
+        batch = changes.filter(F.col("event_id") % 2 == part)
+        report = history.load_history(batch, table, ["user_id"], "ts", "event_id", ["event_type"])
+    return t.spark.table(report.rejects_table)
+
+
 @query(
     "run_steps",
     """
