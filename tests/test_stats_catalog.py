@@ -3,7 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.operators import marts, taskstats
+from tidemill.operators import loads, marts, taskstats
 from tidemill.session import scratch_database
 from tidemill.sources import catalog
 
@@ -92,6 +92,43 @@ def test_outcome(spark):
     ]
 
 
+def _nullable(spark, table, **how):
+    return {r["column"]: r["nullable"] for r in catalog.columns(spark, tables=[table], **how).collect()}
+
+
+def _pushed(spark, table):
+    return "PushedAggregation: [COUNT(*)" in catalog.columns(spark, tables=[table])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_columns_from_footers(spark, new_table):
+    table = new_table("footers")
+    rows = "id", "IF(id % 7 = 0, NULL, id) AS `odd name`", "array(id, NULL) AS list", "IF(id > 4, NULL, array(1)) AS other", "'x' AS v"
+    loads.publish(spark.range(0, 1000, 1, 5).selectExpr(*rows), table)
+    expected = {"id": False, "odd name": True, "list": False, "other": True, "v": False}
+    assert _pushed(spark, table) and _nullable(spark, table) == expected == _nullable(spark, table, footers=False)
+    loads.append(spark.range(3).selectExpr("id", "id AS `odd name`", "array(id) AS list", "array(1) AS other", "CAST(NULL AS STRING) AS v"), table)
+    assert _pushed(spark, table) and _nullable(spark, table) == expected | {"v": True}
+    # Files that lack a column answer by position what was not asked: they are read.
+    loads.append(spark.range(3).selectExpr("id", "id AS more"), table, evolve=True)
+    assert not _pushed(spark, table) and _nullable(spark, table)["more"] and not _nullable(spark, table)["id"]
+    loads.publish(spark.table(table), table)
+    assert _pushed(spark, table) and _nullable(spark, table)["more"]
+
+
+def test_columns_that_footers_cannot_answer(spark, new_table):
+    nested, parts, many, empty, foreign = (new_table(name) for name in ("nested", "parts", "many", "empty", "foreign"))
+    loads.publish(spark.range(9).selectExpr("struct(id, NULL AS gap) AS s", "IF(id = 1, NULL, id) AS a", "id AS b"), nested)
+    assert not _pushed(spark, nested) and _nullable(spark, nested) == {"s": False, "a": True, "b": False}
+    spark.range(9).selectExpr("id", "id % 2 AS p").write.partitionBy("p").saveAsTable(parts)
+    assert not _pushed(spark, parts) and _nullable(spark, parts) == {"id": False, "p": False}
+    spark.range(0, 9, 1, 3).write.saveAsTable(many)  # nobody vouches for these files
+    assert not _pushed(spark, many) and _nullable(spark, many) == {"id": False}
+    loads.publish(spark.range(0), empty)
+    assert _nullable(spark, empty) == {"id": False}
+    spark.sql(f"CREATE TABLE {foreign} (id INT) USING csv")
+    assert not _pushed(spark, foreign) and _nullable(spark, foreign) == {"id": False}
+
+
 def test_catalog(spark):
     import uuid
 

@@ -16,6 +16,7 @@ from pyspark.sql.types import (
     DoubleType,
     FloatType,
     IntegralType,
+    StructField,
     StructType,
     TimestampNTZType,
     TimestampType,
@@ -221,17 +222,22 @@ def sql_type_name(kind: DataType) -> str:
 def column_profile(df: DataFrame, schema: StructType | None = None) -> DataFrame:
     """(position, name, sql_type, nullable): a column is nullable if a null was seen in it.
 
-    One aggregate over all columns, turned to rows afterwards.
+    One aggregate of counts over all columns, turned to rows afterwards.
     """
     fields = (schema or df.schema).fields
-    flags = df.agg(*[F.coalesce(F.bool_or(quoted(f.name).isNull()), F.lit(False)).alias(f"c{i}") for i, f in enumerate(fields)])
+    return profile_of(df, list(enumerate(fields, start=1)))
+
+
+def profile_of(df: DataFrame, fields: Sequence[tuple[int, StructField]]) -> DataFrame:
+    """The profile of some columns, given with their positions. Counts are what a source may answer itself."""
+    counts = df.agg(F.count(F.lit(1)).alias("all"), *[F.count(quoted(f.name)).alias(f"c{i}") for i, f in fields])
     entries = [
         F.struct(
-            F.lit(i + 1).cast("bigint").alias("position"),
+            F.lit(i).cast("bigint").alias("position"),
             F.lit(f.name).alias("name"),
             F.lit(sql_type_name(f.dataType)).alias("sql_type"),
-            F.col(f"c{i}").alias("nullable"),
+            F.coalesce(F.col(f"c{i}") < F.col("all"), F.lit(False)).alias("nullable"),
         )
-        for i, f in enumerate(fields)
+        for i, f in fields
     ]
-    return flags.select(F.inline(F.array(*entries)))
+    return counts.select(F.inline(F.array(*entries)))

@@ -8,6 +8,7 @@ leaves the table alone, and a plan may read the table it is about to replace.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
@@ -34,8 +35,17 @@ class Expectations:
     unique: Sequence[str] = ()
 
 
+@dataclass(frozen=True)
+class ReportedColumn:
+    name: str
+    type: str
+    nullable: bool
+
+
 @dataclass(frozen=True)
 class LoadReport:
+    """``columns`` is filled by loads that choose the columns themselves."""
+
     table: str
     rows: int
     replaced_existing: bool
@@ -43,6 +53,7 @@ class LoadReport:
     warnings: list[str] = field(default_factory=list)
     rejected: int = 0
     rejects_table: str | None = None
+    columns: list[ReportedColumn] = field(default_factory=list)
 
 
 # -- snapshots ---------------------------------------------------------------
@@ -58,14 +69,14 @@ def _snapshot_root(spark: SparkSession, table: str) -> str:
     return f"{spark.catalog.getDatabase(database).locationUri.rstrip('/')}/snapshots/{name}"
 
 
-def _described(spark: SparkSession, table: str, what: str) -> str | None:
+def described(spark: SparkSession, table: str, what: str) -> str | None:
     """A property of the table itself; columns of that name come earlier in the description."""
     rows = spark.sql(f"DESCRIBE EXTENDED {table}").filter(F.col("col_name") == what).select("data_type").collect()
     return rows[-1][0] if rows else None
 
 
 def table_location(spark: SparkSession, table: str) -> str:
-    return _described(spark, table, "Location")
+    return described(spark, table, "Location")
 
 
 def purge_snapshots(spark: SparkSession, table: str) -> int:
@@ -130,6 +141,25 @@ def stage(
     return path, found["rows"]
 
 
+# The table property that names the columns all files of a table have, in this order.
+UNIFORM = "tidemill.uniform_columns"
+
+
+def _columns_mark(spark: SparkSession, table: str) -> str:
+    """A table whose columns changed since its files were written has another mark than it was given."""
+    return hashlib.sha256(spark.table(table).schema.json().encode()).hexdigest()
+
+
+def _mark_uniform(spark: SparkSession, table: str) -> None:
+    spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('{UNIFORM}' = '{_columns_mark(spark, table)}')")
+
+
+def is_uniform(spark: SparkSession, table: str) -> bool:
+    """Whether every file of ``table`` is known to hold its columns in their order."""
+    rows = spark.sql(f"SHOW TBLPROPERTIES {table}").filter(F.col("key") == UNIFORM).collect()
+    return bool(rows) and rows[0]["value"] == _columns_mark(spark, table)
+
+
 def partition_columns(spark: SparkSession, table: str) -> list[str]:
     return [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
 
@@ -150,8 +180,10 @@ def swap(spark: SparkSession, table: str, path: str) -> bool:
             return True
         spark.sql(f"ALTER TABLE {table} SET LOCATION '{path}'")
         spark.catalog.refreshTable(table)
+        _mark_uniform(spark, table)
         return True
     spark.catalog.createTable(table, path=path, source="parquet")
+    _mark_uniform(spark, table)
     return False
 
 
@@ -269,11 +301,10 @@ def create_replace(df: DataFrame, table: str, expect: Expectations = Expectation
     spark = df.sparkSession
     path, rows = stage(df, table, expect)
     if not spark.catalog.tableExists(table):
-        spark.catalog.createTable(table, path=path, source="parquet")
-        return LoadReport(table, rows, False, path)
+        return LoadReport(table, rows, swap(spark, table, path), path)
     staged = spark.read.parquet(path).schema
     same = [(f.name, f.dataType) for f in staged] == [(f.name, f.dataType) for f in spark.table(table).schema]
-    if same and _described(spark, table, "Provider") == "parquet" and not partition_columns(spark, table):
+    if same and described(spark, table, "Provider") == "parquet" and not partition_columns(spark, table):
         swap(spark, table, path)
         return LoadReport(table, rows, True, path)
     database, name = _split_name(spark, table)
@@ -292,6 +323,7 @@ def create_replace(df: DataFrame, table: str, expect: Expectations = Expectation
         delete_folder(spark, path)
         raise
     spark.sql(f"DROP TABLE {outgoing}")
+    _mark_uniform(spark, table)
     return LoadReport(table, rows, True, path)
 
 
@@ -586,6 +618,8 @@ def run_steps(spark: SparkSession, steps: Sequence[Step], sources: dict[str, Dat
             for done, location in reversed(moved):
                 if location:
                     swap(spark, done, location)
+                    # Files of before need not be alike.
+                    spark.sql(f"ALTER TABLE {done} UNSET TBLPROPERTIES IF EXISTS ('{UNIFORM}')")
                 else:
                     spark.sql(f"DROP TABLE IF EXISTS {done}")
             log.append(StepLog(len(steps) + 1, f"publish {table}", "error", str(error)))

@@ -11,7 +11,7 @@ from tidemill.plans.derived import VIEWS, view, with_views
 from tidemill.plans.loads import scratch_table
 from tidemill.plans.registry import query
 from tidemill.session import scratch_path
-from tidemill.sources import csv
+from tidemill.sources import catalog, csv
 
 # Customers as a careless export would give them: padded, with tokens for
 # missing values, mixed dates, repeated rows, empty rows and an empty column.
@@ -243,8 +243,7 @@ def csv_load_report(t):
     )
 
 
-@query(
-    "column_profile",
+PROFILE_SQL = (
     with_views("messy_export")
     + f"""
     , typed AS ({TYPED})
@@ -255,7 +254,22 @@ def csv_load_report(t):
     UNION ALL SELECT 5, 'segment', 'TEXT', bool_or(segment IS NULL) FROM typed
     UNION ALL SELECT 6, 'signup_date', 'TIMESTAMP', bool_or(signup_date IS NULL) FROM typed
     UNION ALL SELECT 7, 'status', 'TEXT', bool_or(status IS NULL) FROM typed
-    """,
+    """
 )
+
+
+@query("csv_load_columns", PROFILE_SQL)
+def csv_load_columns(t):
+    """The columns of a load's report, read as the catalog shows them: nulls are counted in the footers of the loaded files."""
+    database, _, name = scratch_table(t, "customers").partition(".")
+    report = csv.load(t.spark, export(t), name, database)
+    shown = catalog.columns(t.spark, tables=[report.table])
+    reported = t.spark.createDataFrame([(c.name,) for c in report.columns], "name string")
+    return shown.withColumnRenamed("column", "name").join(reported, "name", "left_semi").select(
+        "position", "name", F.col("type").alias("sql_type"), "nullable"
+    )
+
+
+@query("column_profile", PROFILE_SQL)
 def column_profile(t):
     return cleaning.column_profile(cleaning.clean(view(t, "messy_export").toDF(*HEADERS)).rows)

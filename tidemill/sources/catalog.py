@@ -8,7 +8,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemill.operators.cleaning import column_profile
+from tidemill.operators.cleaning import column_profile, profile_of
+from tidemill.sources.footers import is_flat, with_footers
 
 
 def split_table_name(name: str, default: str | None = None) -> tuple[str | None, str]:
@@ -31,15 +32,31 @@ def _wanted(spark: SparkSession, database: str | None, tables: Sequence[str] | N
 CATALOG_SCHEMA = "table_name string, position bigint, column string, type string, nullable boolean"
 
 
-def columns(spark: SparkSession, database: str | None = None, tables: Sequence[str] | None = None) -> DataFrame:
+def _profile(spark: SparkSession, name: str, footers: bool) -> DataFrame:
+    """Flat columns from footers, where they can be trusted; columns with nested values are read."""
+    counted = with_footers(spark, name) if footers and spark.catalog.getTable(name).tableType != "VIEW" else None
+    if counted is None:
+        return column_profile(spark.table(name))
+    fields = list(enumerate(counted.schema.fields, start=1))
+    flat = [(i, f) for i, f in fields if is_flat(f.dataType)]
+    nested = [(i, f) for i, f in fields if not is_flat(f.dataType)]
+    profiles = [profile_of(df, part) for df, part in ((counted, flat), (spark.table(name), nested)) if part]
+    return reduce(DataFrame.unionAll, profiles)
+
+
+def columns(
+    spark: SparkSession, database: str | None = None, tables: Sequence[str] | None = None, footers: bool = True
+) -> DataFrame:
     """(table_name, position, column, type, nullable), one row per column.
 
     Files do not declare nullability, so a column counts as nullable when a
-    null is found in it: one aggregate per table, all of them in one plan.
+    null is found in it: one aggregate per table, all of them in one plan. Footers of Parquet files know how many nulls
+    there are, so no data is read for flat columns of tables of which :mod:`tidemill.sources.footers` can tell;
+    ``footers=False`` reads all columns, for files written without statistics.
     """
     parts = []
     for label, name in _wanted(spark, database, tables):
-        profile = column_profile(spark.table(name))
+        profile = _profile(spark, name, footers)
         parts.append(
             profile.select(
                 F.lit(label).alias("table_name"), "position", F.col("name").alias("column"),

@@ -13,8 +13,9 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from tidemill.functions.names import header_names, qualified, table_name
 from tidemill.operators.cleaning import Typing, clean, duplicate_row_warnings, quoted
-from tidemill.operators.loads import Expectations, LoadReport, StageRejected, create_replace, set_aside
+from tidemill.operators.loads import Expectations, LoadReport, ReportedColumn, StageRejected, create_replace, set_aside
 from tidemill.session import materialize
+from tidemill.sources import catalog
 from tidemill.sources.records import records
 
 DELIMITERS = (",", ";", "\t", "|")
@@ -222,8 +223,8 @@ def load(
 ) -> LoadReport:
     """CSV files to a table: scan, clean, type, stage, swap.
 
-    Lines with more cells than the header are set aside in ``<table>_rejects`` and counted in the
-    report; with more than ``most_rejects`` of them nothing is loaded.
+    The report names the columns, their types and whether nulls are in them. Lines with more cells
+    than the header are set aside in ``<table>_rejects`` and counted in the report; with more than ``most_rejects`` of them nothing is loaded.
     """
     target = qualified(table_name(table, path.rstrip("/").rsplit("/", 1)[-1]), schema)
     existed = spark.catalog.tableExists(target)
@@ -240,4 +241,6 @@ def load(
     rejected, rejects_table = set_aside(scanned.rejects, target)
     if rejected:
         warnings = [*warnings, f"{rejected} lines with more cells than the header are in {rejects_table}"]
-    return replace(report, warnings=warnings, rejected=rejected, rejects_table=rejects_table)
+    kept = catalog.columns(spark, tables=[target]).orderBy("position").collect()
+    columns = [ReportedColumn(row["column"], row["type"], row["nullable"]) for row in kept]
+    return replace(report, warnings=warnings, rejected=rejected, rejects_table=rejects_table, columns=columns)
