@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidemill.functions import fixed
 from tidemill.operators import audit_dag, audit_sql, findings
 
 EDGES = "dag_id long, src string, dst string"
@@ -227,3 +228,23 @@ def test_every_warning_is_told(spark):
     subjects = spark.createDataFrame([(1,), (2,), (3,)], "id long")
     told = {r["id"]: (r["valid"], r["warning_count"], r["warnings"]) for r in findings.roll_up(subjects, found).collect()}
     assert told == {1: (True, 4, "a b 0"), 2: (True, 1, "late"), 3: (True, 0, "")}
+
+
+def test_script_verdicts(spark):
+    steps = [
+        (1, 1, "CREATE TABLE ws.a AS SELECT 1"), (1, 2, "SELECT * FROM ws.a"),
+        (2, 1, "SELECT 1"), (2, 2, "WITH x AS (SELECT 1) SELECT * FROM x"),
+        (3, 1, "SELECT :day"), (4, 1, "  "), (6, 1, "EXPLAIN SELECT 1"), (6, 2, " "),
+        (7, 1, "INSERT INTO ws.a VALUES ('%s', 1::int)"), (8, 1, "WITH x AS (SELECT 1) INSERT INTO ws.a SELECT * FROM x"),
+    ]
+    df = spark.createDataFrame(steps, "script_id long, step int, statement string")
+    scripts = spark.range(1, 9).toDF("script_id")
+    got = {r.script_id: (r.valid, r.stage, r.error) for r in audit_sql.script_verdicts(scripts, df).collect()}
+    good = (True, None, None)
+    assert got == {
+        1: good, 2: (False, "logic", fixed.SELECT_ONLY), 3: (False, "logic", fixed.PLACEHOLDER_ERROR),
+        4: (False, "syntax", fixed.EMPTY_SCRIPT), 5: (False, "syntax", fixed.EMPTY_SCRIPT),
+        6: (False, "logic", fixed.NOT_MATERIALIZING), 7: good, 8: good,
+    }
+    assert not {r.script_id: r.valid for r in audit_sql.script_verdicts(scripts, df, literal=True).collect()}[7]
+    assert audit_sql.script_verdicts(scripts.limit(0), df).count() == 0

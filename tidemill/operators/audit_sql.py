@@ -110,6 +110,28 @@ def materializing(scripts: DataFrame, steps: DataFrame) -> DataFrame:
     return judged.select(F.coalesce(*rows).alias("f")).filter("f IS NOT NULL").select("f.*")
 
 
+# Which check speaks for a script that fails several.
+_VERDICT_ORDER = ("empty", "placeholders", "select_only", "not_materializing")
+
+
+def script_verdicts(scripts: DataFrame, steps: DataFrame, literal: bool = False) -> DataFrame:
+    """(script_id, valid, stage, error): one row per script, with the first check it fails.
+
+    ``scripts(script_id)`` names all scripts, each once; those without a statement are empty. Every check is an
+    aggregate per script, so no script's statements need to meet in one place.
+    """
+    found = materializing(scripts, steps).unionByName(placeholders(steps, literal))
+    rank = F.array_position(F.array(*map(F.lit, _VERDICT_ORDER)), F.col("check_name"))
+    first = found.groupBy(F.col("id").alias("_failed")).agg(F.min(F.struct(rank.alias("rank"), "stage", "message")).alias("first"))
+    judged = scripts.select("script_id").join(first, F.col("script_id") == F.col("_failed"), "left")
+    return judged.select(
+        "script_id",
+        F.col("first").isNull().alias("valid"),
+        F.col("first.stage").alias("stage"),
+        F.col("first.message").alias("error"),
+    )
+
+
 # -- tables used by tasks: dag_tasks(dag_id, task_id, operator, sql_text) -------
 
 

@@ -167,6 +167,32 @@ def audit_materializing(t):
     return audit_sql.materializing(view(t, "sql_scripts"), view(t, "script_steps"))
 
 
+@query(
+    "audit_script_verdicts",
+    _KINDS
+    + f"""
+    , judged AS (
+        SELECT s.script_id, k.filled, k.held, k.only_select, k.changes FROM sql_scripts s LEFT JOIN (
+            SELECT script_id, count(*) FILTER (regexp_matches(statement, '\\S')) AS filled,
+                   bool_or({_matches_any(_BARE, fixed.PLACEHOLDERS)}) AS held,
+                   bool_and(kind = 'SELECT') FILTER (regexp_matches(statement, '\\S')) AS only_select,
+                   bool_or(kind IN ({', '.join(f"'{k}'" for k in fixed.MATERIALIZING)})) AS changes
+            FROM kinds GROUP BY script_id) k USING (script_id))
+    , decided AS (
+        SELECT script_id, CASE WHEN coalesce(filled, 0) = 0 THEN {sql_text(fixed.EMPTY_SCRIPT)}
+               WHEN held THEN {sql_text(fixed.PLACEHOLDER_ERROR)}
+               WHEN only_select THEN {sql_text(fixed.SELECT_ONLY)}
+               WHEN NOT changes THEN {sql_text(fixed.NOT_MATERIALIZING)} END AS error FROM judged)
+    SELECT script_id, error IS NULL AS valid,
+           CASE WHEN error = {sql_text(fixed.EMPTY_SCRIPT)} THEN 'syntax' WHEN error IS NOT NULL THEN 'logic' END AS stage,
+           error FROM decided
+    """,
+)
+def audit_script_verdicts(t):
+    """One verdict per script: the first check it fails, or that it is valid."""
+    return audit_sql.script_verdicts(view(t, "sql_scripts"), view(t, "script_steps"))
+
+
 @query(
     "audit_data_reads",
     with_views("scripts")
