@@ -207,6 +207,8 @@ def test_tables_made_elsewhere_can_be_replaced(spark, new_table):
     assert spark.table(parted).count() == 4 and spark.table(parted).filter("p = 'c'").count() == 2
     with pytest.raises(StageRejected):
         loads.publish(new.unionByName(new), parted, Expectations(unique=["id"]))
-    with pytest.raises(ValueError, match="partitioned"):
-        loads.purge_snapshots(spark, parted)
+    assert loads.purge_snapshots(spark, parted) == 0
     assert spark.table(parted).count() == 4
+    loads.publish(new, parted)
+    assert loads.purge_snapshots(spark, parted) == 1
+    assert rows(spark, parted) == [(3, "z", "c"), (4, "w", "d/e")]

@@ -9,12 +9,15 @@ leaves the table alone, and a plan may read the table it is about to replace.
 from __future__ import annotations
 
 import hashlib
+import re
+import time
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 from itertools import product
 from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
@@ -59,13 +62,13 @@ class LoadReport:
 # -- snapshots ---------------------------------------------------------------
 
 
-def _split_name(spark: SparkSession, table: str) -> tuple[str, str]:
+def split_name(spark: SparkSession, table: str) -> tuple[str, str]:
     database, _, name = table.rpartition(".")
     return database or spark.catalog.currentDatabase(), name
 
 
 def _snapshot_root(spark: SparkSession, table: str) -> str:
-    database, name = _split_name(spark, table)
+    database, name = split_name(spark, table)
     return f"{spark.catalog.getDatabase(database).locationUri.rstrip('/')}/snapshots/{name}"
 
 
@@ -79,25 +82,82 @@ def table_location(spark: SparkSession, table: str) -> str:
     return described(spark, table, "Location")
 
 
-def purge_snapshots(spark: SparkSession, table: str) -> int:
-    """Delete every snapshot of ``table`` but the one it points to; returns how many.
+def purge_snapshots(spark: SparkSession, table: str, older_than: float = 0) -> int:
+    """Delete the snapshots of ``table`` nothing points to any more; returns how many went in whole.
 
-    Meant for a quiet hour: a reader that began before the last swap still uses
-    an older folder, and a load that is being staged has one as well.  The
-    partitions of a partitioned table may live in any number of snapshots, so
-    such a table is refused.
+    A reader that began before the last swap still uses an older folder, and a load that is being staged has one as
+    well: run it in a quiet hour, or with ``older_than`` seconds, which spares what was written since. The
+    partitions of a table may live in any number of snapshots: of each, the partitions that were replaced go, one after the
+    other, and the snapshot with its last one. Finish interrupted commits (``commits.recover``) first: a database
+    that has one is refused.
     """
-    if partition_columns(spark, table):
-        raise ValueError(f"{table} is partitioned")
+    database, _ = split_name(spark, table)
     root = spark._jvm.org.apache.hadoop.fs.Path(_snapshot_root(spark, table))
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(root):
         return 0
-    live = table_location(spark, table).rstrip("/").rsplit("/", 1)[-1]
-    old = [s.getPath() for s in fs.listStatus(root) if s.getPath().getName() != live]
-    for path in old:
-        fs.delete(path, True)
-    return len(old)
+    records = spark._jvm.org.apache.hadoop.fs.Path(f"{spark.catalog.getDatabase(database).locationUri.rstrip('/')}/commits")
+    if fs.exists(records) and any(s.getPath().getName().endswith(".json") for s in fs.listStatus(records)):
+        raise ValueError(f"{database} has an unfinished commit")
+    live: set[tuple[str, ...]] = set()
+    for place in live_locations(spark, table):
+        # The catalog may show a place with or without escapes; one that is found neither way is no licence to delete.
+        forms = [form for form in dict.fromkeys((place, unquote(place))) if _is_there(spark, form)]
+        if not forms:
+            raise ValueError(f"{table}: {place} is not there, nothing was deleted")
+        live.update(_below(root, form) for form in forms)
+    before = (time.time() - older_than) * 1000
+    gone = 0
+    for snapshot in fs.listStatus(root):
+        inside = {place for place in live if place[:1] == (snapshot.getPath().getName(),)}
+        if snapshot.getModificationTime() > before:
+            continue
+        if not inside:
+            fs.delete(snapshot.getPath(), True)
+            gone += 1
+        elif (snapshot.getPath().getName(),) not in inside:
+            _sweep(fs, snapshot, root, inside)
+    return gone
+
+
+def _is_there(spark: SparkSession, place: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def _below(root, place: str) -> tuple[str, ...]:
+    """The folders from ``root`` down to ``place``; empty where it lies elsewhere."""
+    at, top = (re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", name).rstrip("/") for name in (place, root.toString()))
+    return tuple(at[len(top) + 1 :].split("/")) if at.startswith(top + "/") else ()
+
+
+def _sweep(fs, folder, root, live: set[tuple[str, ...]]) -> None:
+    """Delete the folders of partitions below ``folder`` that lead to no live one."""
+    for child in fs.listStatus(folder.getPath()):
+        here = _below(root, child.getPath().toString())
+        if not child.isDirectory() or here in live:
+            continue
+        if any(place[: len(here)] == here for place in live):
+            _sweep(fs, child, root, live)
+        else:
+            fs.delete(child.getPath(), True)
+
+
+def live_locations(spark: SparkSession, table: str) -> list[str]:
+    """Where ``table`` has its rows: its own folder, or that of each partition."""
+    if not partition_columns(spark, table):
+        return [table_location(spark, table)]
+    places = []
+    for spec in _listed_partitions(spark, table):
+        try:
+            rows = spark.sql(f"DESCRIBE EXTENDED {table} PARTITION ({_spec_sql(spec)})").filter("col_name = 'Location'").collect()
+        except AnalysisException as error:
+            # Of a null partition and that of the text null, one may be absent.
+            if "PARTITION" not in (error.getCondition() or "") or "NOT_FOUND" not in error.getCondition():
+                raise
+            continue
+        places += [row["data_type"] for row in rows]
+    return places
 
 
 def stage(
@@ -174,9 +234,7 @@ def swap(spark: SparkSession, table: str, path: str) -> bool:
         parts = partition_columns(spark, table)
         if parts:
             kept = swap_partitions(spark, table, path, parts)
-            for spec in _listed_partitions(spark, table) - kept:
-                spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({_spec_sql(spec)})")
-            spark.catalog.refreshTable(table)
+            drop_partitions(spark, table, kept)
             return True
         spark.sql(f"ALTER TABLE {table} SET LOCATION '{path}'")
         spark.catalog.refreshTable(table)
@@ -307,7 +365,7 @@ def create_replace(df: DataFrame, table: str, expect: Expectations = Expectation
     if same and described(spark, table, "Provider") == "parquet" and not partition_columns(spark, table):
         swap(spark, table, path)
         return LoadReport(table, rows, True, path)
-    database, name = _split_name(spark, table)
+    database, name = split_name(spark, table)
     mark = uuid.uuid4().hex[:12]
     incoming, outgoing = f"{database}.{name}__new_{mark}", f"{database}.{name}__old_{mark}"
     try:
@@ -509,6 +567,12 @@ def swap_partitions(spark: SparkSession, table: str, path: str, partition_by: Se
     return moved
 
 
+def drop_partitions(spark: SparkSession, table: str, but: set[Spec] = frozenset()) -> None:
+    for spec in _listed_partitions(spark, table) - but:
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({_spec_sql(spec)})")
+    spark.catalog.refreshTable(table)
+
+
 # -- patterns on top ---------------------------------------------------------
 
 

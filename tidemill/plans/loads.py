@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidemill.functions.scalars import money, scalar_literal
-from tidemill.operators import history, loads, marts
+from tidemill.operators import commits, history, keyed, loads, marts
 from tidemill.plans.derived import view, with_views
 from tidemill.plans.registry import query
 from tidemill.session import scratch_database, scratch_path
@@ -120,6 +120,18 @@ def load_upsert_partitions(t):
     return t.spark.table(table)
 
 
+@query("load_keyed_upsert", UPSERT_RESULT)
+def load_keyed_upsert(t):
+    """As ``load_upsert`` on a table in buckets of its key; the numbered batch is offered twice."""
+    table = scratch_table(t, "keyed_orders")
+    keyed.create(t.spark, table, t.orders.schema, ["o_orderkey"], 16)
+    keyed.upsert(t.orders.filter(before(CUTOFF)), table, ["o_orderdate"])
+    batch = t.spark.sql(UPSERT_BATCH, orders=t.orders)
+    for _ in range(2):
+        keyed.upsert(batch, table, ["o_orderstatus"], loads.Expectations(unique=["o_orderkey"]), commits.Batch("orders", 0))
+    return keyed.rows_of(t.spark, table)
+
+
 @query("load_incremental_stream", "SELECT * FROM orders")
 def load_incremental_stream(t):
     """The files of the source as a stream, taken twice: the second run finds nothing new."""
@@ -224,6 +236,29 @@ def delete_cascade(t):
     return labelled[0].unionByName(labelled[1]).unionByName(labelled[2])
 
 
+@query(
+    "delete_cascade_commit",
+    with_views("tasks", "artifacts", "runs")
+    + """
+    SELECT 'tasks' AS table_name, id FROM tasks WHERE status <> 'error'
+    UNION ALL
+    SELECT 'artifacts', a.id FROM artifacts a JOIN tasks t ON t.id = a.task_id WHERE status <> 'error'
+    UNION ALL
+    SELECT 'runs', r.id FROM runs r JOIN artifacts a ON a.id = r.artifact_id JOIN tasks t ON t.id = a.task_id
+    WHERE status <> 'error'
+    """,
+)
+def delete_cascade_commit(t):
+    """Failed tasks leave three tables in one commit; it is run again."""
+    names = {name: scratch_table(t, name) for name in ("tasks", "artifacts", "runs")}
+    for name, table in names.items():
+        loads.publish(view(t, name), table)
+    for _ in range(2):
+        commits.delete_cascade(*names.values(), t.spark.table(names["tasks"]).filter("status = 'error'").select("id"))
+    left = [t.spark.table(table).select(F.lit(name).alias("table_name"), "id") for name, table in names.items()]
+    return left[0].unionByName(left[1]).unionByName(left[2])
+
+
 HISTORY_SQL = """
 WITH moments AS (
     SELECT *, row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) AS rn FROM events
@@ -258,6 +293,18 @@ def scd2_merge(t):
     return t.spark.table(table)
 
 
+@query("scd2_keyed", HISTORY_SQL)
+def scd2_keyed(t):
+    """The same as a table in buckets of the key: each part rewrites the buckets of its users."""
+    table = scratch_table(t, "keyed_history")
+    columns = ("ts", "event_id", ["event_type"])
+    day = F.lit("2024-01-20").cast("timestamp_ntz")
+    keyed.create_history(t.spark, table, t.events.schema, ["user_id"], *columns, buckets=16)
+    for part in (F.col("ts") < day, F.col("ts") >= day, F.col("ts") >= day):
+        keyed.load_history(t.events.filter(part), table, *columns)
+    return keyed.rows_of(t.spark, table)
+
+
 # Changes of which some lack their key or their time, and some come twice.
 GAPPY_EVENTS = """
 SELECT event_id, CASE WHEN event_id % 50 <> 0 THEN user_id END AS user_id, CASE WHEN event_id % 77 <> 0 THEN ts END AS ts, event_type
