@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemill.functions.text import strip_blanks
 
+# Languages in the order they are looked for, and the shape of a tagged block.
 FALLBACK_LANGUAGES = ("sql", "python", "yaml")
 _ANY_BLOCK = r"(?s)```([a-zA-Z0-9_+-]+)\s*(.*?)```"
 

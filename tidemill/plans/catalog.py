@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from tidemill.operators import marts
 from tidemill.plans.registry import query
-from tidemill.session import scratch_database
+from tidemill.session import scratch_database, scratch_path
 from tidemill.sources import catalog
+from tidemill.sources.external import read_files
 
 # The given tables and their columns with the type they are reported with.
 COLUMNS = {
@@ -134,3 +135,11 @@ def fk_orphans(t):
 def preview_rows(t):
     """The first rows of a script's last result."""
     return catalog.preview(marts.orders_with_user_names(t.orders, t.customer).orderBy("id"))
+
+
+@query("files_json", "SELECT doc_id, lang, source, n_chars, text FROM documents")
+def files_json(t):
+    """A table written as JSON lines and read back with a schema, so that no pass is needed to find one."""
+    path = scratch_path(t.spark, "json")
+    t.documents.write.json(path)
+    return read_files(t.spark, path, "json", "doc_id bigint, lang string, source string, n_chars bigint, text string")
