@@ -136,7 +136,7 @@ def test_catalog(spark):
     spark.sql("SELECT 1 AS id, CAST(NULL AS STRING) AS v").write.saveAsTable(f"{db}.one")
     spark.sql("SELECT 1.5D AS x").write.saveAsTable(f"{db}.two")
     assert [tuple(r) for r in catalog.tables(spark, db).orderBy("table_name").collect()] == [
-        ("one", 1, 2, "id, v"), ("two", 1, 1, "x"),
+        ("one", 1, 2, "id, v", "BIGINT, TEXT"), ("two", 1, 1, "x", "DOUBLE PRECISION"),
     ]
     everything = catalog.columns(spark, db)
     assert sorted(tuple(r) for r in everything.collect()) == [

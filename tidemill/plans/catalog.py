@@ -58,7 +58,8 @@ def _work_database(t) -> str:
     "catalog_tables",
     " UNION ALL ".join(
         f"SELECT '{table}' AS table_name, count(*) AS row_count, CAST({len(columns.split(', '))} AS BIGINT) AS column_count, "
-        f"'{', '.join(c.split(' ')[0] for c in columns.split(', '))}' AS columns FROM {table}"
+        f"'{', '.join(c.split(' ')[0] for c in columns.split(', '))}' AS columns, "
+        f"'{', '.join(c.partition(' ')[2] for c in columns.split(', '))}' AS types FROM {table}"
         for table, columns in COLUMNS.items()
     ),
 )

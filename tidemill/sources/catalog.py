@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemill.operators.cleaning import column_profile, profile_of
+from tidemill.operators.cleaning import column_profile, profile_of, sql_type_name
 from tidemill.sources.footers import is_flat, with_footers
 
 
@@ -69,7 +69,7 @@ def columns(
 
 
 def tables(spark: SparkSession, database: str | None = None) -> DataFrame:
-    """(table_name, row_count, column_count, columns) of every table in a database."""
+    """(table_name, row_count, column_count, columns, types) of every table in a database; names and types in the same order."""
     parts = []
     for label, name in _wanted(spark, database, None):
         df = spark.table(name)
@@ -79,10 +79,11 @@ def tables(spark: SparkSession, database: str | None = None) -> DataFrame:
                 "row_count",
                 F.lit(len(df.columns)).cast("bigint").alias("column_count"),
                 F.lit(", ".join(df.columns)).alias("columns"),
+                F.lit(", ".join(sql_type_name(f.dataType) for f in df.schema)).alias("types"),
             )
         )
     if not parts:
-        return spark.createDataFrame([], "table_name string, row_count bigint, column_count bigint, columns string")
+        return spark.createDataFrame([], "table_name string, row_count bigint, column_count bigint, columns string, types string")
     return reduce(DataFrame.unionAll, parts)
 
 
