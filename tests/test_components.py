@@ -2,8 +2,9 @@
 
 import random
 
-from tidemill.operators import audit_dag
+from tidemill.operators import audit_dag, components
 from tidemill.operators.components import strong_components
+from tidemill.session import materialize
 
 EDGES = "dag_id long, src string, dst string"
 
@@ -69,3 +70,19 @@ def test_rounds_do_not_follow_the_depth(spark):
     edges += [(1, f"a{i:04}", f"b{i:04}") for i in range(deep)]
     nothing, rounds = found(spark, edges, members=False)
     assert nothing == {} and rounds < 60
+
+
+def test_no_side_of_a_join_goes_through_the_driver(spark, monkeypatch):
+    """Small sides were broadcast in every join of every round, which added up in the driver."""
+    plans = []
+
+    def noted(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialize(df, label)
+
+    monkeypatch.setattr(components, "materialize", noted)
+    edges = spark.createDataFrame(list(random_graphs(3)) + [(50, f"a{i}", f"a{j}") for i in range(6) for j in range(6)], EDGES)
+    rows = audit_dag.cycle_components(edges)
+    audit_dag.cycles(edges)
+    plans += [df._jdf.queryExecution().executedPlan().toString() for df in (rows, audit_dag.cyclic_core(edges))]
+    assert any("SortMergeJoin" in plan for plan in plans) and not any("Broadcast" in plan for plan in plans)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemill.functions import fixed
-from tidemill.operators.components import strong_components
+from tidemill.operators.components import shuffled, strong_components
 from tidemill.operators.findings import Test, evaluate, finding, tests
 
 # -- texts of DAG files: tests on the column ``code`` ---------------------------
@@ -128,7 +128,7 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
     named = edges.select("dag_id", "src", "dst").dropna().distinct()
     inside = strong_components(named).rows.select(F.col("graph").alias("dag_id"), "node", "component")
     for end in ("src", "dst"):
-        named = named.join(inside.withColumnsRenamed({"node": end, "component": f"{end}_component"}), ["dag_id", end])
+        named = named.join(shuffled(inside.withColumnsRenamed({"node": end, "component": f"{end}_component"})), ["dag_id", end])
     return named.where("src_component = dst_component").select("dag_id", "src", "dst")
 
 

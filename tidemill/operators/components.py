@@ -30,6 +30,12 @@ class Components:
     rounds: int
 
 
+def shuffled(rows: DataFrame) -> DataFrame:
+    """One side of a join that both sides are shuffled for. Every round has a dozen joins: small sides
+    sent out through the driver would add up in it, round after round."""
+    return rows.hint("merge")
+
+
 def _ends(edges: DataFrame, end: str) -> DataFrame:
     return edges.select("graph", F.col(end).alias("node"))
 
@@ -37,7 +43,7 @@ def _ends(edges: DataFrame, end: str) -> DataFrame:
 def _without(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with no end among the nodes."""
     for end in ("src", "dst"):
-        edges = edges.join(nodes.select("graph", F.col("node").alias(end)), ["graph", end], "left_anti")
+        edges = edges.join(shuffled(nodes.select("graph", F.col("node").alias(end))), ["graph", end], "left_anti")
     return edges.select(_EDGE)
 
 
@@ -55,9 +61,9 @@ def _picked(edges: DataFrame, few: DataFrame, turn: int) -> DataFrame:
     """Of the nodes with few edges those without a neighbour among them that comes first."""
     both = edges
     for end in ("src", "dst"):
-        both = both.join(few.select("graph", F.col("node").alias(end)), ["graph", end], "left_semi")
+        both = both.join(shuffled(few.select("graph", F.col("node").alias(end))), ["graph", end], "left_semi")
     later = F.when(_priority("src", turn) < _priority("dst", turn), F.col("dst")).otherwise(F.col("src"))
-    return few.select(_NODE).join(both.select("graph", later.alias("node")).distinct(), _NODE, "left_anti")
+    return few.select(_NODE).join(shuffled(both.select("graph", later.alias("node")).distinct()), _NODE, "left_anti")
 
 
 @dataclass(frozen=True)
@@ -71,7 +77,7 @@ def _peeled(edges: DataFrame) -> DataFrame:
     """Edges whose start is led to and whose end leads on."""
     reached = edges.select("graph", F.col("dst").alias("src")).distinct()
     leaving = edges.select("graph", F.col("src").alias("dst")).distinct()
-    return edges.join(reached, ["graph", "src"], "left_semi").join(leaving, ["graph", "dst"], "left_semi").select(_EDGE)
+    return edges.join(shuffled(reached), ["graph", "src"], "left_semi").join(shuffled(leaving), ["graph", "dst"], "left_semi").select(_EDGE)
 
 
 def _contract(edges: DataFrame, turn: int) -> _Round:
@@ -79,12 +85,12 @@ def _contract(edges: DataFrame, turn: int) -> _Round:
     product, total = F.col("ins") * F.col("outs"), F.col("ins") + F.col("outs")
     kept = _without(edges, degrees.where(product == 0))
     picked = materialize(_picked(edges, degrees.where((product > 0) & (product <= total)), turn), "picked").rows
-    inbound = kept.join(picked.withColumnRenamed("node", "dst"), ["graph", "dst"]).select("graph", F.col("dst").alias("node"), F.col("src").alias("other"))
-    outbound = kept.join(picked.withColumnRenamed("node", "src"), ["graph", "src"]).select("graph", F.col("src").alias("node"), F.col("dst").alias("other"))
+    inbound = kept.join(shuffled(picked.withColumnRenamed("node", "dst")), ["graph", "dst"]).select("graph", F.col("dst").alias("node"), F.col("src").alias("other"))
+    outbound = kept.join(shuffled(picked.withColumnRenamed("node", "src")), ["graph", "src"]).select("graph", F.col("src").alias("node"), F.col("dst").alias("other"))
     gone = inbound.withColumn("inbound", F.lit(True)).unionByName(outbound.withColumn("inbound", F.lit(False)))
     gone = materialize(gone, "gone").rows
     sides = {side: gone.where(F.col("inbound") == side).select("graph", "node", F.col("other").alias(name)) for side, name in ((True, "src"), (False, "dst"))}
-    through = materialize(sides[True].join(sides[False], _NODE).select(_EDGE).distinct(), "through").rows
+    through = materialize(sides[True].join(shuffled(sides[False]), _NODE).select(_EDGE).distinct(), "through").rows
     rest = _without(kept, picked).unionByName(through.where("src <> dst")).distinct()
     return _Round(materialize(rest, "edges"), gone, through.where("src = dst").select("graph", F.col("src").alias("node")))
 
@@ -96,8 +102,8 @@ def _colours(edges: DataFrame) -> tuple[Materialized, int]:
     while True:
         rounds += 1
         sent = colour.rows.where("changed").select("graph", F.col("node").alias("src"), F.col("colour").alias("sent"))
-        largest = edges.join(sent, ["graph", "src"]).groupBy("graph", F.col("dst").alias("node")).agg(F.max("sent").alias("sent"))
-        moved = colour.rows.join(largest, _NODE, "left").select(
+        largest = edges.join(shuffled(sent), ["graph", "src"]).groupBy("graph", F.col("dst").alias("node")).agg(F.max("sent").alias("sent"))
+        moved = colour.rows.join(shuffled(largest), _NODE, "left").select(
             *_NODE, F.greatest("colour", "sent").alias("colour"), F.coalesce(F.col("sent") > F.col("colour"), F.lit(False)).alias("changed")
         )
         following = materialize(moved, "colour")
@@ -106,28 +112,28 @@ def _colours(edges: DataFrame) -> tuple[Materialized, int]:
         if not colour.rows.where("changed").take(1):
             break
     paint = colour.rows.select("graph", "node", "colour")
-    same = edges.join(paint.select("graph", F.col("node").alias("src"), F.col("colour").alias("src_colour")), ["graph", "src"])
-    same = same.join(paint.select("graph", F.col("node").alias("dst"), F.col("colour").alias("dst_colour")), ["graph", "dst"])
+    same = edges.join(shuffled(paint.select("graph", F.col("node").alias("src"), F.col("colour").alias("src_colour"))), ["graph", "src"])
+    same = same.join(shuffled(paint.select("graph", F.col("node").alias("dst"), F.col("colour").alias("dst_colour"))), ["graph", "dst"])
     same = materialize(same.where("src_colour = dst_colour").select(*_EDGE, F.col("src_colour").alias("colour")), "one_colour").rows
     found = materialize(paint.where("node = colour").select(*_NODE, F.lit(0).alias("round")), "members")
     while True:
         rounds += 1
         newest = found.rows.where(F.col("round") == found.rows.agg(F.max("round")).first()[0]).select("graph", F.col("node").alias("dst"))
-        reached = same.join(newest, ["graph", "dst"]).select("graph", F.col("src").alias("node")).distinct()
-        fresh = materialize(reached.join(found.rows, _NODE, "left_anti").withColumn("round", F.lit(rounds)), "reached")
+        reached = same.join(shuffled(newest), ["graph", "dst"]).select("graph", F.col("src").alias("node")).distinct()
+        fresh = materialize(reached.join(shuffled(found.rows), _NODE, "left_anti").withColumn("round", F.lit(rounds)), "reached")
         if not fresh.count:
             break
         following = materialize(found.rows.unionByName(fresh.rows.select(*_NODE, "round")), "members")
         found.drop()
         found = following
-    members = found.rows.join(paint, _NODE).select(*_NODE, F.col("colour").alias("component"))
+    members = found.rows.join(shuffled(paint), _NODE).select(*_NODE, F.col("colour").alias("component"))
     return materialize(members, "components"), rounds
 
 
 def _come_back(gone: DataFrame, known: DataFrame) -> DataFrame:
     """Components of the nodes of a round: the one on both sides of a node."""
     held = known.select("graph", F.col("node").alias("other"), "component")
-    sided = gone.join(held, ["graph", "other"], "left").select(*_NODE, "inbound", F.coalesce("component", "other").alias("component"))
+    sided = gone.join(shuffled(held), ["graph", "other"], "left").select(*_NODE, "inbound", F.coalesce("component", "other").alias("component"))
     both = sided.groupBy(*_NODE, "component").agg(F.count_distinct("inbound").alias("sides")).where("sides = 2")
     return both.groupBy(_NODE).agg(F.min("component").alias("component"))
 
@@ -167,7 +173,7 @@ def strong_components(edges: DataFrame, graph: str = "dag_id", src: str = "src",
         else:
             rest = done.edges
         if not members:  # a graph with a circle is done
-            rest = materialize(rest.rows.join(done.circles.select("graph").distinct(), "graph", "left_anti"), "edges")
+            rest = materialize(rest.rows.join(shuffled(done.circles.select("graph").distinct()), "graph", "left_anti"), "edges")
         left.drop()
         left = rest
     one = circles[0]
@@ -184,8 +190,8 @@ def strong_components(edges: DataFrame, graph: str = "dag_id", src: str = "src",
     for taken in reversed(gone):
         known = materialize(known.unionByName(_come_back(taken, known)), "components").rows
     named_after = known.select("graph", F.col("component").alias("node"), "component").unionByName(known.select(*_NODE, "component"))
-    named_after = named_after.unionByName(loops.select(*_NODE, F.col("node").alias("component")).join(known, _NODE, "left_anti")).distinct()
+    named_after = named_after.unionByName(loops.select(*_NODE, F.col("node").alias("component")).join(shuffled(known), _NODE, "left_anti")).distinct()
     sizes = named_after.groupBy("graph", "component").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"))
-    cyclic = named_after.join(sizes, ["graph", "component"]).join(loops.withColumn("loop", F.lit(True)), _NODE, "left")
+    cyclic = named_after.join(shuffled(sizes), ["graph", "component"]).join(shuffled(loops.withColumn("loop", F.lit(True))), _NODE, "left")
     rows = cyclic.where("n > 1 OR loop").select(*_NODE, F.col("least").alias("component")).distinct()
     return Components(rows, rounds)
