@@ -85,3 +85,37 @@ def test_no_row_leaves_its_task(spark):
     walk = lambda node: (names.append(node.nodeName()), [walk(node.children().apply(i)) for i in range(node.children().size())])
     walk(plan)
     assert not any("Exchange" in name or "Python" in name or "Arrow" in name for name in names)
+
+
+def test_known_words_stay_in_spark(spark, library, monkeypatch):
+    """They were collected and passed through Python, which took the driver's memory; no row may carry them either."""
+    texts = ["one two one two", "two one three", "three xyz", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    with monkeypatch.context() as patch:
+        patch.setattr(type(docs), "collect", lambda self: pytest.fail("rows came to Python"))
+        coded = byte_bpe.encode_texts(docs, PATH, PATTERN)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = coded._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    nodes = []
+    walk = lambda node: (nodes.append(node), [walk(node.children().apply(i)) for i in range(node.children().size())])
+    walk(plan)
+    assert not any("Exchange" in node.nodeName() or "Python" in node.nodeName() or "buckets" in node.output().toString() for node in nodes)
+    assert {row.doc_id: row.ids for row in coded.collect()} == {i: library.encode_ordinary(text or "") for i, text in enumerate(texts)}
+
+
+def test_tokens_that_merging_does_not_make(spark, tmp_path):
+    """A word that is a token is that token, also where it is a frequent word; words of one bucket stay apart."""
+    import base64
+
+    ranks = {token: rank for rank, token in enumerate([bytes([i]) for i in range(256)] + [b"ab", b"xyz"])}
+    file = tmp_path / "tiny.tiktoken"
+    file.write_text("".join(f"{base64.b64encode(token).decode()} {rank}\n" for token, rank in ranks.items()))
+    tiny = tiktoken.Encoding("tiny", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = ["xyz ab", "xyz", "abab xyz", "xyz", *[f"abc{i}" for i in range(50)] * 2]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for most_words in (1, 300):
+        found = {row.doc_id: row.ids for row in byte_bpe.encode_texts(docs, str(file), PATTERN, most_words=most_words).collect()}
+        assert [found[i] for i in range(len(texts))] == [tiny.encode_ordinary(text) for text in texts]

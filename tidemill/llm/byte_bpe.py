@@ -3,11 +3,11 @@
 A word is an array of its bytes, each as two hex digits, so that joining two pieces
 is joining two strings. A fold over that array merges, step by step, the adjacent pair
 with the lowest rank; ranks come from a map that is a literal of the plan. Words of
-corpora repeat: the most frequent distinct words are folded once and their ids become a
-literal too, all others are folded where they stand. Decoding looks up the
+corpora repeat: the most frequent distinct words are folded once and their ids are the value
+of a subquery, all others are folded where they stand. Decoding looks up the
 bytes of every id and concatenates them. No row leaves its task.
 
-Literals are bounded: the rank file, and ``most_words`` words of at most ``LONGEST_KNOWN`` bytes.
+What every task holds is bounded: the rank file, and ``most_words`` words of at most ``LONGEST_KNOWN`` bytes.
 """
 
 from __future__ import annotations
@@ -277,33 +277,54 @@ class Ranks:
 
 
 class KnownWords:
-    """Encodings of frequent words as a literal: buckets of words and ids, each bucket one string."""
+    """Encodings of frequent words as one value of the plan: buckets of words and ids, each bucket one string.
+
+    Spark makes the buckets and holds their array as the result of a subquery, so that no row passes through Python.
+    """
 
     #: Low bits of a word's hash that name its bucket.
     MASK = (1 << 16) - 1
 
-    def __init__(self, rows: list) -> None:
-        """``rows``: hash, word, ids separated by commas."""
-        dealt = [UNKNOWN] * (self.MASK + 1)
-        for hashed, word, ids in rows:
-            dealt[hashed & self.MASK] += f"{BEFORE}{word}{AFTER}{ids}"
-        self._literal = _literal(json.dumps(dealt), "array<string>")
+    def __init__(self, words: DataFrame, odd: tuple[tuple[str, int], ...] = ()) -> None:
+        """``words``: word, ids separated by commas; what ``odd`` says of a word counts instead."""
+        session = words.sparkSession
+        entries = words.select("word", "ids", F.lit(0).alias("turn"))
+        if odd:
+            entries = entries.unionByName(
+                session.createDataFrame(odd, "word string, id int").select("word", F.col("id").cast("string").alias("ids"), F.lit(1).alias("turn"))
+            )
+        dealt = entries.select(
+            self._bucket(F.col("word")).alias("bucket"),
+            F.struct("turn", F.concat(F.lit(BEFORE), "word", F.lit(AFTER), "ids").alias("entry")).alias("held"),
+        )
+        # every bucket has a place in the array, filled or not; collect_list passes over nulls
+        places = session.range(self.MASK + 1).select(F.col("id").cast("int").alias("bucket"), F.lit(None).cast(dealt.schema["held"].dataType).alias("held"))
+        buckets = dealt.unionByName(places).groupBy("bucket").agg(F.sort_array(F.collect_list("held")).getField("entry").alias("entries"))
+        texts = buckets.select("bucket", F.concat(F.lit(UNKNOWN), F.array_join("entries", "")).alias("text"))
+        self.buckets = texts.agg(F.sort_array(F.collect_list(F.struct("bucket", "text"))).getField("text").alias("buckets")).scalar()
 
-    def of(self, words: Column) -> Column:
-        """For each word its ids separated by commas, ``UNKNOWN`` if it is not among them."""
+    @classmethod
+    def _bucket(cls, word: Column) -> Column:
+        return F.hash(word).bitwiseAND(F.lit(cls.MASK))
+
+    def of(self, words: Column, buckets: Column) -> Column:
+        """For each word its ids separated by commas, ``UNKNOWN`` if it is not among them.
+
+        ``buckets`` is a column of the rows just selected, with the value ``self.buckets``: Spark forbids to write
+        a subquery into a lambda, but puts a column that is used once in its place itself, so that no row carries it.
+        """
 
         def ids(word: Column, held: Column) -> Column:
-            bucket = F.get(held, F.hash(word).bitwiseAND(F.lit(self.MASK)))
-            after = F.call_function("substring_index", bucket, F.concat(F.lit(BEFORE), word, F.lit(AFTER)), F.lit(-1))
+            after = F.call_function("substring_index", F.get(held, self._bucket(word)), F.concat(F.lit(BEFORE), word, F.lit(AFTER)), F.lit(-1))
             return F.substring_index(after, BEFORE, 1)
 
-        return _let(self._literal, lambda held: F.transform(words, lambda word: ids(word, held)))
+        return _let(buckets, lambda held: F.transform(words, lambda word: ids(word, held)))
 
 
 def known_words(docs: DataFrame, text: str, ranks: Ranks, pattern: str, most_words: int, spread: int = 64) -> KnownWords:
     """The words in most documents, counted over all of them, with their ids.
 
-    Ties go to the smaller word. At most ``most_words`` reach the driver, of ``LONGEST_KNOWN`` bytes at most.
+    Ties go to the smaller word. At most ``most_words`` are held, of ``LONGEST_KNOWN`` bytes at most.
     Tokens that merging would not make of their own bytes come last and count: a word that is a token is that token.
     """
     counted = (
@@ -315,21 +336,19 @@ def known_words(docs: DataFrame, text: str, ranks: Ranks, pattern: str, most_wor
         .limit(most_words)
     )
     ids = ranks.merging(lambda merger: merger.encode_word(F.col("word"))).alias("ids")
-    rows = counted.repartition(spread, "word").select(F.hash("word").alias("hashed"), "word", ids).collect()
-    if ranks.odd:
-        odd = docs.sparkSession.createDataFrame(ranks.odd, "word string, id int")
-        rows += odd.select(F.hash("word"), "word", F.col("id").cast("string")).collect()
-    return KnownWords(rows)
+    return KnownWords(counted.repartition(spread, "word").select("word", ids), ranks.odd)
 
 
 def _encoded(docs: DataFrame, ranks: Ranks, pattern: str, key: str, text: str, most_words: int) -> DataFrame:
     """``key`` and ``ids``, under these names."""
     known = known_words(docs, text, ranks, pattern, most_words)
-    found = docs.select(F.col(key).alias("key"), words_of(F.col(text), pattern).alias("words"))
-    found = found.select("key", "words", known.of(F.col("words")).alias("known"))
-    all_ids = ranks.merging(
-        lambda merger: F.zip_with("words", "known", lambda word, ids: F.when(ids == UNKNOWN, merger.encode_word(word)).otherwise(ids))
-    )
+    found = docs.select(F.col(key).alias("key"), words_of(F.col(text), pattern).alias("words"), known.buckets.alias("buckets"))
+
+    def ids_of(words: Column, merger: Merger) -> Column:
+        return F.zip_with(words, known.of(words, F.col("buckets")), lambda word, ids: F.when(ids == UNKNOWN, merger.encode_word(word)).otherwise(ids))
+
+    # both columns are used once, so that Spark puts them in their place: no row carries the buckets
+    all_ids = ranks.merging(lambda merger: _let(F.col("words"), lambda words: ids_of(words, merger)))
     joined = found.select("key", F.array_join(all_ids, ",").alias("ids"))
     none = F.array().cast("array<int>")
     return joined.select("key", F.when(F.col("ids") == "", none).otherwise(F.split("ids", ",").cast("array<int>")).alias("ids"))
