@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from tidemill.llm import bpe_codec, token_counts
+from tidemill.llm import bpe_codec, bpe_model, token_counts
 from tidemill.llm.bpe_model import Memory, vocabulary
 from tidemill.llm.common import kept
 
@@ -95,3 +95,26 @@ def test_models_of_another_kind_are_let_go():
     second = kept("test kind b", 1)(lambda name: made.append(name) or name)
     assert [first("x"), first("y"), first("x")] == ["x", "y", "x"] and made == ["x", "y"]
     assert second("z") == "z" and first("x") == "x" and made == ["x", "y", "z", "x"]
+
+
+def test_plain_texts_are_cut_once(monkeypatch):
+    """Words of a text of plain characters come from one search of the whole text, not stretch by stretch; same as the library."""
+    rng = random.Random(11)
+    digests = bpe_codec.Digests(bpe_codec.codec(WORD))
+    texts = ["", " ", "It's we'LL\x1c'S o'\x85clock\xa0x", "ĲSSEL ǅ ª²¼ \x1c\x1d a\x1e\x1fb", "don't,can't 'tis '' 's", "word " * 500]
+    below = [chr(code) for code in range(bpe_model.PLAIN_BELOW)]
+    pool = "".join(char for char in below if max(char.lower()) < chr(bpe_model.PLAIN_BELOW))
+    beyond = "".join(char for char in below if char not in pool)
+    mixed = lambda few: "".join(rng.choice(few if rng.random() < 0.3 else "abe  'stIlL1,\n") for _ in range(rng.randrange(60)))
+
+    def agrees(text):
+        expected = library(WORD, text)
+        decoded = tokenizer_of(WORD).decode(expected, skip_special_tokens=False)
+        assert digests.of(text) == (len(expected), " ".join(map(str, expected)), decoded), text
+
+    assert {"İ", "Ɔ"} <= set(beyond)
+    for text in ["İstanbul", "IIIƆ", *(mixed(beyond + pool[-50:]) for _ in range(1000))]:
+        agrees(text)
+    monkeypatch.setattr(bpe_model.Vocabulary, "pieces", lambda *_: pytest.fail("cut stretch by stretch"))
+    for text in texts + [mixed(pool) for _ in range(3000)]:
+        agrees(text)

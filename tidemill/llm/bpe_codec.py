@@ -51,6 +51,7 @@ class Codec:
         self.words = Memory(self._word, 300_000)
         self.chunks = Memory(self._chunk, 100_000)
         self._raw = {symbol: byte for byte, symbol in enumerate(byte_symbols())}
+        self.decodes = model.library.decoder is not None
 
     def _stands(self, number: int) -> bool:
         """Whether a token is the encoding of its own text."""
@@ -140,7 +141,7 @@ class Codec:
     def decode(self, ids: Sequence[int]) -> str:
         """The text of ids. Without a decoder in the file, tokens are joined by spaces, as its library does."""
         known = [self.tokens[number] for number in ids if number in self.tokens]
-        if self.model.library.decoder is None:
+        if not self.decodes:
             return " ".join(known)
         raw = self._raw
         return b"".join(
@@ -157,6 +158,7 @@ class Digests:
 
     def __init__(self, codec: Codec) -> None:
         self.codec = codec
+        self.plain = Memory(self._plain, 250_000)
         self.words = Memory(self._word, 150_000)
         self.chunks = Memory(self._chunk, 150_000)
 
@@ -164,6 +166,9 @@ class Digests:
         ids = self.codec._word(piece)
         return len(ids), " ".join(map(str, ids)), self.codec.decode(ids)
 
+    def _plain(self, word: str) -> tuple[int, str, str]:
+        return self._word(self.codec.model.as_symbols(word))
+
     def _chunk(self, chunk: str) -> tuple[int, str, str]:
         pieces = self.codec.model.pieces(chunk)
         if len(pieces) == 1:
@@ -172,10 +177,12 @@ class Digests:
 
     def of(self, text: str) -> tuple[int, str, str]:
         codec = self.codec
-        sections, special = codec.model.sections(text)
-        if special or codec.model.library.decoder is not None:
+        if codec.decodes or codec.model.has_special(text):
             ids = codec.encode(text)
             return len(ids), " ".join(map(str, ids)), codec.decode(ids)
+        words = codec.model.plain_words(text)
+        if words is not None:
+            return _joined(list(map(self.plain.__getitem__, words)))
         return _joined(list(map(self.chunks.__getitem__, codec._section(text))))
 
 

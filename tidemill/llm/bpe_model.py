@@ -32,6 +32,19 @@ _spaced_pieces = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 _unspaced_pieces = re.compile(f"[^{SPACE}]+")
 
 
+def _plain_word_pattern() -> re.Pattern:
+    """``WORD_PATTERN`` with its classes spelled out below ``PLAIN_BELOW``: the standard module is faster with sets than the other with properties.
+
+    Letters come first, which changes nothing: no other alternative starts with one.
+    """
+    below = [chr(code) for code in range(PLAIN_BELOW)]
+    letters, numbers = ("".join(char for char in below if regex.match(kind, char)) for kind in (r"\p{L}", r"\p{N}"))
+    return re.compile(f"[{letters}]+|'s|'t|'re|'ve|'m|'ll|'d|[{numbers}]|[^{SPACE}{letters}{numbers}]+")
+
+
+_plain_words = _plain_word_pattern()
+
+
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in a vocabulary file."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -90,6 +103,9 @@ class Vocabulary:
         """The text between special strings, and these strings."""
         return self._at_special.split(text), self._at_special.findall(text)
 
+    def has_special(self, text: str) -> bool:
+        return self._at_special.search(text) is not None
+
     def pieces(self, chunk: str) -> list[str]:
         """The words of a stretch of text, each as byte symbols."""
         if chunk.isascii() and chunk.isalpha():
@@ -106,6 +122,22 @@ class Vocabulary:
         symbols = self._bytes
         return ["".join([symbols[byte] for byte in piece.encode()]) for piece in found]
 
+    def plain_words(self, section: str) -> list[str] | None:
+        """The words of a whole section as they stand in it, lower-cased, or None where only ``pieces`` can tell them.
+
+        No word of a vocabulary without spaces holds white space, so that a section needs no cutting beforehand.
+        """
+        if not self.lowers or _plain.search(section):
+            return None
+        lowered = section.lower()  # some plain letters have a lower case beyond
+        return None if _plain.search(lowered) else _plain_words.findall(lowered)
+
+    def as_symbols(self, word: str) -> str:
+        """A word of ``plain_words`` as byte symbols."""
+        if word.isascii() and word.isprintable():
+            return word
+        return "".join([self._bytes[byte] for byte in word.encode()])
+
     def symbol_ids(self, piece: str) -> list[int]:
         """Ids of the single symbols of a piece; the last one carries the end of the word."""
         ids = self.ids
