@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 
 import pytest
@@ -115,3 +116,32 @@ def test_given_tables_of_any_size(spark, sf, recall):
     found = [toxic for toxic, score in rows if score >= toxicity.THRESHOLD]
     assert sum(found) >= recall * sum(toxic for toxic, _ in rows)
     assert sum(found) >= (0.3 if sf == "sf0.001" else 0.75) * len(found)
+
+
+def sample_texts(n, seed=3):
+    rng = random.Random(seed)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [" ".join("".join(rng.choices(letters, k=rng.randrange(1, 12))) for _ in range(30)) for _ in range(n)]
+    return texts, [i % 3 == 0 for i in range(n)]
+
+
+def test_training_takes_little_memory():
+    """Embeddings of all buckets and whole arrays of subwords took the driver's memory."""
+    texts, labels = sample_texts(300)
+    tracemalloc.start()
+    try:
+        toxicity.train(texts, labels, 0.5, steps=2)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 60_000_000
+
+
+def test_blocks_change_no_result(monkeypatch):
+    texts, labels = sample_texts(40)
+    texts.append("x" * 3000)
+    labels.append(True)
+    whole = toxicity.train(texts, labels, 0.5, buckets=1 << 14, steps=5)
+    monkeypatch.setattr(toxicity, "BLOCK", 1000)
+    parts = toxicity.train(texts, labels, 0.5, buckets=1 << 14, steps=5)
+    assert whole.values.any() and whole.values == pytest.approx(parts.values, rel=1e-6) and whole.bias == pytest.approx(parts.bias, rel=1e-12)

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from array import array
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from math import exp
 from zlib import crc32
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidemill.llm.bpe_model import Memory
-from tidemill.llm.common import kept, map_batches, texts_of
+from tidemill.llm.common import give_back, kept, map_batches, texts_of
 
 NGRAMS = (3, 4, 5)
 MARKS = ".,;:!?\"'()[]{}<>«»„“”‘’…*&%$#@~^_|/\\-–—+="
@@ -32,6 +33,8 @@ THRESHOLD = 0.3
 #: The mean over a text's words is multiplied with this and the root of their number:
 #: chance makes means of short texts vary more, by just that root.
 SHARPNESS = 4.0
+#: So many numbers, and those of one word more, are worked on at a time in training: arrays made on the way stay small beside those kept.
+BLOCK = 1 << 17
 
 
 def words_of(text: str) -> list[str]:
@@ -76,6 +79,28 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, np.cumsum(sizes) - sizes)
 
 
+def _blocks(sizes: np.ndarray) -> Iterator[tuple[slice, slice]]:
+    """Consecutive stretches of about ``BLOCK`` entries in all: the stretches, and their entries."""
+    ends = np.cumsum(sizes)
+    first = start = 0
+    while first < len(sizes):
+        last = int(np.searchsorted(ends, start + BLOCK)) + 1
+        last = min(last, len(sizes))
+        end = int(ends[last - 1])
+        yield slice(first, last), slice(start, end)
+        first, start = last, end
+
+
+def _first_embeddings(rng: np.random.Generator, buckets: int, dimensions: int, used: np.ndarray) -> np.ndarray:
+    """Of random embeddings of all buckets, drawn one after the other, those of the buckets used."""
+    own = np.empty((len(used), dimensions))
+    for first in range(0, buckets, BLOCK):
+        drawn = rng.normal(0, 0.05, (min(BLOCK, buckets - first), dimensions)).astype(np.float32)
+        start, end = np.searchsorted(used, (first, first + len(drawn)))
+        own[start:end] = drawn[used[start:end] - first]
+    return own
+
+
 def _trust(of_word, word_sizes, of_text, text_sizes, target, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets that occur, and how far each may count, from 0 to 1: the odds that its texts lean to a class by more than chance.
 
@@ -130,39 +155,53 @@ def train(
         parts = subwords(word, buckets)
         of_word.extend(parts)
         word_sizes.append(len(parts))
-    of_text, counts, of_word, word_sizes = (np.array(part) for part in (of_text, counts, of_word, word_sizes))
+    n_words = len(number)
+    del number, parts
+    of_text, of_word, word_sizes = (np.frombuffer(part, np.int32) for part in (of_text, of_word, word_sizes))
+    counts = np.frombuffer(counts, np.float32)
     text_sizes = np.array(text_sizes)
     used, trust = _trust(of_word, word_sizes, of_text, text_sizes, target, buckets)
     share = np.where(target > 0, 0.5 / toxic, 0.5 / (len(target) - toxic))
     rng = np.random.default_rng(seed)
-    embeddings = rng.normal(0, 0.05, (buckets, dimensions)).astype(np.float32)
+    own = _first_embeddings(rng, buckets, dimensions, used)
     weights = rng.normal(0, 0.5, (2, dimensions))
     biases = np.zeros(2)
     place = np.full(buckets, -1, np.int32)
     place[used] = np.arange(len(used))
     at = place[of_word]
-    word_of = np.repeat(np.arange(len(number), dtype=np.int32), word_sizes)
+    del of_word, place
+    blocks = list(_blocks(word_sizes))
+    rows = [slice(first, first + BLOCK // dimensions + 1) for first in range(0, len(used), BLOCK // dimensions + 1)]
+    per_word, to_own = np.empty(n_words), np.empty(len(used))
     moments = [np.zeros((len(used), dimensions)), np.zeros((2, dimensions)), np.zeros(2)]
     spreads = [np.zeros_like(moment) for moment in moments]
-    own = embeddings[used].astype(float)
     for step in range(1, steps + 1):
         direction = weights[1] - weights[0]
-        per_word = np.bincount(word_of, (own @ direction * trust)[at], len(number)) / word_sizes
+        value_of = own @ direction * trust
+        for words, entries in blocks:
+            sizes = word_sizes[words]
+            per_word[words] = np.bincount(np.repeat(np.arange(len(sizes)), sizes), value_of[at[entries]], len(sizes))
+        per_word /= word_sizes
         logit = _sums(counts * per_word[of_text], text_sizes) + biases[1] - biases[0]
         error = share * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - target)
-        to_words = np.bincount(of_text, counts * np.repeat(error, text_sizes), len(number)) / word_sizes
-        to_own = np.bincount(at, to_words[word_of], len(used)) * trust
+        to_words = np.bincount(of_text, counts * np.repeat(error, text_sizes), n_words) / word_sizes
+        to_own[:] = 0
+        for words, entries in blocks:
+            # in place and in order, so that sums are those of one pass
+            np.add.at(to_own, at[entries].astype(np.intp), np.repeat(to_words[words], word_sizes[words]))
+        to_own *= trust
         # The softmax weights' gradient is the error times the texts' vectors, summed: the same sum over embeddings.
         to_weights = to_own @ own
-        gradients = [
-            np.outer(to_own, direction) + decay * own / len(used),
-            np.stack([-to_weights, to_weights]) + decay * weights,
-            np.array([-error.sum(), error.sum()]),
-        ]
-        for value, gradient, moment, spread in zip([own, weights, biases], gradients, moments, spreads, strict=True):
+
+        def moved(value, gradient, moment, spread, step=step) -> None:
             moment += 0.1 * (gradient - moment)
             spread += 0.01 * (gradient**2 - spread)
             value -= rate * (moment / (1 - 0.9**step)) / (np.sqrt(spread / (1 - 0.99**step)) + 1e-12)
+
+        for part in rows:
+            moved(own[part], np.outer(to_own[part], direction) + decay * own[part] / len(used), moments[0][part], spreads[0][part])
+        moved(weights, np.stack([-to_weights, to_weights]) + decay * weights, moments[1], spreads[1])
+        moved(biases, np.array([-error.sum(), error.sum()]), moments[2], spreads[2])
     values = np.zeros(buckets, np.float32)
     values[used] = own @ (weights[1] - weights[0]) * trust
     return Model(values, float(biases[1] - biases[0]) + float(np.log(odds)) * 0.5)
@@ -201,7 +240,10 @@ def fit(
     sample.sort(key=lambda row: row["id"])
     shares = {row["toxic"]: row["n"] for row in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     odds = max(shares.get(1, 0), 1) / max(shares.get(0, 0), 1)
-    return train([row["text"] for row in sample], [row["toxic"] for row in sample], odds, **settings)
+    model = train([row["text"] for row in sample], [row["toxic"] for row in sample], odds, **settings)
+    del sample
+    give_back()  # the driver goes on to other work
+    return model
 
 
 @kept("toxicity", 1)
