@@ -119,3 +119,17 @@ def test_tokens_that_merging_does_not_make(spark, tmp_path):
     for most_words in (1, 300):
         found = {row.doc_id: row.ids for row in byte_bpe.encode_texts(docs, str(file), PATTERN, most_words=most_words).collect()}
         assert [found[i] for i in range(len(texts))] == [tiny.encode_ordinary(text) for text in texts]
+
+
+def test_a_frequent_word_is_found_by_one_comparison(spark, library, monkeypatch):
+    """Every lookup searched a string of several words; only words that share a slot with a more frequent one need that."""
+    texts = ["one two three", "one two three", "one two", "one", "!!\x01\x02!!", "!!\x01\x02!!", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = lambda: spark.range(1).select(byte_bpe.known_words(docs, "text", byte_bpe.Ranks(PATH), PATTERN, 10).slots.alias("s")).first().s
+    slots = held()
+    assert {"one", " two", " three"} <= set(slots.word) and sum(rest is not None for rest in slots.rest) <= 1
+    monkeypatch.setattr(byte_bpe.KnownWords, "MASK", 1)
+    slots = held()
+    assert len(slots.word) == 2 and "one" in slots.word and any(slots.rest)
+    found = {row.doc_id: row.ids for row in byte_bpe.encode_texts(docs, PATH, PATTERN).collect()}
+    assert found == {i: library.encode_ordinary(text or "") for i, text in enumerate(texts)}

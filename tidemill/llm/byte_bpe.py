@@ -277,48 +277,58 @@ class Ranks:
 
 
 class KnownWords:
-    """Encodings of frequent words as one value of the plan: buckets of words and ids, each bucket one string.
+    """Encodings of frequent words as one value of the plan: arrays by slots of the words' hash.
 
-    Spark makes the buckets and holds their array as the result of a subquery, so that no row passes through Python.
+    A slot holds its most frequent word and the ids, found by comparing one string; its other words and ids are
+    one string more, null for most slots. Spark makes the arrays and holds them as the result of a subquery, so that no row
+    passes through Python.
     """
 
-    #: Low bits of a word's hash that name its bucket.
-    MASK = (1 << 16) - 1
+    #: Low bits of a word's hash that name its slot.
+    MASK = (1 << 19) - 1
 
     def __init__(self, words: DataFrame, odd: tuple[tuple[str, int], ...] = ()) -> None:
-        """``words``: word, ids separated by commas; what ``odd`` says of a word counts instead."""
+        """``words``: word, ids separated by commas, n (the larger, the sooner found); what ``odd`` says of a word counts instead."""
         session = words.sparkSession
-        entries = words.select("word", "ids", F.lit(0).alias("turn"))
+        entries = words.select("word", "ids", F.lit(0).alias("turn"), "n")
         if odd:
             entries = entries.unionByName(
-                session.createDataFrame(odd, "word string, id int").select("word", F.col("id").cast("string").alias("ids"), F.lit(1).alias("turn"))
+                session.createDataFrame(odd, "word string, id int").select(
+                    "word", F.col("id").cast("string").alias("ids"), F.lit(1).alias("turn"), F.lit(0).cast("long").alias("n")
+                )
             )
-        dealt = entries.select(
-            self._bucket(F.col("word")).alias("bucket"),
-            F.struct("turn", F.concat(F.lit(BEFORE), "word", F.lit(AFTER), "ids").alias("entry")).alias("held"),
-        )
-        # every bucket has a place in the array, filled or not; collect_list passes over nulls
-        places = session.range(self.MASK + 1).select(F.col("id").cast("int").alias("bucket"), F.lit(None).cast(dealt.schema["held"].dataType).alias("held"))
-        buckets = dealt.unionByName(places).groupBy("bucket").agg(F.sort_array(F.collect_list("held")).getField("entry").alias("entries"))
-        texts = buckets.select("bucket", F.concat(F.lit(UNKNOWN), F.array_join("entries", "")).alias("text"))
-        self.buckets = texts.agg(F.sort_array(F.collect_list(F.struct("bucket", "text"))).getField("text").alias("buckets")).scalar()
+        dealt = entries.select(self._slot(F.col("word")).alias("slot"), F.struct("turn", "n", "word", "ids").alias("held"))
+        # every slot has a place in the arrays, filled or not; collect_list passes over nulls
+        places = session.range(self.MASK + 1).select(F.col("id").cast("int").alias("slot"), F.lit(None).cast(dealt.schema["held"].dataType).alias("held"))
+        slots = dealt.unionByName(places).groupBy("slot").agg(F.sort_array(F.collect_list("held")).alias("held"))  # the one to be found first stands last
+        first, others = F.get("held", F.size("held") - 1), F.slice("held", 1, F.greatest(F.size("held") - 1, F.lit(0)))
+        texts = F.transform(others, lambda entry: F.concat(F.lit(BEFORE), entry["word"], F.lit(AFTER), entry["ids"]))
+        rest = F.when(F.size("held") > 1, F.concat(F.lit(UNKNOWN), F.array_join(texts, "")))
+        filled = slots.select(F.struct("slot", first["word"].alias("word"), first["ids"].alias("ids"), rest.alias("rest")).alias("filled"))
+        ordered = filled.agg(F.sort_array(F.collect_list("filled")).alias("all"))
+        self.slots = ordered.select(F.struct(*[F.col("all").getField(name).alias(name) for name in ("word", "ids", "rest")]).alias("slots")).scalar()
 
     @classmethod
-    def _bucket(cls, word: Column) -> Column:
+    def _slot(cls, word: Column) -> Column:
         return F.hash(word).bitwiseAND(F.lit(cls.MASK))
 
-    def of(self, words: Column, buckets: Column) -> Column:
-        """For each word its ids separated by commas, ``UNKNOWN`` if it is not among them.
+    def of(self, words: Column, slots: Column, unknown) -> Column:
+        """For each word its ids separated by commas, ``unknown(word)`` if it is not among them.
 
-        ``buckets`` is a column of the rows just selected, with the value ``self.buckets``: Spark forbids to write
+        ``slots`` is a column of the rows just selected, with the value ``self.slots``: Spark forbids to write
         a subquery into a lambda, but puts a column that is used once in its place itself, so that no row carries it.
         """
 
-        def ids(word: Column, held: Column) -> Column:
-            after = F.call_function("substring_index", F.get(held, self._bucket(word)), F.concat(F.lit(BEFORE), word, F.lit(AFTER)), F.lit(-1))
-            return F.substring_index(after, BEFORE, 1)
+        def ids(word: Column, slot: Column, held: Column) -> Column:
+            rest = F.get(held["rest"], slot)
+            marked = F.concat(F.lit(BEFORE), word, F.lit(AFTER))
+            after = F.substring_index(F.call_function("substring_index", rest, marked, F.lit(-1)), BEFORE, 1)
+            # of a word that is not there, all of the rest is after it, which begins with UNKNOWN
+            return F.when(F.get(held["word"], slot) == word, F.get(held["ids"], slot)).when(
+                rest.isNull() | (after == UNKNOWN), unknown(word)
+            ).otherwise(after)
 
-        return _let(buckets, lambda held: F.transform(words, lambda word: ids(word, held)))
+        return _let(slots, lambda held: F.zip_with(words, F.transform(words, self._slot), lambda word, slot: ids(word, slot, held)))
 
 
 def known_words(docs: DataFrame, text: str, ranks: Ranks, pattern: str, most_words: int, spread: int = 64) -> KnownWords:
@@ -336,26 +346,22 @@ def known_words(docs: DataFrame, text: str, ranks: Ranks, pattern: str, most_wor
         .limit(most_words)
     )
     ids = ranks.merging(lambda merger: merger.encode_word(F.col("word"))).alias("ids")
-    return KnownWords(counted.repartition(spread, "word").select("word", ids), ranks.odd)
+    return KnownWords(counted.repartition(spread, "word").select("word", ids, "n"), ranks.odd)
 
 
 def _encoded(docs: DataFrame, ranks: Ranks, pattern: str, key: str, text: str, most_words: int) -> DataFrame:
     """``key`` and ``ids``, under these names."""
     known = known_words(docs, text, ranks, pattern, most_words)
-    found = docs.select(F.col(key).alias("key"), words_of(F.col(text), pattern).alias("words"), known.buckets.alias("buckets"))
-
-    def ids_of(words: Column, merger: Merger) -> Column:
-        return F.zip_with(words, known.of(words, F.col("buckets")), lambda word, ids: F.when(ids == UNKNOWN, merger.encode_word(word)).otherwise(ids))
-
-    # both columns are used once, so that Spark puts them in their place: no row carries the buckets
-    all_ids = ranks.merging(lambda merger: _let(F.col("words"), lambda words: ids_of(words, merger)))
+    found = docs.select(F.col(key).alias("key"), words_of(F.col(text), pattern).alias("words"), known.slots.alias("slots"))
+    # both columns are used once, so that Spark puts them in their place: no row carries the slots
+    all_ids = ranks.merging(lambda merger: _let(F.col("words"), lambda words: known.of(words, F.col("slots"), merger.encode_word)))
     joined = found.select("key", F.array_join(all_ids, ",").alias("ids"))
     none = F.array().cast("array<int>")
     return joined.select("key", F.when(F.col("ids") == "", none).otherwise(F.split("ids", ",").cast("array<int>")).alias("ids"))
 
 
 def encode_texts(
-    docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", text: str = "text", most_words: int = 250_000
+    docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", text: str = "text", most_words: int = 500_000
 ) -> DataFrame:
     """Ids of every whole text: ``key``, ``ids`` (array of int).
 
@@ -376,7 +382,7 @@ def decode_ids(encoded: DataFrame, rank_file: str, key: str = "doc_id", ids: str
 
 
 def code_digests(
-    docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", text: str = "text", most_words: int = 250_000
+    docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", text: str = "text", most_words: int = 500_000
 ) -> DataFrame:
     """``key``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` of every whole text; rows and special cases as in ``encode_texts``."""
     ranks = Ranks(rank_file)
