@@ -22,13 +22,14 @@ NO_RANK = 2**31 - 1
 #: Ids are below this; a pair is the left id times this plus the right one, an entry of the map the pair times this plus the token made.
 BITS = 17
 LEFT = 1 << BITS
+#: A number of a word has the rank of a pair above so many bits, between it and the piece a place.
+RANK = 63 - BITS
+GONE = -1
 NONE = LEFT - 1
 #: Up to this many bytes a word is merged pair by pair, beyond it all pairs of one rank at once.
 SHORT = 64
 #: Words known beforehand have at most so many bytes.
 LONGEST_KNOWN = 32
-#: Around a known word and its ids. No match of the splitting pattern holds letters or digits beside these.
-BEFORE, AFTER, UNKNOWN = "\x01", "\x02", "!"
 
 #: Letters and numbers that newer Unicode versions have and the character classes of a
 #: Java 17 runtime lack, as the tokenizer's library has them.
@@ -126,8 +127,8 @@ def _tables(path: str) -> tuple[str, str, str, str, str, int, tuple[tuple[str, i
         json.dumps(entries),
         json.dumps(shifts),
         json.dumps([ranks[bytes([byte])] for byte in range(256)]),
-        json.dumps([token.hex() for token in tokens]),
-        json.dumps([i.to_bytes(4, "little").hex() for i in range(len(tokens))]),
+        json.dumps([base64.b64encode(token).decode() for token in tokens]),
+        json.dumps([base64.b64encode(i.to_bytes(4, "little")).decode() for i in range(len(tokens))]),
         size,
         odd,
     )
@@ -155,7 +156,9 @@ class Merger:
     """Merging of words with the map of ranks, bound to variables so that the plan holds it once.
 
     A piece is the id of its token, which is also its rank. A word is an array of
-    numbers: what a piece makes with the next one, ``NONE`` if nothing, times ``LEFT``, plus the piece. Before
+    numbers, from high to low bits: what a piece makes with the next one, ``NONE`` if nothing; its place in the
+    array; the piece. So the least number is the pair to merge first and says where it is: array_position() leaves
+    its loop by an exception, which takes longer than all the rest of a merge. Before
     the first piece stands one that makes nothing.
     """
 
@@ -171,33 +174,35 @@ class Merger:
         return F.least((entry - F.shiftleft(pair, BITS)).bitwiseAND(F.lit((1 << 52) - 1)), F.lit(NONE))
 
     def _with_ranks(self, pieces: Column) -> Column:
-        beside = F.zip_with(pieces, F.slice(pieces, 2, F.size(pieces)), lambda a, b: _packed(self.made(a, b), a))
-        return F.concat(F.array(F.lit(NONE * LEFT + NONE)), beside)
+        beside = F.transform(pieces, lambda a, i: _entry(self.made(a, F.get(pieces, i + 1)), i + 1, a))
+        return F.concat(F.array(F.lit((NONE << RANK) + NONE)), beside)
 
     def _merge_first(self, word: Column, least: Column) -> Column:
         """Merge the first pair with the lowest rank: only what is beside it changes."""
+        token = _rank(least)
 
         def merged(at: Column) -> Column:
             def entry(old: Column, i: Column) -> Column:
                 # one transformed array is several times cheaper than slices joined
-                after = _piece(F.get(word, at + 1))
                 return (
-                    F.when(i == at, None)
-                    .when(i == at - 1, _packed(self.made(least, after), least))
-                    .when(i == at - 2, _packed(self.made(_piece(old), least), _piece(old)))
-                    .otherwise(old)
+                    F.when(i > at + 1, old - LEFT)
+                    .when(i < at - 1, old)
+                    .when(i == at, _entry(self.made(token, _piece(F.get(word, at + 2))), at, token))
+                    .when(i < at, _entry(self.made(_piece(old), token), i, _piece(old)))
+                    .otherwise(GONE)
                 )
 
-            return F.filter(F.transform(word, entry), lambda new: new.isNotNull())
+            return F.array_remove(F.transform(word, entry), GONE)
 
-        return _let(F.array_position(F.transform(word, _rank), least).cast("int"), merged)
+        return _let(_place(least), merged)
 
-    def _merge_all(self, word: Column, least: Column) -> Column:
+    def _merge_all(self, word: Column, first: Column) -> Column:
         """Merge every pair of the lowest rank, from left to right.
 
         The same as one after the other, unless a merge makes a pair of a lower
         rank still, which would come next; then only the first is merged.
         """
+        least = _rank(first)
         flags = F.array_join(F.transform(word, lambda entry: F.when(_rank(entry) == least, "1").otherwise("0")), "")
         # of overlapping pairs, as in aaa, the left one counts
         marked = F.regexp_extract_all(F.regexp_replace(flags, "11", "10"), F.lit("."), F.lit(0))
@@ -213,33 +218,41 @@ class Merger:
             lambda made: made < least,
         )
         checked = lambda marks, new: F.when(
-            (_rank(F.array_min(new)) < least) | F.coalesce(meets(marks), F.lit(False)), self._merge_first(word, least)
+            (_rank(F.array_min(new)) < least) | F.coalesce(meets(marks), F.lit(False)), self._merge_first(word, first)
         ).otherwise(new)
         return _let(marked, lambda marks: _let(_let(replaced(marks), self._with_ranks), lambda new: checked(marks, new)))
 
     def _fold(self, start: Column, merge) -> Column:
         step = lambda word, _: _let(
-            _rank(F.array_min(word)), lambda least: F.when(least < NONE, merge(word, least)).otherwise(word)
+            F.array_min(word), lambda least: F.when(least < NONE << RANK, merge(word, least)).otherwise(word)
         )
         return F.aggregate(F.slice(start, 3, F.size(start)), start, step)
 
     def encode_word(self, word: Column) -> Column:
-        """Ids of a word, merged from its bytes, separated by commas."""
+        """Ids of a word, merged from its bytes."""
         letters = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
         single = F.transform(letters, lambda letter: F.get(self.bytes, F.ascii(letter)))
         merged = lambda start: F.when(F.size(start) <= SHORT, self._fold(start, self._merge_first)).otherwise(
             self._fold(start, self._merge_all)
         )
-        numbers = lambda done: F.transform(F.slice(done, 2, F.size(done)), lambda entry: _piece(entry).cast("string"))
-        return F.array_join(_let(_let(_let(single, self._with_ranks), merged), numbers), ",")
+        numbers = lambda done: F.transform(F.slice(done, 2, F.size(done)), lambda entry: _piece(entry).cast("int"))
+        return _let(_let(_let(single, self._with_ranks), merged), numbers)
 
 
 def _packed(high: Column, low: Column) -> Column:
     return F.shiftleft(high, BITS).bitwiseOR(low)
 
 
+def _entry(rank: Column, place: Column, piece: Column) -> Column:
+    return F.shiftleft(rank, RANK).bitwiseOR(F.shiftleft(place.cast("long"), BITS)).bitwiseOR(piece)
+
+
+def _place(entry: Column) -> Column:
+    return F.shiftright(F.shiftleft(entry, 64 - RANK), 64 - RANK + BITS).cast("int")
+
+
 def _rank(entry: Column) -> Column:
-    return F.shiftright(entry, BITS)
+    return F.shiftright(entry, RANK)
 
 
 def _piece(entry: Column) -> Column:
@@ -256,8 +269,9 @@ class Ranks:
             f'{{"entries":{entries},"shifts":{shifts},"bytes":{of_bytes}}}',
             "struct<entries:array<bigint>,shifts:array<bigint>,bytes:array<bigint>>",
         )
-        self._tokens = _literal(tokens, "array<string>")
-        self._numbers = _literal(numbers, "array<string>")
+        # JSON has bytes in base64; as strings, which need not be UTF-8, array_join puts them together
+        self._tokens = _literal(tokens, "array<binary>").cast("array<string>")
+        self._numbers = _literal(numbers, "array<binary>").cast("array<string>")
 
     def merging(self, body) -> Column:
         """``body(merger)``, the merger's map being a literal."""
@@ -273,14 +287,14 @@ class Ranks:
 
     @staticmethod
     def _concatenated(ids: Column, table: Column) -> Column:
-        return _let(table, lambda held: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(held, i)), "")))
+        return _let(table, lambda held: F.array_join(F.transform(ids, lambda i: F.get(held, i)), "").cast("binary"))
 
 
 class KnownWords:
     """Encodings of frequent words as one value of the plan: arrays by slots of the words' hash.
 
     A slot holds its most frequent word and the ids, found by comparing one string; its other words and ids are
-    one string more, null for most slots. Spark makes the arrays and holds them as the result of a subquery, so that no row
+    an array more, null for most slots. Spark makes the arrays and holds them as the result of a subquery, so that no row
     passes through Python.
     """
 
@@ -288,13 +302,13 @@ class KnownWords:
     MASK = (1 << 19) - 1
 
     def __init__(self, words: DataFrame, odd: tuple[tuple[str, int], ...] = ()) -> None:
-        """``words``: word, ids separated by commas, n (the larger, the sooner found); what ``odd`` says of a word counts instead."""
+        """``words``: word, ids, n (the larger, the sooner found); what ``odd`` says of a word counts instead."""
         session = words.sparkSession
         entries = words.select("word", "ids", F.lit(0).alias("turn"), "n")
         if odd:
             entries = entries.unionByName(
                 session.createDataFrame(odd, "word string, id int").select(
-                    "word", F.col("id").cast("string").alias("ids"), F.lit(1).alias("turn"), F.lit(0).cast("long").alias("n")
+                    "word", F.array("id").alias("ids"), F.lit(1).alias("turn"), F.lit(0).cast("long").alias("n")
                 )
             )
         dealt = entries.select(self._slot(F.col("word")).alias("slot"), F.struct("turn", "n", "word", "ids").alias("held"))
@@ -302,8 +316,7 @@ class KnownWords:
         places = session.range(self.MASK + 1).select(F.col("id").cast("int").alias("slot"), F.lit(None).cast(dealt.schema["held"].dataType).alias("held"))
         slots = dealt.unionByName(places).groupBy("slot").agg(F.sort_array(F.collect_list("held")).alias("held"))  # the one to be found first stands last
         first, others = F.get("held", F.size("held") - 1), F.slice("held", 1, F.greatest(F.size("held") - 1, F.lit(0)))
-        texts = F.transform(others, lambda entry: F.concat(F.lit(BEFORE), entry["word"], F.lit(AFTER), entry["ids"]))
-        rest = F.when(F.size("held") > 1, F.concat(F.lit(UNKNOWN), F.array_join(texts, "")))
+        rest = F.when(F.size("held") > 1, F.transform(others, lambda entry: F.struct(entry["word"].alias("word"), entry["ids"].alias("ids"))))
         filled = slots.select(F.struct("slot", first["word"].alias("word"), first["ids"].alias("ids"), rest.alias("rest")).alias("filled"))
         ordered = filled.agg(F.sort_array(F.collect_list("filled")).alias("all"))
         self.slots = ordered.select(F.struct(*[F.col("all").getField(name).alias(name) for name in ("word", "ids", "rest")]).alias("slots")).scalar()
@@ -313,22 +326,20 @@ class KnownWords:
         return F.hash(word).bitwiseAND(F.lit(cls.MASK))
 
     def of(self, words: Column, slots: Column, unknown) -> Column:
-        """For each word its ids separated by commas, ``unknown(word)`` if it is not among them.
+        """For each word its ids, ``unknown(word)`` if it is not among them.
 
         ``slots`` is a column of the rows just selected, with the value ``self.slots``: Spark forbids to write
         a subquery into a lambda, but puts a column that is used once in its place itself, so that no row carries it.
         """
 
-        def ids(word: Column, slot: Column, held: Column) -> Column:
-            rest = F.get(held["rest"], slot)
-            marked = F.concat(F.lit(BEFORE), word, F.lit(AFTER))
-            after = F.substring_index(F.call_function("substring_index", rest, marked, F.lit(-1)), BEFORE, 1)
-            # of a word that is not there, all of the rest is after it, which begins with UNKNOWN
-            return F.when(F.get(held["word"], slot) == word, F.get(held["ids"], slot)).when(
-                rest.isNull() | (after == UNKNOWN), unknown(word)
-            ).otherwise(after)
+        def ids(word: Column, slot: Column, first: Column, found: Column, rest: Column) -> Column:
+            others = F.filter(F.get(rest, slot), lambda entry: entry["word"] == word)
+            return F.when(F.get(first, slot) == word, F.get(found, slot)).otherwise(F.coalesce(F.get(others, F.lit(0))["ids"], unknown(word)))
 
-        return _let(slots, lambda held: F.zip_with(words, F.transform(words, self._slot), lambda word, slot: ids(word, slot, held)))
+        dealt = F.transform(words, self._slot)
+        # every array is taken out of the slots once a row, not once a word
+        return _let(slots, lambda held: _let(held["word"], lambda first: _let(held["ids"], lambda found: _let(held["rest"], lambda rest:
+            F.zip_with(words, dealt, lambda word, slot: ids(word, slot, first, found, rest))))))
 
 
 def known_words(docs: DataFrame, text: str, ranks: Ranks, pattern: str, most_words: int, spread: int = 64) -> KnownWords:
@@ -354,10 +365,8 @@ def _encoded(docs: DataFrame, ranks: Ranks, pattern: str, key: str, text: str, m
     known = known_words(docs, text, ranks, pattern, most_words)
     found = docs.select(F.col(key).alias("key"), words_of(F.col(text), pattern).alias("words"), known.slots.alias("slots"))
     # both columns are used once, so that Spark puts them in their place: no row carries the slots
-    all_ids = ranks.merging(lambda merger: _let(F.col("words"), lambda words: known.of(words, F.col("slots"), merger.encode_word)))
-    joined = found.select("key", F.array_join(all_ids, ",").alias("ids"))
-    none = F.array().cast("array<int>")
-    return joined.select("key", F.when(F.col("ids") == "", none).otherwise(F.split("ids", ",").cast("array<int>")).alias("ids"))
+    of_words = ranks.merging(lambda merger: _let(F.col("words"), lambda words: known.of(words, F.col("slots"), merger.encode_word)))
+    return found.select("key", F.flatten(of_words).alias("ids"))
 
 
 def encode_texts(
