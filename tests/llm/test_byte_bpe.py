@@ -136,7 +136,7 @@ def test_a_frequent_word_is_found_by_one_comparison(spark, library, monkeypatch)
 
 
 def test_merges_know_their_place_and_ids_stay_numbers(spark, library, monkeypatch):
-    """array_position() leaves its loop by an exception, a fifth of the whole time; ids went through text of decimals for every token."""
+    """array_position() had a fifth of a profile's samples; ids went through text of decimals for every token."""
     texts = ["one two one two", "two one three", "aaaa" * 40, "unheardofwordlike", None]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     monkeypatch.setattr(byte_bpe.F, "array_position", lambda *_: pytest.fail("a place was searched for"))

@@ -157,8 +157,8 @@ class Merger:
 
     A piece is the id of its token, which is also its rank. A word is an array of
     numbers, from high to low bits: what a piece makes with the next one, ``NONE`` if nothing; its place in the
-    array; the piece. So the least number is the pair to merge first and says where it is: array_position() leaves
-    its loop by an exception, which takes longer than all the rest of a merge. Before
+    array; the piece. So the least number is the pair to merge first and says where it is: array_position()
+    had a fifth of all samples of a profile. Before
     the first piece stands one that makes nothing.
     """
 
