@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from tidemill.llm import byte_bpe
 
@@ -144,3 +145,34 @@ def test_merges_know_their_place_and_ids_stay_numbers(spark, library, monkeypatc
     assert spark.range(1).select(slots.alias("s")).schema["s"].dataType["ids"].dataType.simpleString() == "array<array<int>>"
     found = {row.doc_id: row.ids for row in byte_bpe.encode_texts(docs, PATH, PATTERN).collect()}
     assert found == {i: library.encode_ordinary(text or "") for i, text in enumerate(texts)}
+
+
+def test_known_words_are_coded_once(spark, library, tmp_path):
+    """Every id of every known word was turned into bytes twice in every row; words were counted once a document, however often they stood there."""
+    import base64
+
+    texts = ["one one one one two", "two three", "three", "!!\x01\x02!!", "unheardofwordlike", "ab" * 60, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ranks = byte_bpe.Ranks(PATH)
+    slots = byte_bpe.known_words(docs, "text", ranks, PATTERN, 1, coded=ranks.coded).slots
+    held = spark.range(1).select(F.explode(slots["ids"]).alias("held")).where("held IS NOT NULL").select("held.*")
+    held = held.select("decoded", F.col("numbers").cast("binary").alias("numbers")).collect()
+    assert [entry.decoded for entry in held] == [" one"]
+    assert bytes(held[0].numbers) == np.array(library.encode_ordinary(" one"), "<u4").tobytes()
+    # words that share a slot, tokens not made of their own bytes, and whole words as tokens come out as from the ids
+    tiny = {token: rank for rank, token in enumerate([bytes([i]) for i in range(256)] + [b"ab", b"xyz", b"uvw", b" uv"])}
+    file = tmp_path / "tiny.tiktoken"
+    file.write_text("".join(f"{base64.b64encode(token).decode()} {rank}\n" for token, rank in tiny.items()))
+    own = tiktoken.Encoding("tiny", pat_str=PATTERN, mergeable_ranks=tiny, special_tokens={})
+    words = ["xyz uvw", "xyz", "uvw xyz", "it's we'll they're I'd 'sx 'x", *[f"abc{i} é{i}" for i in range(50)] * 2]
+    rows = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    mask, byte_bpe.KnownWords.MASK = byte_bpe.KnownWords.MASK, 1
+    try:
+        found = {row.doc_id: row for row in byte_bpe.code_digests(rows, str(file), PATTERN).collect()}
+    finally:
+        byte_bpe.KnownWords.MASK = mask
+    for i, text in enumerate(words):
+        ids = own.encode_ordinary(text)
+        assert found[i].n_tokens == len(ids)
+        assert found[i].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert found[i].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()

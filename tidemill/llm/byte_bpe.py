@@ -19,15 +19,16 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, functions as F
 
 NO_RANK = 2**31 - 1
-#: Ids are below this; a pair is the left id times this plus the right one, an entry of the map the pair times this plus the token made.
+#: Ids are below this; an entry of the map is the left id times this plus the token made.
 BITS = 17
 LEFT = 1 << BITS
-#: A number of a word has the rank of a pair above so many bits, between it and the piece a place.
-RANK = 63 - BITS
 GONE = -1
 NONE = LEFT - 1
 #: Up to this many bytes a word is merged pair by pair, beyond it all pairs of one rank at once.
 SHORT = 64
+#: A number of a word has the rank of a pair above so many bits, and below it a place; in short words the rank has room for foreign entries of the map.
+SHORT_ABOVE = 63 - 2 * BITS
+LONG_ABOVE = 63 - BITS
 #: Words known beforehand have at most so many bytes.
 LONGEST_KNOWN = 32
 
@@ -58,7 +59,9 @@ def java_pattern(pattern: str) -> str:
     letters, numbers = rf"\p{{L}}{newer % NEWER_LETTERS}", rf"\p{{N}}{newer % NEWER_NUMBERS}"
     blank = r"\p{IsWhite_Space}"
     return (
-        pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{blank}{letters}{numbers}]")
+        # the same matches, the apostrophe being looked for once
+        pattern.replace("'s|'t|'re|'ve|'m|'ll|'d|", "'(?:[stmd]|re|ve|ll)|")
+        .replace(r"[^\s\p{L}\p{N}]", f"[^{blank}{letters}{numbers}]")
         .replace(r"\p{L}+", f"[{letters}]+")
         .replace(r"\p{N}+", f"[{numbers}]+")
         .replace(r"\s", blank)
@@ -89,36 +92,37 @@ def merge_alone(token: bytes, ranks: dict[bytes, int]) -> list[bytes]:
 
 
 @lru_cache(maxsize=4)
-def _tables(path: str) -> tuple[str, str, str, str, str, int, tuple[tuple[str, int], ...]]:
+def _tables(path: str) -> tuple[str, str, str, str, str, tuple[tuple[str, int], ...]]:
     """What the literals hold, in JSON, and the tokens that merging does not make of their own bytes.
 
-    The map from two neighbours to the token they make is a hash table: a pair's
-    place is its remainder plus the shift of its group, shifts being chosen so that no two
-    pairs meet. An entry names its pair, so that a foreign one is told.
+    The map from two neighbours to the token they make is one array: a pair's place is the right id
+    plus the shift of the left one, shifts being chosen so that no two pairs meet. An entry names its
+    left id, so that a foreign one is told. The id after the last stands beside both ends of a word.
     """
     ranks = read_ranks(path)
-    pairs: dict[int, int] = {}
+    end = max(ranks.values()) + 1
+    made_by: dict[int, dict[int, int]] = {}
     for token, made in ranks.items():
         for cut in range(1, len(token)):
             left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
             if left is not None and right is not None:
-                pairs[left * LEFT + right] = made
-    groups, size = len(pairs) // 4 * 2 + 1, len(pairs) * 5 // 4 + 3
-    grouped: dict[int, list[int]] = {}
-    for pair in pairs:
-        grouped.setdefault(pair % groups, []).append(pair)
-    entries = [-1] * (3 * size)
-    shifts = [0] * groups
-    for group in sorted(grouped, key=lambda g: (-len(grouped[g]), g)):
-        places = {pair % size for pair in grouped[group]}
-        if len(places) < len(grouped[group]):
-            raise ValueError("two pairs of a group have one remainder")
-        while any(entries[place + shifts[group]] >= 0 for place in places):
-            shifts[group] += 1
-        for pair in grouped[group]:
-            entries[pair % size + shifts[group]] = pair * LEFT + pairs[pair]
-    while entries[-1] < 0:
-        entries.pop()
+                made_by.setdefault(left, {})[right] = made
+    shifts = [0] * (end + 1)
+    taken = 0  # bit n: place n less the largest id
+    for left in sorted(made_by, key=lambda left: (-len(made_by[left]), left)):
+        rights = sorted(made_by[left])
+        met = 0
+        for right in rights:
+            met |= taken >> (right - rights[0])
+        at = (~met & (met + 1)).bit_length() - 1  # the lowest bit that is not set
+        for right in rights:
+            taken |= 1 << (at + right - rights[0])
+        shifts[left] = at - rights[0] + end
+    entries = [NONE << BITS] * (max(shifts) + end + 1)  # so long that every id has a place after every shift
+    for left, made_with in made_by.items():
+        for right, made in made_with.items():
+            entries[shifts[left] + right] = left << BITS | made
+    of_bytes = [*(ranks[bytes([byte])] for byte in range(256)), end]
     tokens: list[bytes] = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         tokens[rank] = token
@@ -126,10 +130,9 @@ def _tables(path: str) -> tuple[str, str, str, str, str, int, tuple[tuple[str, i
     return (
         json.dumps(entries),
         json.dumps(shifts),
-        json.dumps([ranks[bytes([byte])] for byte in range(256)]),
+        json.dumps(of_bytes),
+        json.dumps([made_by.get(a, {}).get(b, NONE) << SHORT_ABOVE | a for a in of_bytes for b in of_bytes]),
         json.dumps([base64.b64encode(token).decode() for token in tokens]),
-        json.dumps([base64.b64encode(i.to_bytes(4, "little")).decode() for i in range(len(tokens))]),
-        size,
         odd,
     )
 
@@ -148,53 +151,66 @@ def _literal(value: str, kind: str) -> Column:
 
 
 def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once, and once in the plan."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """``body(value)`` with ``value`` evaluated once, and once in the plan.
+
+    Results of a transformed array are copied, arrays with all that is in them; those of an empty fold are not.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda bound, _: bound, body)
 
 
 class Merger:
     """Merging of words with the map of ranks, bound to variables so that the plan holds it once.
 
     A piece is the id of its token, which is also its rank. A word is an array of
-    numbers, from high to low bits: what a piece makes with the next one, ``NONE`` if nothing; its place in the
+    numbers, from high to low bits: what a piece makes with the next one, ``NONE`` or more if nothing; its place in the
     array; the piece. So the least number is the pair to merge first and says where it is: array_position()
-    had a fifth of all samples of a profile. Before
-    the first piece stands one that makes nothing.
+    had a fifth of all samples of a profile. Before the first piece and after the last
+    stands one that makes nothing.
     """
 
-    def __init__(self, tables: Column, groups: int, size: int) -> None:
-        self.entries, self.shifts, self.bytes = tables["entries"], tables["shifts"], tables["bytes"]
-        self.groups, self.size = F.lit(groups), F.lit(size)
+    def __init__(self, tables: dict[str, Column], short: bool = True) -> None:
+        """``short``: for words of up to ``SHORT`` bytes. Their places are small, so that foreign entries of the map need not be cut to ``NONE``."""
+        self.entries, self.shifts = tables["entries"], tables["shifts"]
+        self.tables, self.short = tables, short
+        self.above = SHORT_ABOVE if short else LONG_ABOVE
 
     def made(self, left: Column, right: Column) -> Column:
-        """The token two neighbours make, ``NONE`` if they make none."""
-        pair = _packed(left, right)
-        entry = F.get(self.entries, (F.get(self.shifts, (pair % self.groups).cast("int")) + pair % self.size).cast("int"))
-        # least() passes over nulls: beside the end of a word there is none
-        return F.least((entry - F.shiftleft(pair, BITS)).bitwiseAND(F.lit((1 << 52) - 1)), F.lit(NONE))
+        """The token two neighbours make, ``NONE`` if they make none; more than that in short words."""
+        found = F.get(self.entries, (F.get(self.shifts, left.cast("int")) + right).cast("int"))
+        made = found.bitwiseXOR(F.shiftleft(left, BITS))
+        return made if self.short else F.least(made, F.lit(NONE))
+
+    def _entry(self, rank: Column, place: Column, piece: Column) -> Column:
+        return F.shiftleft(rank, self.above).bitwiseOR(F.shiftleft(place.cast("long"), BITS)).bitwiseOR(piece)
+
+    def _place(self, entry: Column) -> Column:
+        return F.shiftright(entry, BITS).bitwiseAND(F.lit((1 << (self.above - BITS)) - 1)).cast("int")
+
+    def _rank(self, entry: Column) -> Column:
+        return F.shiftright(entry, self.above)
 
     def _with_ranks(self, pieces: Column) -> Column:
-        beside = F.transform(pieces, lambda a, i: _entry(self.made(a, F.get(pieces, i + 1)), i + 1, a))
-        return F.concat(F.array(F.lit((NONE << RANK) + NONE)), beside)
+        # beside the end there is nothing, which makes nothing
+        return F.transform(pieces, lambda a, i: self._entry(F.coalesce(self.made(a, F.get(pieces, i + 1)), F.lit(NONE)), i, a))
 
     def _merge_first(self, word: Column, least: Column) -> Column:
         """Merge the first pair with the lowest rank: only what is beside it changes."""
-        token = _rank(least)
+        token = self._rank(least)
 
-        def merged(at: Column) -> Column:
+        def merged(after: Column) -> Column:
             def entry(old: Column, i: Column) -> Column:
                 # one transformed array is several times cheaper than slices joined
                 return (
-                    F.when(i > at + 1, old - LEFT)
-                    .when(i < at - 1, old)
-                    .when(i == at, _entry(self.made(token, _piece(F.get(word, at + 2))), at, token))
-                    .when(i < at, _entry(self.made(_piece(old), token), i, _piece(old)))
-                    .otherwise(GONE)
+                    F.when(i > after, old - LEFT)
+                    .when(i < after - 2, old)
+                    .when(i == after, GONE)
+                    .when(i == after - 1, self._entry(self.made(token, _piece(F.get(word, after + 1))), i, token))
+                    .otherwise(self._entry(self.made(_piece(old), token), i, _piece(old)))
                 )
 
             return F.array_remove(F.transform(word, entry), GONE)
 
-        return _let(_place(least), merged)
+        return _let(self._place(least) + 1, merged)
 
     def _merge_all(self, word: Column, first: Column) -> Column:
         """Merge every pair of the lowest rank, from left to right.
@@ -202,13 +218,13 @@ class Merger:
         The same as one after the other, unless a merge makes a pair of a lower
         rank still, which would come next; then only the first is merged.
         """
-        least = _rank(first)
-        flags = F.array_join(F.transform(word, lambda entry: F.when(_rank(entry) == least, "1").otherwise("0")), "")
+        least = self._rank(first)
+        flags = F.array_join(F.transform(word, lambda entry: F.when(self._rank(entry) == least, "1").otherwise("0")), "")
         # of overlapping pairs, as in aaa, the left one counts
         marked = F.regexp_extract_all(F.regexp_replace(flags, "11", "10"), F.lit("."), F.lit(0))
         replaced = lambda marks: F.filter(
             F.transform(
-                word, lambda entry, i: F.when(F.get(marks, i) == "1", least).when(F.get(marks, i - 1) == "0", _piece(entry))
+                word, lambda entry, i: F.when(F.get(marks, i) == "1", least).when((i == 0) | (F.get(marks, i - 1) == "0"), _piece(entry))
             ),
             lambda piece: piece.isNotNull(),
         )
@@ -218,41 +234,34 @@ class Merger:
             lambda made: made < least,
         )
         checked = lambda marks, new: F.when(
-            (_rank(F.array_min(new)) < least) | F.coalesce(meets(marks), F.lit(False)), self._merge_first(word, first)
+            (self._rank(F.array_min(new)) < least) | F.coalesce(meets(marks), F.lit(False)), self._merge_first(word, first)
         ).otherwise(new)
         return _let(marked, lambda marks: _let(_let(replaced(marks), self._with_ranks), lambda new: checked(marks, new)))
 
-    def _fold(self, start: Column, merge) -> Column:
+    def _fold(self, start: Column, codes: Column, merge) -> Column:
         step = lambda word, _: _let(
-            F.array_min(word), lambda least: F.when(least < NONE << RANK, merge(word, least)).otherwise(word)
+            F.array_min(word), lambda least: F.when(least < NONE << self.above, merge(word, least)).otherwise(word)
         )
-        return F.aggregate(F.slice(start, 3, F.size(start)), start, step)
+        # one step less than there are pieces, the two at the ends not counted
+        return F.aggregate(F.slice(codes, 4, F.size(codes)), start, step)
 
     def encode_word(self, word: Column) -> Column:
         """Ids of a word, merged from its bytes."""
-        letters = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
-        single = F.transform(letters, lambda letter: F.get(self.bytes, F.ascii(letter)))
-        merged = lambda start: F.when(F.size(start) <= SHORT, self._fold(start, self._merge_first)).otherwise(
-            self._fold(start, self._merge_all)
-        )
-        numbers = lambda done: F.transform(F.slice(done, 2, F.size(done)), lambda entry: _piece(entry).cast("int"))
-        return _let(_let(_let(single, self._with_ranks), merged), numbers)
-
-
-def _packed(high: Column, low: Column) -> Column:
-    return F.shiftleft(high, BITS).bitwiseOR(low)
-
-
-def _entry(rank: Column, place: Column, piece: Column) -> Column:
-    return F.shiftleft(rank, RANK).bitwiseOR(F.shiftleft(place.cast("long"), BITS)).bitwiseOR(piece)
-
-
-def _place(entry: Column) -> Column:
-    return F.shiftright(F.shiftleft(entry, 64 - RANK), 64 - RANK + BITS).cast("int")
-
+        beyond = Merger(self.tables, short=False)
+        edge = chr(256)
+        letters = F.split(F.concat(F.lit(edge), F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), F.lit(edge)), "")
+
+        def merged(codes: Column) -> Column:
+            # two neighbouring bytes name their number at once, but for its place
+            number = lambda code, i: F.get(self.tables["first"], code * 257 + F.coalesce(F.get(codes, i + 1), F.lit(256)))
+            start = F.transform(codes, lambda code, i: number(code, i).bitwiseOR(F.shiftleft(i.cast("long"), BITS)))
+            pieces = F.transform(codes, lambda code: F.get(self.tables["bytes"], code))
+            return F.when(F.size(codes) <= SHORT + 2, self._fold(start, codes, self._merge_first)).otherwise(
+                beyond._fold(_let(pieces, beyond._with_ranks), codes, beyond._merge_all)
+            )
 
-def _rank(entry: Column) -> Column:
-    return F.shiftright(entry, RANK)
+        numbers = lambda done: F.transform(F.slice(done, 2, F.size(done) - 2), lambda entry: _piece(entry).cast("int"))
+        return _let(_let(F.transform(letters, lambda letter: F.ascii(letter)), merged), numbers)
 
 
 def _piece(entry: Column) -> Column:
@@ -263,31 +272,36 @@ class Ranks:
     """A rank file as literals of a plan."""
 
     def __init__(self, path: str) -> None:
-        entries, shifts, of_bytes, tokens, numbers, self.size, self.odd = _tables(path)
-        self.groups = shifts.count(",") + 1
+        entries, shifts, of_bytes, first, tokens, self.odd = _tables(path)
         self._merging = _literal(
-            f'{{"entries":{entries},"shifts":{shifts},"bytes":{of_bytes}}}',
-            "struct<entries:array<bigint>,shifts:array<bigint>,bytes:array<bigint>>",
+            f'{{"entries":{entries},"shifts":{shifts},"bytes":{of_bytes},"first":{first}}}',
+            "struct<entries:array<bigint>,shifts:array<bigint>,bytes:array<bigint>,first:array<bigint>>",
         )
         # JSON has bytes in base64; as strings, which need not be UTF-8, array_join puts them together
         self._tokens = _literal(tokens, "array<binary>").cast("array<string>")
-        self._numbers = _literal(numbers, "array<binary>").cast("array<string>")
 
     def merging(self, body) -> Column:
-        """``body(merger)``, the merger's map being a literal."""
-        return _let(self._merging, lambda tables: body(Merger(tables, self.groups, self.size)))
+        """``body(merger)``, the merger's map being a literal, its arrays taken out once."""
+
+        def bound(held: Column, names: tuple[str, ...], arrays: dict[str, Column]) -> Column:
+            if not names:
+                return body(Merger(arrays))
+            return _let(held[names[0]], lambda array: bound(held, names[1:], arrays | {names[0]: array}))
+
+        return _let(self._merging, lambda held: bound(held, ("entries", "shifts", "bytes", "first"), {}))
 
     def bytes_of(self, ids: Column) -> Column:
         """The bytes of ids, concatenated; ids that are none add nothing."""
-        return self._concatenated(ids, self._tokens)
+        return self._joined(ids).cast("binary")
 
-    def little_endian(self, ids: Column) -> Column:
-        """Ids as unsigned 32-bit integers, lowest byte first."""
-        return self._concatenated(ids, self._numbers)
+    def _joined(self, ids: Column) -> Column:
+        return _let(self._tokens, lambda held: F.array_join(F.transform(ids, lambda i: F.get(held, i)), ""))
 
-    @staticmethod
-    def _concatenated(ids: Column, table: Column) -> Column:
-        return _let(table, lambda held: F.array_join(F.transform(ids, lambda i: F.get(held, i)), "").cast("binary"))
+    def coded(self, ids: Column) -> Column:
+        """``numbers``, the ids as unsigned 32-bit integers, lowest byte first, and ``decoded``, their bytes; as strings, for joining."""
+        digits = F.array_join(F.transform(ids, lambda i: F.lpad(F.hex(i), 8, "0")), "")
+        numbers = F.unhex(F.regexp_replace(digits, "(..)(..)(..)(..)", "$4$3$2$1")).cast("string")
+        return F.struct(numbers.alias("numbers"), self._joined(ids).alias("decoded"))
 
 
 class KnownWords:
@@ -301,8 +315,13 @@ class KnownWords:
     #: Low bits of a word's hash that name its slot.
     MASK = (1 << 19) - 1
 
-    def __init__(self, words: DataFrame, odd: tuple[tuple[str, int], ...] = ()) -> None:
-        """``words``: word, ids, n (the larger, the sooner found); what ``odd`` says of a word counts instead."""
+    def __init__(self, words: DataFrame, odd: tuple[tuple[str, int], ...] = (), coded=None) -> None:
+        """``words``: word, ids, n (the larger, the sooner found); what ``odd`` says of a word counts instead.
+
+        With ``coded`` a word has ``coded(ids)`` for its ids, and is found by what they are decoded to; a word
+        that is not what they are decoded to is not held.
+        """
+        self.coded = coded is not None
         session = words.sparkSession
         entries = words.select("word", "ids", F.lit(0).alias("turn"), "n")
         if odd:
@@ -311,45 +330,58 @@ class KnownWords:
                     "word", F.array("id").alias("ids"), F.lit(1).alias("turn"), F.lit(0).cast("long").alias("n")
                 )
             )
-        dealt = entries.select(self._slot(F.col("word")).alias("slot"), F.struct("turn", "n", "word", "ids").alias("held"))
+        held = F.struct("turn", "n", "word", "ids")
+        if coded:
+            entries = entries.select("word", coded(F.col("ids")).alias("ids"), "turn", "n")
+            held = F.when(F.col("ids.decoded") == F.col("word"), held)
+        dealt = entries.select(self._slot(F.col("word")).alias("slot"), held.alias("held"))
         # every slot has a place in the arrays, filled or not; collect_list passes over nulls
         places = session.range(self.MASK + 1).select(F.col("id").cast("int").alias("slot"), F.lit(None).cast(dealt.schema["held"].dataType).alias("held"))
-        slots = dealt.unionByName(places).groupBy("slot").agg(F.sort_array(F.collect_list("held")).alias("held"))  # the one to be found first stands last
-        first, others = F.get("held", F.size("held") - 1), F.slice("held", 1, F.greatest(F.size("held") - 1, F.lit(0)))
+        slots = dealt.unionByName(places).groupBy("slot").agg(F.sort_array(F.collect_list("held"), asc=False).alias("held"))  # the one to be found first stands first
+        first, others = F.get("held", F.lit(0)), F.slice("held", 2, F.size("held"))
         rest = F.when(F.size("held") > 1, F.transform(others, lambda entry: F.struct(entry["word"].alias("word"), entry["ids"].alias("ids"))))
         filled = slots.select(F.struct("slot", first["word"].alias("word"), first["ids"].alias("ids"), rest.alias("rest")).alias("filled"))
         ordered = filled.agg(F.sort_array(F.collect_list("filled")).alias("all"))
-        self.slots = ordered.select(F.struct(*[F.col("all").getField(name).alias(name) for name in ("word", "ids", "rest")]).alias("slots")).scalar()
+        self.slots = ordered.select(F.struct(*[F.col("all").getField(name).alias(name) for name in self._names()]).alias("slots")).scalar()
+
+    def _names(self) -> tuple[str, ...]:
+        return ("ids", "rest") if self.coded else ("ids", "rest", "word")
 
     @classmethod
     def _slot(cls, word: Column) -> Column:
         return F.hash(word).bitwiseAND(F.lit(cls.MASK))
 
     def of(self, words: Column, slots: Column, unknown) -> Column:
-        """For each word its ids, ``unknown(word)`` if it is not among them.
+        """For each word its ids, or what is held for them, ``unknown(word)`` if it is not among them.
 
         ``slots`` is a column of the rows just selected, with the value ``self.slots``: Spark forbids to write
         a subquery into a lambda, but puts a column that is used once in its place itself, so that no row carries it.
         """
 
-        def ids(word: Column, slot: Column, first: Column, found: Column, rest: Column) -> Column:
+        def ids(word: Column, found: Column, rest: Column, first: Column | None = None) -> Column:
+            slot = self._slot(word)  # made again is cheaper than held: two arrays side by side took a pass more
+            held = F.get(found, slot)
             others = F.filter(F.get(rest, slot), lambda entry: entry["word"] == word)
-            return F.when(F.get(first, slot) == word, F.get(found, slot)).otherwise(F.coalesce(F.get(others, F.lit(0))["ids"], unknown(word)))
+            name = held["decoded"] if first is None else F.get(first, slot)
+            return F.when(name == word, held).otherwise(F.coalesce(F.get(others, F.lit(0))["ids"], unknown(word)))
 
-        dealt = F.transform(words, self._slot)
         # every array is taken out of the slots once a row, not once a word
-        return _let(slots, lambda held: _let(held["word"], lambda first: _let(held["ids"], lambda found: _let(held["rest"], lambda rest:
-            F.zip_with(words, dealt, lambda word, slot: ids(word, slot, first, found, rest))))))
+        def bound(held: Column, names: tuple[str, ...], arrays: tuple[Column, ...]) -> Column:
+            if not names:
+                return F.transform(words, lambda word: ids(word, *arrays))
+            return _let(held[names[0]], lambda array: bound(held, names[1:], (*arrays, array)))
+
+        return _let(slots, lambda held: bound(held, self._names(), ()))
 
 
-def known_words(docs: DataFrame, text: str, ranks: Ranks, pattern: str, most_words: int, spread: int = 64) -> KnownWords:
-    """The words in most documents, counted over all of them, with their ids.
+def known_words(docs: DataFrame, text: str, ranks: Ranks, pattern: str, most_words: int, spread: int = 64, coded=None) -> KnownWords:
+    """The most frequent words, counted over all documents, with their ids, or ``coded(ids)`` for them.
 
     Ties go to the smaller word. At most ``most_words`` are held, of ``LONGEST_KNOWN`` bytes at most.
     Tokens that merging would not make of their own bytes come last and count: a word that is a token is that token.
     """
     counted = (
-        docs.select(F.explode(F.array_distinct(words_of(F.col(text), pattern))).alias("word"))
+        docs.select(F.explode(words_of(F.col(text), pattern)).alias("word"))
         .groupBy("word")
         .agg(F.count(F.lit(1)).alias("n"))
         .where((F.octet_length("word") <= LONGEST_KNOWN) & (F.col("n") > 1))
@@ -357,16 +389,17 @@ def known_words(docs: DataFrame, text: str, ranks: Ranks, pattern: str, most_wor
         .limit(most_words)
     )
     ids = ranks.merging(lambda merger: merger.encode_word(F.col("word"))).alias("ids")
-    return KnownWords(counted.repartition(spread, "word").select("word", ids, "n"), ranks.odd)
+    return KnownWords(counted.repartition(spread, "word").select("word", ids, "n"), ranks.odd, coded)
 
 
-def _encoded(docs: DataFrame, ranks: Ranks, pattern: str, key: str, text: str, most_words: int) -> DataFrame:
-    """``key`` and ``ids``, under these names."""
-    known = known_words(docs, text, ranks, pattern, most_words)
+def _by_words(docs: DataFrame, ranks: Ranks, pattern: str, key: str, text: str, most_words: int, coded=None) -> DataFrame:
+    """``key`` and ``words``, an array of the ids of every word or of ``coded(ids)``, under these names."""
+    known = known_words(docs, text, ranks, pattern, most_words, coded=coded)
     found = docs.select(F.col(key).alias("key"), words_of(F.col(text), pattern).alias("words"), known.slots.alias("slots"))
     # both columns are used once, so that Spark puts them in their place: no row carries the slots
-    of_words = ranks.merging(lambda merger: _let(F.col("words"), lambda words: known.of(words, F.col("slots"), merger.encode_word)))
-    return found.select("key", F.flatten(of_words).alias("ids"))
+    unknown = lambda merger: lambda word: _let(merger.encode_word(word), coded) if coded else merger.encode_word(word)
+    of_words = ranks.merging(lambda merger: _let(F.col("words"), lambda words: known.of(words, F.col("slots"), unknown(merger))))
+    return found.select("key", of_words.alias("words"))
 
 
 def encode_texts(
@@ -381,7 +414,8 @@ def encode_texts(
     ``pattern`` must be made of letter, number and blank classes, as those of the public
     rank files. Other columns are ignored, whatever their names.
     """
-    return _encoded(docs, Ranks(rank_file), pattern, key, text, most_words).select(F.col("key").alias(key), "ids")
+    of_words = _by_words(docs, Ranks(rank_file), pattern, key, text, most_words)
+    return of_words.select(F.col("key").alias(key), F.flatten("words").alias("ids"))
 
 
 def decode_ids(encoded: DataFrame, rank_file: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -395,11 +429,16 @@ def code_digests(
 ) -> DataFrame:
     """``key``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` of every whole text; rows and special cases as in ``encode_texts``."""
     ranks = Ranks(rank_file)
-    ids = F.col("ids")
-    return _encoded(docs, ranks, pattern, key, text, most_words).select(
-        "key",
-        F.size(ids).cast("long").alias("n_tokens"),
-        # a name of their own: an unnamed column is called by its expression, literals included
-        F.sha2(ranks.little_endian(ids), 256).alias("ids_sha256"),
-        F.sha2(ranks.bytes_of(ids), 256).alias("decoded_sha256"),
-    ).withColumnRenamed("key", key)
+    of_words = _by_words(docs, ranks, pattern, key, text, most_words, ranks.coded)
+    joined = lambda name: F.array_join(F.col("words")[name], "").cast("binary").alias(name)
+    return (
+        of_words.select("key", joined("numbers"), joined("decoded"))
+        .select(
+            "key",
+            F.shiftright(F.octet_length("numbers"), 2).cast("long").alias("n_tokens"),
+            # a name of their own: an unnamed column is called by its expression, literals included
+            F.sha2("numbers", 256).alias("ids_sha256"),
+            F.sha2("decoded", 256).alias("decoded_sha256"),
+        )
+        .withColumnRenamed("key", key)
+    )
