@@ -108,17 +108,17 @@ def _tables(path: str) -> tuple[str, str, str, str, str, tuple[tuple[str, int],
             if left is not None and right is not None:
                 made_by.setdefault(left, {})[right] = made
     shifts = [0] * (end + 1)
-    taken = 0  # bit n: place n less the largest id
+    taken = 0  # its bits are the places
     for left in sorted(made_by, key=lambda left: (-len(made_by[left]), left)):
         rights = sorted(made_by[left])
         met = 0
         for right in rights:
             met |= taken >> (right - rights[0])
-        at = (~met & (met + 1)).bit_length() - 1  # the lowest bit that is not set
+        met >>= rights[0]
+        shifts[left] = (~met & (met + 1)).bit_length() - 1  # the lowest bit that is not set
         for right in rights:
-            taken |= 1 << (at + right - rights[0])
-        shifts[left] = at - rights[0] + end
-    entries = [NONE << BITS] * (max(shifts) + end + 1)  # so long that every id has a place after every shift
+            taken |= 1 << (shifts[left] + right)
+    entries: list[int | None] = [None] * taken.bit_length()  # nulls take least in a task's literals
     for left, made_with in made_by.items():
         for right, made in made_with.items():
             entries[shifts[left] + right] = left << BITS | made
@@ -131,7 +131,7 @@ def _tables(path: str) -> tuple[str, str, str, str, str, tuple[tuple[str, int],
         json.dumps(entries),
         json.dumps(shifts),
         json.dumps(of_bytes),
-        json.dumps([made_by.get(a, {}).get(b, NONE) << SHORT_ABOVE | a for a in of_bytes for b in of_bytes]),
+        json.dumps([made_by[a][b] << SHORT_ABOVE | a if b in made_by.get(a, {}) else None for a in of_bytes for b in of_bytes]),
         json.dumps([base64.b64encode(token).decode() for token in tokens]),
         odd,
     )
@@ -177,7 +177,7 @@ class Merger:
     def made(self, left: Column, right: Column) -> Column:
         """The token two neighbours make, ``NONE`` if they make none; more than that in short words."""
         found = F.get(self.entries, (F.get(self.shifts, left.cast("int")) + right).cast("int"))
-        made = found.bitwiseXOR(F.shiftleft(left, BITS))
+        made = F.coalesce(found, F.lit(NONE << BITS)).bitwiseXOR(F.shiftleft(left, BITS))
         return made if self.short else F.least(made, F.lit(NONE))
 
     def _entry(self, rank: Column, place: Column, piece: Column) -> Column:
@@ -190,8 +190,8 @@ class Merger:
         return F.shiftright(entry, self.above)
 
     def _with_ranks(self, pieces: Column) -> Column:
-        # beside the end there is nothing, which makes nothing
-        return F.transform(pieces, lambda a, i: self._entry(F.coalesce(self.made(a, F.get(pieces, i + 1)), F.lit(NONE)), i, a))
+        # beside the end there is null, which makes nothing
+        return F.transform(pieces, lambda a, i: self._entry(self.made(a, F.get(pieces, i + 1)), i, a))
 
     def _merge_first(self, word: Column, least: Column) -> Column:
         """Merge the first pair with the lowest rank: only what is beside it changes."""
@@ -253,7 +253,8 @@ class Merger:
 
         def merged(codes: Column) -> Column:
             # two neighbouring bytes name their number at once, but for its place
-            number = lambda code, i: F.get(self.tables["first"], code * 257 + F.coalesce(F.get(codes, i + 1), F.lit(256)))
+            alone = lambda code: F.get(self.tables["bytes"], code).bitwiseOR(F.lit(NONE << SHORT_ABOVE))
+            number = lambda code, i: F.coalesce(F.get(self.tables["first"], code * 257 + F.get(codes, i + 1)), alone(code))
             start = F.transform(codes, lambda code, i: number(code, i).bitwiseOR(F.shiftleft(i.cast("long"), BITS)))
             pieces = F.transform(codes, lambda code: F.get(self.tables["bytes"], code))
             return F.when(F.size(codes) <= SHORT + 2, self._fold(start, codes, self._merge_first)).otherwise(
@@ -339,7 +340,8 @@ class KnownWords:
         places = session.range(self.MASK + 1).select(F.col("id").cast("int").alias("slot"), F.lit(None).cast(dealt.schema["held"].dataType).alias("held"))
         slots = dealt.unionByName(places).groupBy("slot").agg(F.sort_array(F.collect_list("held"), asc=False).alias("held"))  # the one to be found first stands first
         first, others = F.get("held", F.lit(0)), F.slice("held", 2, F.size("held"))
-        rest = F.when(F.size("held") > 1, F.transform(others, lambda entry: F.struct(entry["word"].alias("word"), entry["ids"].alias("ids"))))
+        other = lambda entry: entry["ids"] if coded else F.struct(entry["word"].alias("word"), entry["ids"].alias("ids"))
+        rest = F.when(F.size("held") > 1, F.transform(others, other))
         filled = slots.select(F.struct("slot", first["word"].alias("word"), first["ids"].alias("ids"), rest.alias("rest")).alias("filled"))
         ordered = filled.agg(F.sort_array(F.collect_list("filled")).alias("all"))
         self.slots = ordered.select(F.struct(*[F.col("all").getField(name).alias(name) for name in self._names()]).alias("slots")).scalar()
@@ -361,9 +363,9 @@ class KnownWords:
         def ids(word: Column, found: Column, rest: Column, first: Column | None = None) -> Column:
             slot = self._slot(word)  # made again is cheaper than held: two arrays side by side took a pass more
             held = F.get(found, slot)
-            others = F.filter(F.get(rest, slot), lambda entry: entry["word"] == word)
-            name = held["decoded"] if first is None else F.get(first, slot)
-            return F.when(name == word, held).otherwise(F.coalesce(F.get(others, F.lit(0))["ids"], unknown(word)))
+            other = F.get(F.filter(F.get(rest, slot), lambda entry: entry["decoded" if self.coded else "word"] == word), F.lit(0))
+            name = held["decoded"] if self.coded else F.get(first, slot)
+            return F.when(name == word, held).otherwise(F.coalesce(other if self.coded else other["ids"], unknown(word)))
 
         # every array is taken out of the slots once a row, not once a word
         def bound(held: Column, names: tuple[str, ...], arrays: tuple[Column, ...]) -> Column:
