@@ -19,7 +19,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, functions as F
 
 NO_RANK = 2**31 - 1
-#: Ids are below this; an entry of the map is the left id times this plus the token made.
+#: Ids are below this; an entry of the map is the left id, its bits turned over, times this plus the token made.
 BITS = 17
 LEFT = 1 << BITS
 GONE = -1
@@ -92,7 +92,7 @@ def merge_alone(token: bytes, ranks: dict[bytes, int]) -> list[bytes]:
 
 
 @lru_cache(maxsize=4)
-def _tables(path: str) -> tuple[str, str, str, str, str, tuple[tuple[str, int], ...]]:
+def _tables(path: str) -> tuple[str, str, str, str, tuple[tuple[str, int], ...]]:
     """What the literals hold, in JSON, and the tokens that merging does not make of their own bytes.
 
     The map from two neighbours to the token they make is one array: a pair's place is the right id
@@ -114,14 +114,13 @@ def _tables(path: str) -> tuple[str, str, str, str, str, tuple[tuple[str, int],
         met = 0
         for right in rights:
             met |= taken >> (right - rights[0])
-        met >>= rights[0]
-        shifts[left] = (~met & (met + 1)).bit_length() - 1  # the lowest bit that is not set
+        shifts[left] = (~met & (met + 1)).bit_length() - 1 - rights[0]  # from the lowest bit that is not set
         for right in rights:
             taken |= 1 << (shifts[left] + right)
-    entries: list[int | None] = [None] * taken.bit_length()  # nulls take least in a task's literals
+    entries = [0] * taken.bit_length()  # the plan's texts hold them: zeros take least
     for left, made_with in made_by.items():
         for right, made in made_with.items():
-            entries[shifts[left] + right] = left << BITS | made
+            entries[shifts[left] + right] = (left ^ NONE) << BITS | made  # so that zero is no pair
     of_bytes = [*(ranks[bytes([byte])] for byte in range(256)), end]
     tokens: list[bytes] = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
@@ -131,7 +130,6 @@ def _tables(path: str) -> tuple[str, str, str, str, str, tuple[tuple[str, int],
         json.dumps(entries),
         json.dumps(shifts),
         json.dumps(of_bytes),
-        json.dumps([made_by[a][b] << SHORT_ABOVE | a if b in made_by.get(a, {}) else None for a in of_bytes for b in of_bytes]),
         json.dumps([base64.b64encode(token).decode() for token in tokens]),
         odd,
     )
@@ -177,7 +175,7 @@ class Merger:
     def made(self, left: Column, right: Column) -> Column:
         """The token two neighbours make, ``NONE`` if they make none; more than that in short words."""
         found = F.get(self.entries, (F.get(self.shifts, left.cast("int")) + right).cast("int"))
-        made = F.coalesce(found, F.lit(NONE << BITS)).bitwiseXOR(F.shiftleft(left, BITS))
+        made = F.coalesce(found, F.lit(0).cast("long")).bitwiseXOR(F.shiftleft(left, BITS)).bitwiseXOR(F.lit(NONE << BITS))
         return made if self.short else F.least(made, F.lit(NONE))
 
     def _entry(self, rank: Column, place: Column, piece: Column) -> Column:
@@ -252,12 +250,8 @@ class Merger:
         letters = F.split(F.concat(F.lit(edge), F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), F.lit(edge)), "")
 
         def merged(codes: Column) -> Column:
-            # two neighbouring bytes name their number at once, but for its place
-            alone = lambda code: F.get(self.tables["bytes"], code).bitwiseOR(F.lit(NONE << SHORT_ABOVE))
-            number = lambda code, i: F.coalesce(F.get(self.tables["first"], code * 257 + F.get(codes, i + 1)), alone(code))
-            start = F.transform(codes, lambda code, i: number(code, i).bitwiseOR(F.shiftleft(i.cast("long"), BITS)))
             pieces = F.transform(codes, lambda code: F.get(self.tables["bytes"], code))
-            return F.when(F.size(codes) <= SHORT + 2, self._fold(start, codes, self._merge_first)).otherwise(
+            return F.when(F.size(codes) <= SHORT + 2, self._fold(_let(pieces, self._with_ranks), codes, self._merge_first)).otherwise(
                 beyond._fold(_let(pieces, beyond._with_ranks), codes, beyond._merge_all)
             )
 
@@ -273,10 +267,10 @@ class Ranks:
     """A rank file as literals of a plan."""
 
     def __init__(self, path: str) -> None:
-        entries, shifts, of_bytes, first, tokens, self.odd = _tables(path)
+        entries, shifts, of_bytes, tokens, self.odd = _tables(path)
         self._merging = _literal(
-            f'{{"entries":{entries},"shifts":{shifts},"bytes":{of_bytes},"first":{first}}}',
-            "struct<entries:array<bigint>,shifts:array<bigint>,bytes:array<bigint>,first:array<bigint>>",
+            f'{{"entries":{entries},"shifts":{shifts},"bytes":{of_bytes}}}',
+            "struct<entries:array<bigint>,shifts:array<bigint>,bytes:array<bigint>>",
         )
         # JSON has bytes in base64; as strings, which need not be UTF-8, array_join puts them together
         self._tokens = _literal(tokens, "array<binary>").cast("array<string>")
@@ -289,7 +283,7 @@ class Ranks:
                 return body(Merger(arrays))
             return _let(held[names[0]], lambda array: bound(held, names[1:], arrays | {names[0]: array}))
 
-        return _let(self._merging, lambda held: bound(held, ("entries", "shifts", "bytes", "first"), {}))
+        return _let(self._merging, lambda held: bound(held, ("entries", "shifts", "bytes"), {}))
 
     def bytes_of(self, ids: Column) -> Column:
         """The bytes of ids, concatenated; ids that are none add nothing."""
